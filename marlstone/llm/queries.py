@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "exact_dedup": ["op5_exact_dedup"],
     "bpe": ["op6_bpe"],
+    "packing": ["op2_packing"],
+    "language_id": ["op1_language_id"],
 }
 
 
