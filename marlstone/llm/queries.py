@@ -10,6 +10,9 @@ MODULES = {
     "bpe": ["op6_bpe"],
     "packing": ["op2_packing"],
     "language_id": ["op1_language_id"],
+    "minhash": ["op7_minhash"],
+    "line_dedup": ["op8_line_dedup"],
+    "quality": ["op9_quality"],
 }
 
 
