@@ -13,6 +13,8 @@ MODULES = {
     "minhash": ["op7_minhash"],
     "line_dedup": ["op8_line_dedup"],
     "quality": ["op9_quality"],
+    "embeddings": ["op3_embedding_dedup"],
+    "html_text": ["op4_html_text"],
 }
 
 
