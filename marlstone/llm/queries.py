@@ -15,6 +15,7 @@ MODULES = {
     "quality": ["op9_quality"],
     "embeddings": ["op3_embedding_dedup"],
     "html_text": ["op4_html_text"],
+    "licences": ["op10_licences"],
 }
 
 
