@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions import wordlists as W
+from marlstone.functions.text import let
 
 LINES = "array<struct<text:string,line_no:int>>"
 SLASHES = r"[0-9A-Z]{1,2}/[0-9]{1,5}(/[0-9.A-Z*]{1,4}/[0-9]{1,4})*"
@@ -25,7 +26,7 @@ def _line(text: Column, of: Column) -> Column:
 
 def first_number(text: Column) -> Column:
     """The first numeric token of a line as text; null without one."""
-    return T.number_text(T.to_number(F.get(F.filter(F.split(text, " ", -1), lambda w: T.is_numeric(w)), F.lit(0))))
+    return let(F.get(F.filter(F.split(text, " ", -1), lambda w: T.is_numeric(w)), F.lit(0)), lambda w: let(T.to_number(w), T.number_text))
 
 
 def _usable(lines: Column) -> Column:
@@ -56,7 +57,7 @@ def _licence(piece: Column) -> Column:
 def licence_numbers(lines: Column, many: Column) -> Column:
     """Licence numbers of the lines; unless ``many``, the first candidate alone, valid or not."""
     every = F.flatten(F.transform(_usable(lines), lambda x: F.transform(_candidates(x["text"]), lambda p: _line(_licence(p), x))))
-    return F.filter(F.when(many, every).otherwise(F.slice(every, 1, 1)), lambda x: x["text"].isNotNull())
+    return let(every, lambda e: F.filter(F.when(many, e).otherwise(F.slice(e, 1, 1)), lambda x: x["text"].isNotNull()))
 
 
 def vocabulary(lines: Column, entries: Column) -> Column:
@@ -86,24 +87,38 @@ def name_in(text: Column, first_names: Column | None = None, known_word=None) ->
 
     ``first_names`` is an array of lower-case names, ``known_word`` maps a word to whether a
     lexicon has it (without one, no word is known)."""
-    parts = F.split(text, " ", -1)
     known = known_word or (lambda w: F.lit(False))
-    head, last = parts[0], F.element_at(parts, -1)
-    initials = (
-        F.size(parts).between(2, 4) & head.rlike(r"^\p{L}{1,2}$") & ((F.size(parts) == 2) | F.get(parts, F.lit(1)).rlike(r"^\p{L}{1,2}$"))
-        & last.rlike(r"^\p{L}{3,}$") & ~F.forall(parts, lambda w: known(w) & (F.length(w) > 1))
-    )
-    suffix = T.suffix_within(text)
-    words = F.lit(False)
-    for w in W.NAME_WORDS:
-        words = words | F.contains(F.lower(text), F.lit(w))
-    if first_names is not None:
-        words = words | (F.size(parts) > 1) & F.array_contains(first_names, F.lower(head))
-        words = words | (F.size(parts) > 2) & F.array_contains(first_names, F.lower(F.get(parts, F.lit(1))))
-    cut = F.when(suffix.isNotNull(), F.substring(text, F.lit(1), F.instr(F.lower(text), suffix) + F.length(suffix) - 1)).otherwise(text)
-    bare = F.array_contains(F.array(*[F.lit(s.strip()) for s in W.NAME_SUFFIXES]), F.lower(cut))
-    named = (T.starts_with_title(text) | words | suffix.isNotNull()) & ~T.ends_like_address(text)
-    return F.when(text.isNull() | T.describes_agency(text), F.lit(None).cast("string")).when(initials, text).when(named & ~bare, cut)
+
+    def initials(parts: Column) -> Column:
+        return (
+            F.size(parts).between(2, 4) & F.get(parts, F.lit(0)).rlike(r"^\p{L}{1,2}$")
+            & ((F.size(parts) == 2) | F.get(parts, F.lit(1)).rlike(r"^\p{L}{1,2}$")) & F.element_at(parts, -1).rlike(r"^\p{L}{3,}$")
+            & ~F.forall(parts, lambda w: known(w) & (F.length(w) > 1))
+        )
+
+    def named(t: Column, parts: Column, suffix: Column) -> Column:
+        words = F.lit(False)
+        for w in W.NAME_WORDS:
+            words = words | F.contains(F.lower(t), F.lit(w))
+        if first_names is not None:
+            words = words | (F.size(parts) > 1) & F.array_contains(first_names, F.lower(F.get(parts, F.lit(0))))
+            words = words | (F.size(parts) > 2) & F.array_contains(first_names, F.lower(F.get(parts, F.lit(1))))
+        cut = F.when(suffix.isNotNull(), F.substring(t, F.lit(1), F.instr(F.lower(t), suffix) + F.length(suffix) - 1)).otherwise(t)
+        bare = F.lower(cut).isin(*[s.strip() for s in W.NAME_SUFFIXES])
+        is_name = (T.starts_with_title(t) | words | suffix.isNotNull()) & ~T.ends_like_address(t) & ~bare
+        return F.when(t.isNull() | T.describes_agency(t), F.lit(None).cast("string")).when(initials(parts), t).when(is_name, cut)
+
+    return let(text, lambda t: let(F.split(t, " ", -1), lambda p: let(T.suffix_within(t), lambda s: named(t, p, s))))
+
+
+def _until_suffix(run: Column) -> Column:
+    """Up to and with the first line that has a company suffix."""
+
+    def cut(r: Column) -> Column:
+        ends = F.array_position(F.transform(r, lambda x: T.suffix_within(x["text"]).isNotNull()), True)
+        return let(ends.cast("int"), lambda e: F.when(e > 0, F.slice(r, F.lit(1), e)).otherwise(r))
+
+    return let(run, cut)
 
 
 def names(lines: Column, backwards: Column, first_names: Column | None = None) -> Column:
@@ -111,16 +126,19 @@ def names(lines: Column, backwards: Column, first_names: Column | None = None) -
     with a company suffix. Lines read backwards come back in reading order, all with the line
     number of the first hit; the issuer is left out beside others."""
     named = F.transform(lines, lambda x: _line(F.when(~T.looks_corrupted(x["text"]), name_in(T.trim_formatting(x["text"]), first_names)), x))
-    flags = F.transform(named, lambda x: x["text"].isNotNull())
-    begin = F.array_position(flags, True)
-    rest = F.when(begin > 0, F.slice(named, begin.cast("int"), F.size(named))).otherwise(none())
-    stop = F.array_position(F.transform(rest, lambda x: x["text"].isNull()), True)
-    run = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
-    ends = F.array_position(F.transform(run, lambda x: T.suffix_within(x["text"]).isNotNull()), True)
-    run = F.when(ends > 0, F.slice(run, F.lit(1), ends.cast("int"))).otherwise(run)
-    at = F.get(run, F.lit(0))["line_no"]
-    run = F.when(backwards, F.reverse(run)).otherwise(run)
-    run = F.when(F.size(run) > 1, F.filter(run, lambda x: x["text"] != W.ISSUER)).otherwise(run)
-    ends = F.array_position(F.transform(run, lambda x: T.suffix_within(x["text"]).isNotNull()), True)
-    run = F.when(ends > 0, F.slice(run, F.lit(1), ends.cast("int"))).otherwise(run)
-    return F.transform(run, lambda x: F.struct(x["text"].alias("text"), at.alias("line_no")))
+
+    def from_first(n: Column) -> Column:
+        begin = F.array_position(F.transform(n, lambda x: x["text"].isNotNull()), True).cast("int")
+        return let(begin, lambda b: F.when(b > 0, F.slice(n, b, F.size(n))).otherwise(none()))
+
+    def to_gap(r: Column) -> Column:
+        stop = F.array_position(F.transform(r, lambda x: x["text"].isNull()), True).cast("int")
+        return let(stop, lambda s: F.when(s > 0, F.slice(r, F.lit(1), s - 1)).otherwise(r))
+
+    def ordered(run: Column) -> Column:
+        at = F.get(run, F.lit(0))["line_no"]
+        turned = F.when(backwards, F.reverse(run)).otherwise(run)
+        alone = let(turned, lambda r: F.when(F.size(r) > 1, F.filter(r, lambda x: x["text"] != W.ISSUER)).otherwise(r))
+        return let(at, lambda a: F.transform(_until_suffix(alone), lambda x: F.struct(x["text"].alias("text"), a.alias("line_no"))))
+
+    return let(_until_suffix(let(let(named, from_first), to_gap)), ordered)

@@ -5,6 +5,7 @@ DuckDB's regular expressions share."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,12 @@ def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: expressions that use a value several times
+    would otherwise hold, and grow with, as many copies of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_formatting(text: Column) -> Column:
     """Without punctuation, symbols and blanks at the start, and at the end up to a ``)``."""
     return F.regexp_replace(text, EDGES, "")

@@ -210,7 +210,8 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col:
     sizes = clusters.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
     blocks = F.ceil(F.greatest(F.col("_n") / BLOCK_ROWS, F.col("_s") / BLOCK_SHINGLES))
     members = clusters.join(sizes, "component").select("node", "component", F.least(blocks, F.col("_n")).alias("blocks"))
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(members, "node")
+    # members grow with the input, so this is a sort-merge join at every size
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(members.hint("merge"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
