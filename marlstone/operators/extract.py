@@ -1,18 +1,19 @@
-"""Catalogue-driven extraction: one expression over a document's ordered lines.
+"""Catalogue-driven extraction: labels are data that meet the lines of each document.
 
-A document is one row with ``lines``, ``array<struct<text, line_no>>``. Labels become Column
-expressions over that array: hits, fragments beside them, context frames, blocks between
-labels, splits and nearest values are slices and filters of it. Each level of nesting is one
-projection and explode over the lines that the level above cut out, so all levels of all
-labels are a single narrow pass over the documents. Only the matches, which are few, are then
-shuffled by document to apply minimum counts and first-wins rules from the innermost level up.
+A document is one row with ``lines``, ``array<struct<text, line_no>>``. For each level of the
+catalogue a row is exploded to the labels that its text can hold, then to the lines that they
+match, then to the places where a value may stand (beside the label, in the frame before or
+after it, in the block up to an end label, in either part of a split). One set of expressions
+reads the value by the label's format, so the plan does not grow with the catalogue, and every
+level is a narrow pass over what the level above found, which is written once. What is found is small; it is shuffled by document once, and windows
+settle minimum counts, the first that succeeds and related values, from the innermost level up.
 
-Per group the first label, in catalogue order, that finds something wins. All "first" choices
-follow (label order, line order, strategy order)."""
+All "first" choices follow (label order, line order, order of places)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,15 +21,17 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import extractors as X
 from marlstone.functions import text as T
-from marlstone.functions.text import let
-from marlstone.operators.lines import BLOCK_END, BLOCK_START, first_label, remove
+from marlstone.operators.lines import BLOCK_END, BLOCK_START
+from marlstone.operators.stages import settled
 from marlstone.plans.catalogue import FlatLabel, Label, flatten
 
-NODE = (
-    "struct<path:string,label_id:int,line_no:int,match_type:string,"
-    f"texts:{X.LINES},matched_text:string,inner:{X.LINES}>"
+LABEL = (
+    "struct<label_id:int,group:string,texts:array<string>,low:array<string>,starts:boolean,match_all:boolean,position:string,format:string,"
+    "ends:array<string>,ends_block:boolean,must_contain:array<string>,possibilities:array<string>,many:boolean,include:boolean,"
+    "previous:int,following:int,rules:array<struct<pattern:string,literal:string,anchored:boolean,whole:boolean>>>"
 )
-#: Strategies after the same line, in order: which frame is searched and what a hit is called.
+PLACE = f"struct<ord:int,kind:string,mode:string,source:{X.LINES},backwards:boolean>"
+#: Places after the label's own line, in order: which frame is searched and what a hit is called.
 FRAMES = {
     "prefer_before": (("around", "near_next_line"), ("next", "near_next_line"), ("previous", "near_previous_line")),
     "prefer_after": (("far_around", "near_next_line"), ("previous", "near_previous_line"), ("next", "near_next_line")),
@@ -36,27 +39,35 @@ FRAMES = {
     "after": (("previous", "near_previous_line"),),
     "succession": (("next", "near_next_line"), ("previous", "near_previous_line")),
 }
-AFTER_SIDE = {"before", "prefer_before", "prefer_after", "between", "succession", "related", "split"}
-BEFORE_SIDE = {"after", "prefer_before", "prefer_after", "between", "succession", "related", "split"}
+AFTER_SIDE = ("same_line", "before", "prefer_before", "prefer_after", "succession", "related")
+BEFORE_SIDE = ("after", "prefer_before", "prefer_after", "succession", "related")
 
 
-def _below(prefix: Column) -> Callable[[Column], Column]:
-    return lambda x: x.withField("path", F.concat(prefix, x["path"]))
+def _quoted(text: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c != " " else c for c in text)
 
 
-def _matches(label: str) -> Callable[[Column], Column]:
-    return lambda v: T.label_matches(v["text"], F.lit(label))
+def _rule(pattern: str, anchored: bool, whole: bool) -> dict:
+    if len(pattern) > 1 and pattern[0] == pattern[-1] == "/":
+        body = pattern[1:-1]
+        return {"pattern": f"^(?:{body})" if anchored else body, "literal": None, "anchored": anchored, "whole": whole}
+    return {"pattern": "(?i)" + _quoted(pattern), "literal": pattern, "anchored": anchored, "whole": whole}
 
 
-def no_nodes() -> Column:
-    return F.array().cast(f"array<{NODE}>")
+def _label_row(f: FlatLabel) -> dict:
+    x: Label = f.label
+    texts = [t for t in x.texts if t != BLOCK_START]
+    return {
+        "label_id": f.label_id, "group": f.group, "texts": texts, "low": [t.lower() for t in texts], "starts": BLOCK_START in x.texts,
+        "match_all": x.match_all, "position": x.position, "format": x.format, "ends": [t for t in x.ends if t != BLOCK_END],
+        "ends_block": BLOCK_END in x.ends, "must_contain": [t.lower() for t in x.must_contain], "possibilities": list(x.possibilities),
+        "many": x.multiple != "first", "include": x.include_label_text, "previous": x.previous, "following": x.following,
+        "rules": [_rule(r.pattern, r.anchored, r.whole_line) for r in x.removes],
+    }
 
 
-def first_full(choices: Sequence[Column], empty: Column) -> Column:
-    """The first array that is not empty."""
-    if not choices:
-        return empty
-    return let(choices[0], lambda c: F.when(F.size(c) > 0, c).otherwise(first_full(choices[1:], empty)))
+def _literal(value: object, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
 
 
 def cut(lines: Column, start: Column, count: Column) -> Column:
@@ -64,265 +75,155 @@ def cut(lines: Column, start: Column, count: Column) -> Column:
     return F.slice(lines, F.greatest(start, F.lit(0)) + 1, F.greatest(count, F.lit(0)))
 
 
-def indexes(lines: Column) -> Column:
-    return F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def node(label_id: int, at: Column, part: int, line_no: Column, match_type: Column | str, texts: Column, matched: Column, inner: Column | None = None) -> Column:
-    path = F.concat(F.lit(f"{label_id}:"), at.cast("string"), F.lit(f":{part}"))
-    kind = F.lit(match_type) if isinstance(match_type, str) else match_type
-    return F.struct(
-        path.alias("path"), F.lit(label_id).alias("label_id"), line_no.cast("int").alias("line_no"), kind.alias("match_type"),
-        texts.alias("texts"), matched.alias("matched_text"), (X.none() if inner is None else inner).alias("inner"),
-    ).cast(NODE)
-
-
-class Finder:
-    """Expressions of a flattened catalogue."""
-
-    def __init__(self, flat: list[FlatLabel], first_names: Sequence[str] | None = None):
-        self.flat = flat
-        self.children: dict[int | None, list[FlatLabel]] = {}
-        for f in flat:
-            self.children.setdefault(f.parent_id, []).append(f)
-        self.first_names = F.array(*map(F.lit, first_names)) if first_names else None
-
-    def find(self, f: FlatLabel, lines: Column) -> Column:
-        """Nodes of a label in an array of lines. Where sub-labels may still void a result, all
-        candidates are given, each with its lines; else multiplicity is settled here."""
-        label = f.label
-        if label.format == "linked_licence":
-            return no_nodes()
-        if label.position == "split":
-            return F.flatten(self._split(f, lines))
-        hits = F.filter(indexes(lines), lambda i: self._hit(label, lines, i))
-        found = F.filter(F.transform(hits, lambda i: self._at(f, lines, i)), lambda r: F.size(r) > 0)
-        if label.multiple == "first" and not self.children.get(f.label_id):
-            return F.coalesce(F.get(found, F.lit(0)), no_nodes())
-        nodes = F.flatten(found)
-        if BLOCK_START in label.texts:
-            nodes = self._prefer_labels(nodes)
-        return self._joined(nodes) if label.multiple == "joined" else nodes
-
-    @staticmethod
-    def _prefer_labels(nodes: Column) -> Column:
-        """Without results that began at the block's start where others began at a label."""
-        named = lambda all_nodes: F.filter(all_nodes, lambda x: x["matched_text"] != BLOCK_START)
-        return let(nodes, lambda all_nodes: let(named(all_nodes), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(all_nodes)))
-
-    @staticmethod
-    def _joined(nodes: Column) -> Column:
-        """Several results as one, with all their lines."""
-        return let(
-            nodes,
-            lambda t: F.when(F.size(t) > 1, F.array(F.get(t, F.lit(0)).withField("texts", F.flatten(F.transform(t, lambda x: x["texts"]))))).otherwise(t),
-        )
+def _as_line(text: Column, line_no: Column) -> Column:
+    return F.struct(text.alias("text"), line_no.cast("int").alias("line_no"))
+
+
+def _place(ord_: int, kind: Column | str, mode: str, source: Column, backwards: bool = False) -> Column:
+    name = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(F.lit(ord_).alias("ord"), name.alias("kind"), F.lit(mode).alias("mode"), source.alias("source"), F.lit(backwards).alias("backwards")).cast(PLACE)
 
-    def _hit(self, label: Label, lines: Column, i: Column) -> Column:
-        text = F.get(lines, i)["text"]
-        names = [x for x in label.texts if x != BLOCK_START]
-        hit = first_label(text, names).isNotNull() if names else F.lit(not label.texts)
-        hit = hit & (F.trim(text) != "")
-        if BLOCK_START in label.texts:
-            hit = hit | (i == 0)
-        if label.match_all:
-            near = F.concat(F.array(F.get(lines, i)), self._next(label, lines, i), self._previous(label, lines, i))
-            for x in names:
-                hit = hit & F.exists(near, _matches(x))
-        return hit
-
-    @staticmethod
-    def _next(label: Label, lines: Column, i: Column) -> Column:
-        return cut(lines, i + 1, F.lit(label.following))
-
-    @staticmethod
-    def _previous(label: Label, lines: Column, i: Column) -> Column:
-        """Nearest first."""
-        begin = F.greatest(i - label.previous, F.lit(0))
-        return F.reverse(cut(lines, begin, i - begin))
-
-    @staticmethod
-    def _matched(label: Label, text: Column, i: Column) -> Column:
-        names = [x for x in label.texts if x != BLOCK_START]
-        found = first_label(text, names) if names else F.lit(None).cast("string")
-        return F.coalesce(found, F.when(i == 0, F.lit(BLOCK_START))) if BLOCK_START in label.texts else found
-
-    def _at(self, f: FlatLabel, lines: Column, i: Column) -> Column:
-        return let(F.get(lines, i), lambda line: self._strategies(f, lines, i, line))
-
-    def _strategies(self, f: FlatLabel, lines: Column, i: Column, line: Column) -> Column:
-        label = f.label
-        tries = [self._same_line(f, lines, i, line)]
-        if label.position == "between":
-            tries.insert(0, self._between(f, lines, i, line))
-        elif label.position == "related":
-            tries.append(self._related(f, lines, i, line))
-        frames = {
-            "next": self._next(label, lines, i), "previous": self._previous(label, lines, i),
-            "around": F.concat(self._previous(label, lines, i), self._next(label, lines, i)),
-            "far_around": F.concat(F.reverse(self._previous(label, lines, i)), self._next(label, lines, i)),
-        }
-        for frame, kind in FRAMES.get(label.position, ()):
-            source = frames["previous"] if label.format == "date_or_purpose" and frame == "far_around" else frames[frame]
-            tries.append(self._typed(f, i, line, source, kind, frame == "previous"))
-        if label.multiple == "every_value":
-            return F.flatten(F.array(*tries))
-        return first_full(tries, no_nodes())
-
-    def _extract(self, label: Label, lines: Column, backwards: bool) -> Column:
-        if label.possibilities and label.format in ("units", "text", "number"):
-            words = F.array(*map(F.lit, label.possibilities))
-            hit = X.vocabulary(lines, words)
-            return first_full([X.numbers(lines), hit], X.none()) if label.format == "number" and label.texts else hit
-        if label.format == "number":
-            return X.numbers(lines)
-        if label.format == "licence_number":
-            return X.licence_numbers(lines, F.lit(label.multiple != "first"))
-        if label.format == "company":
-            return X.names(lines, F.lit(backwards), self.first_names)
-        if label.format == "date_or_purpose":
-            return X.dates_or_purposes(lines)
-        if label.format == "single_word":
-            return X.single_word(lines)
-        return X.whole_line(lines)
-
-    def _typed(self, f: FlatLabel, i: Column, line: Column, source: Column, kind: str, backwards: bool) -> Column:
-        matched = self._matched(f.label, line["text"], i)
-        shown = F.filter(source, lambda x: F.trim(x["text"]) != "")
-        return let(
-            let(shown, lambda v: self._extract(f.label, v, backwards)),
-            lambda got: F.when(F.size(got) > 0, F.array(node(f.label_id, i, 0, F.get(got, F.lit(0))["line_no"], kind, self._cleaned(f.label, got), matched, got))).otherwise(no_nodes()),
-        )
 
-    def _fragments(self, label: Label, line: Column) -> Column:
-        """What stands after and before the label on its line, as lines."""
-        as_line = lambda t: F.struct(t.alias("text"), line["line_no"].alias("line_no"))
-        names = [x for x in label.texts if x != BLOCK_START]
-        if not names:
-            return F.array(as_line(line["text"]))
-        low = F.lower(line["text"])
-        inside = F.coalesce(*[F.when(F.contains(low, F.lit(x.lower())), F.lit(x)) for x in names])
-        sides = []
-        if label.position in AFTER_SIDE or label.position == "same_line":
-            sides.append(as_line(T.text_after(line["text"], inside)))
-        if label.position in BEFORE_SIDE:
-            sides.append(as_line(T.text_before(line["text"], inside)))
-        return F.filter(F.array(*sides), lambda x: x["text"].isNotNull() & (x["text"] != ""))
-
-    def _same_line(self, f: FlatLabel, lines: Column, i: Column, line: Column) -> Column:
-        label = f.label
-        if label.position == "between":
-            return no_nodes()
-        kind: Column | str = "same_line" if label.texts else "between"
-        matched = self._matched(label, line["text"], i)
-
-        def body(sides: Column) -> Column:
-            got = self._extract(label, sides, False)
-            if label.format == "company":
-                before = F.get(lines, i - 1)["text"]
-                head = F.get(sides, F.lit(0))["text"]
-                two = F.when(
-                    (i > 0) & (head.rlike(r"^\p{Ll}") | F.startswith(F.lower(head), F.lit("trading as"))),
-                    F.array(F.struct(F.concat(before, F.lit(" "), head).alias("text"), line["line_no"].alias("line_no"))),
-                ).otherwise(X.none())
-                one = F.when(head.rlike(r"^[^\s]+$"), F.slice(sides, 1, 1)).otherwise(X.none())
-                made = lambda kind: lambda g: F.when(F.size(g) > 0, F.array(node(f.label_id, i, 0, line["line_no"], kind, g, matched))).otherwise(no_nodes())
-                return first_full([let(two, made("same_line_2_lines")), let(got, made("same_line")), let(one, made("same_line_single_word"))], no_nodes())
-            return let(
-                got,
-                lambda g: F.when(F.size(g) > 0, F.array(node(f.label_id, i, 0, line["line_no"], kind, self._cleaned(label, g), matched, g))).otherwise(no_nodes()),
-            )
-
-        usable = lambda s: F.exists(s, lambda x: ~T.is_blank(x["text"]) & ~x["text"].isin("-", "—"))
-        return let(self._fragments(label, line), lambda s: F.when(usable(s), body(s)).otherwise(no_nodes()))
-
-    def _cleaned(self, label: Label, texts: Column) -> Column:
-        if not label.removes:
-            return texts
-        rules = [(r.pattern, r.anchored, r.whole_line) for r in label.removes]
-        return F.filter(
-            F.transform(texts, lambda x: F.struct(remove(x["text"], rules).alias("text"), x["line_no"].alias("line_no"))), lambda x: x["text"] != ""
+def _none() -> Column:
+    return F.array().cast(f"array<{PLACE}>")
+
+
+def hits(segments: DataFrame, labels: Column) -> DataFrame:
+    """Segments (``doc_id``, ``parent_id``, ``lines``) with each label ``l`` and line index ``i``
+    that matches it, the text that did, the line and its frames."""
+    flat = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
+    labelled = (
+        segments.withColumns({"_flat": flat, "_labels": labels})
+        .withColumn("l", F.explode(F.filter("_labels", lambda x: x["starts"] | (x["position"] == "split") | (F.size(x["low"]) == 0) | F.exists(x["low"], lambda t: F.contains(F.col("_flat"), t)))))
+        .drop("_flat", "_labels")
+    )
+    n, split = F.size("lines"), F.col("l.position") == "split"
+    first = lambda text: F.get(F.filter(F.col("l.texts"), lambda t: T.label_matches(text, t)), F.lit(0))
+    found = F.transform(
+        "lines",
+        lambda x, i: F.when((F.trim(x["text"]) != "") & (F.size("l.texts") > 0), first(x["text"])),
+    )
+    shown = F.transform(
+        F.arrays_zip(F.col("_found").alias("m"), F.col("lines").alias("x")),
+        lambda z, i: F.coalesce(
+            z["m"], F.when((i == 0) & F.col("l.starts"), F.lit(BLOCK_START)),
+            F.when((F.size("l.texts") == 0) & ~F.col("l.starts") & (F.trim(z["x"]["text"]) != ""), F.lit("")),
+            F.when(split & (i == n - 1), F.lit("")),
+        ),
+    )
+    i, before = F.col("i"), F.greatest(F.col("i") - F.col("l.previous"), F.lit(0))
+    out = (
+        labelled.withColumn("_found", found).withColumn("_shown", shown).drop("_found")
+        .select("doc_id", "parent_id", "lines", "l", F.posexplode("_shown").alias("i", "matched")).filter("matched IS NOT NULL")
+        .withColumns({"line": F.get("lines", i), "previous": F.reverse(cut(F.col("lines"), before, i - before)), "next": cut(F.col("lines"), i + 1, F.col("l.following"))})
+    )
+    near = F.concat(F.array("line"), "next", "previous")
+    every = F.forall("l.texts", lambda t: F.exists("_near", lambda v: T.label_matches(v["text"], t)))
+    return out.withColumn("_near", near).filter(~F.col("l.match_all") | every).drop("_near")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Where values of each hit may stand, in order; one row a place."""
+    position, text, no = F.col("l.position"), F.col("line.text"), F.col("line.line_no")
+    inside = F.get(F.filter("l.texts", lambda t: F.contains(F.lower(text), F.lower(t))), F.lit(0))
+    sides = F.when(F.size("l.texts") == 0, F.array("line")).otherwise(
+        F.array(
+            F.when(position.isin(*AFTER_SIDE), _as_line(T.text_after(text, F.col("_inside")), no)),
+            F.when(position.isin(*BEFORE_SIDE), _as_line(T.text_before(text, F.col("_inside")), no)),
         )
+    )
+    block_end = F.array_position(F.transform("next", lambda x: F.exists("l.ends", lambda e: T.label_matches(x["text"], e))), True).cast("int")
+    starts = F.col("matched") == BLOCK_START
+    after = F.when(starts, text).otherwise(T.text_after(text, F.col("matched")))
+    head = F.when(F.col("_after") != "", F.array(_as_line(F.col("_after"), no))).otherwise(X.none())
+    body = F.when(F.col("_end") > 0, F.slice("next", F.lit(1), F.col("_end") - 1)).otherwise(F.when(F.col("l.ends_block"), F.col("next")).otherwise(X.none()))
+    named = F.when(
+        F.col("l.include") & (F.size("_block") > 0), F.concat(F.array("line"), F.slice("_block", F.lit(2), F.greatest(F.size("_block"), F.lit(1))))
+    ).otherwise(F.col("_block"))
+    low = F.lower(F.array_join(F.transform("_named", lambda x: x["text"]), "\n"))
+    held = (F.size("l.must_contain") == 0) | F.exists("l.must_contain", lambda t: F.contains(F.col("_low"), t))
+    rows = (
+        found.withColumns({"_inside": inside, "_end": block_end, "_after": after})
+        .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"]))})
+        .withColumn("_named", named).withColumn("_low", low).withColumn("_held", held)
+    )
+    usable = F.exists("_sides", lambda x: ~T.is_blank(x["text"]) & ~x["text"].isin("-", "—"))
+    own = F.when(F.size("l.texts") == 0, "between").otherwise("same_line")
+    one_line, i, n = F.size("lines") == 1, F.col("i"), F.size("lines")
+    first_text = F.get("_sides", F.lit(0))["text"]
+    above = F.get("lines", i - 1)["text"]
+    two = (i > 0) & (first_text.rlike(r"^\p{Ll}") | F.startswith(F.lower(first_text), F.lit("trading as")))
+    single = F.filter("_sides", lambda x: x["text"].rlike(r"^[^\s]+$"))
+    same = F.when(
+        (F.col("l.format") == "company") & usable,
+        F.array(
+            _place(1, "same_line_2_lines", "take", F.when(two, F.array(_as_line(F.concat(above, F.lit(" "), first_text), no))).otherwise(X.none())),
+            _place(2, own, "typed", F.col("_sides")), _place(3, "same_line_single_word", "take", F.slice(single, 1, 1)),
+        ),
+    ).when(usable, F.array(_place(2, own, "typed", F.col("_sides")))).otherwise(_none())
+    frames = {
+        "next": F.col("next"), "previous": F.col("previous"), "around": F.concat("previous", "next"),
+        "far_around": F.when(F.col("l.format") == "date_or_purpose", F.col("previous")).otherwise(F.concat(F.reverse("previous"), "next")),
+    }
+    framed = _none()
+    for name, steps in FRAMES.items():
+        made = F.array(*[_place(4 + k, kind, "typed", F.filter(frames[f], lambda x: F.trim(x["text"]) != ""), f == "previous") for k, (f, kind) in enumerate(steps)])
+        framed = F.when(position == name, made).otherwise(framed)
+    around = F.concat("previous", F.array("line"), "next")
+    start = F.instr(F.lower(text), F.lower("matched"))
+    part_1 = F.when(F.col("matched") == "", F.col("lines")).when(one_line, F.array(_as_line(T.text_before(text, F.col("matched")), no))).otherwise(cut(F.col("lines"), F.lit(0), i - 1))
+    part_2 = F.when(F.col("matched") == "", X.none()).when(one_line, F.array(_as_line(F.substring(text, start, F.length(text)), no))).otherwise(cut(F.col("lines"), i - 1, n))
+    shown = lambda p: F.filter(p, lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    every = (
+        F.when(position == "between", F.when(F.col("_held"), F.array(_place(0, "between", "take", F.col("_named")))).otherwise(_none()))
+        .when(position == "split", F.array(_place(1, "unset", "take", shown(part_1)), _place(2, "unset", "take", shown(part_2))))
+        .when(position == "related", F.concat(same, F.array(_place(8, "unset", "related", around))))
+        .otherwise(F.concat(same, framed))
+    )
+    return rows.withColumn("p", F.explode(every)).filter("size(p.source) > 0").select("doc_id", "parent_id", "l", "i", "matched", "line", "p")
+
+
+def values(rows: DataFrame, first_names: Sequence[str] | None = None) -> DataFrame:
+    """The typed value of each place; places without one are dropped."""
+    source, fmt, vocab = F.col("p.source"), F.col("l.format"), F.size("l.possibilities") > 0
+    words = F.array(*map(F.lit, first_names)) if first_names else None
+    numeric = F.filter(F.transform(source, lambda x: _as_line(X.first_number(x["text"]), x["line_no"])), lambda x: x["text"].isNotNull())
+    got = (
+        F.when(F.col("p.mode") == "take", source).when(F.col("p.mode") == "related", numeric)
+        .when(vocab & fmt.isin("units", "text") | vocab & (fmt == "number") & (F.size("l.texts") == 0), X.vocabulary(source, F.col("l.possibilities")))
+        .when(fmt == "number", X.numbers(source))
+        .when(fmt == "licence_number", X.licence_numbers(source, F.col("l.many")))
+        .when(fmt == "company", X.names(source, F.col("p.backwards"), words))
+        .when(fmt == "date_or_purpose", X.dates_or_purposes(source))
+        .when(fmt == "single_word", X.single_word(source))
+        .otherwise(X.whole_line(source))
+    )
+    return rows.withColumn("inner", got).filter("size(inner) > 0")
 
-    def _between(self, f: FlatLabel, lines: Column, i: Column, line: Column) -> Column:
-        label = f.label
-        matched = self._matched(label, line["text"], i)
-        ends = [x for x in label.ends if x != BLOCK_END]
-        rest = self._next(label, lines, i)
-        starts_block = matched == BLOCK_START
-        after = F.when(starts_block, line["text"]).otherwise(T.text_after(line["text"], matched))
-        head = F.when(after != "", F.array(F.struct(after.alias("text"), line["line_no"].alias("line_no")))).otherwise(X.none())
-
-        def body(rest: Column) -> Column:
-            flags = F.transform(rest, lambda x: first_label(x["text"], ends).isNotNull() if ends else F.lit(False))
-            end = F.array_position(flags, True).cast("int")
-            block = F.concat(head, F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest if BLOCK_END in label.ends else X.none()))
-            block = F.filter(block, lambda x: ~T.looks_corrupted(x["text"]))
-            if label.include_label_text:
-                block = F.when(F.size(block) > 0, F.concat(F.array(line), F.slice(block, F.lit(2), F.size(block)))).otherwise(block)
-            return let(block, lambda b: self._block(f, i, line, matched, b))
-
-        return let(rest, body)
-
-    def _block(self, f: FlatLabel, i: Column, line: Column, matched: Column, block: Column) -> Column:
-        ok = F.size(block) > 0
-        if f.label.must_contain:
-            low = F.lower(F.array_join(F.transform(block, lambda x: x["text"]), "\n"))
-            held = F.lit(False)
-            for x in f.label.must_contain:
-                held = held | F.contains(low, F.lit(x.lower()))
-            ok = ok & held
-        made = node(f.label_id, i, 0, line["line_no"], "between", self._cleaned(f.label, block), matched, block)
-        return F.when(ok, F.array(made)).otherwise(no_nodes())
-
-    def _split(self, f: FlatLabel, lines: Column) -> Column:
-        label = f.label
-        hits = F.filter(indexes(lines), lambda i: self._hit(label, lines, i))
-
-        def parts(first: Column, second: Column, i: Column, matched: Column) -> Column:
-            made = [node(f.label_id, i, n, F.get(x, F.lit(0))["line_no"], "unset", x, matched, x) for n, x in ((1, first), (2, second))]
-            return F.filter(F.array(*made), lambda x: F.size(x["inner"]) > 0)
-
-        def at(i: Column) -> Column:
-            line = F.get(lines, i)
-            matched = self._matched(label, line["text"], i)
-            as_line = lambda t: F.array(F.struct(t.alias("text"), line["line_no"].alias("line_no")))
-            one = F.size(lines) == 1
-            spot = F.instr(F.lower(line["text"]), F.lower(matched))
-            first = F.when(one, as_line(T.text_before(line["text"], matched))).otherwise(cut(lines, F.lit(0), i - 1))
-            second = F.when(one, as_line(F.substring(line["text"], spot, F.length(line["text"])))).otherwise(cut(lines, i - 1, F.size(lines)))
-            first = F.filter(first, lambda x: F.coalesce(x["text"], F.lit("")) != "")
-            return let(first, lambda a: let(second, lambda b: parts(a, b, i, matched)))
-
-        none = F.lit(None).cast("string")
-        whole = F.when(F.size(lines) > 0, parts(lines, X.none(), F.size(lines) - 1, none)).otherwise(no_nodes())
-        return F.filter(F.concat(F.transform(hits, at), F.array(whole)), lambda r: F.size(r) > 0)
-
-    def _related(self, f: FlatLabel, lines: Column, i: Column, line: Column) -> Column:
-        """The number in the frame nearest to the line of the related sibling, the upper of two
-        as near; without the sibling, the uppermost."""
-        label = f.label
-        kin = [
-            c for c in self.children.get(f.parent_id, [])
-            if c.label.category == label.related_category and c.label.name == label.related_name and c.label_id != f.label_id
-        ]
-        anchor = F.coalesce(*[F.get(self.find(c, lines), F.lit(0))["line_no"] for c in kin], F.lit(-1)) if kin else F.lit(-1)
-        around = F.concat(self._previous(label, lines, i), F.array(line), self._next(label, lines, i))
-
-        def nearest(at: Column) -> Column:
-            scored = F.transform(
-                F.filter(around, lambda x: X.first_number(x["text"]).isNotNull()),
-                lambda x: F.struct(F.abs(x["line_no"] - at).alias("gap"), x["line_no"].alias("line_no"), X.first_number(x["text"]).alias("text")),
-            )
-            return let(
-                F.array_min(scored),
-                lambda b: F.when(
-                    b.isNotNull(),
-                    F.array(node(f.label_id, i, 0, b["line_no"], "unset", F.array(F.struct(b["text"].alias("text"), b["line_no"].alias("line_no"))), self._matched(label, line["text"], i))),
-                ).otherwise(no_nodes()),
-            )
-
-        return let(anchor, nearest)
+
+def _removed(text: Column) -> Column:
+    """The label's removal rules one after another, then edge trimming."""
+
+    def step(acc: Column, r: Column) -> Column:
+        held = F.when(r["literal"].isNull(), F.regexp_like(acc, r["pattern"])).when(r["anchored"], F.startswith(acc, r["literal"])).otherwise(F.contains(acc, r["literal"]))
+        return F.when(~held, acc).when(r["whole"], F.lit("")).otherwise(F.regexp_replace(acc, r["pattern"], F.lit("")))
+
+    return T.trim_formatting(F.aggregate("l.rules", text, step))
+
+
+def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | None) -> DataFrame:
+    """All candidate nodes of one level."""
+    found = values(places(hits(segments, labels)), first_names)
+    cleaned = F.filter(F.transform("inner", lambda x: _as_line(_removed(x["text"]), x["line_no"])), lambda x: x["text"] != "")
+    texts = F.when((F.size("l.rules") > 0) & F.col("l.format").isin("text", "company") & (F.col("l.position") != "split"), cleaned).otherwise(F.col("inner"))
+    own_line = F.col("l.position").isin("between") | F.col("p.kind").isin("same_line", "same_line_2_lines", "same_line_single_word")
+    name = F.concat_ws(":", F.col("l.label_id").cast("string"), F.col("i").cast("string"), F.col("p.ord").cast("string"))
+    return found.select(
+        "doc_id", F.col("l.group").alias("group"), F.concat_ws("/", F.coalesce("parent_id", F.col("l.group")), name).alias("node_id"), "parent_id",
+        F.col("l.label_id").alias("label_id"), F.when(own_line, F.col("line.line_no")).otherwise(F.get("inner", F.lit(0))["line_no"]).alias("line_no"),
+        F.col("p.kind").alias("match_type"), texts.alias("texts"), F.nullif("matched", F.lit("")).alias("matched_text"), "inner",
+        F.col("i").alias("_spot"), F.col("p.ord").alias("_try"), (F.col("p.mode") == "related").alias("_related"),
+    )
 
 
 def documents_as_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,66 +243,88 @@ def gather_lines(lines: DataFrame) -> DataFrame:
 
 
 def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
-    """Applies minimum counts, then first-wins, from the innermost level up, and keeps nodes
-    whose parents stay. A split part with too few matches voids the other part of its cut.
-    Windows inside a document only: one shuffle, by ``doc_id``."""
-    keys = ("depth", "least", "split", "first", "ord")
-    rows = [(f.label_id, (f.depth, f.label.minimum_sub_matches, f.label.position == "split", f.label.multiple == "first", f.ord)) for f in flat]
-    facts = F.create_map(*[v for k, r in rows for v in (F.lit(k), F.struct(*[F.lit(x).alias(n) for x, n in zip(r, keys, strict=True)]))])
-    out = nodes.repartition("doc_id").withColumns(
+    """From the innermost level up: minimum counts (a split part with too few matches voids the
+    other part of its cut), the first place and line that succeed, label hits before block
+    starts, and numbers nearest to the line of a related sibling. Then nodes stay whose parents
+    do. Windows inside a document only: one shuffle, by ``doc_id``."""
+    facts = _literal(
         {
-            "_f": F.element_at(facts, F.col("label_id")), "_alive": F.lit(True),
-            "_spot": F.regexp_extract("node_id", r":(\d+):\d+$", 1).cast("int"), "_up": F.coalesce("parent_id", F.lit("")),
-        }
+            str(f.label_id): {
+                "depth": f.depth, "least": f.label.minimum_sub_matches, "split": f.label.position == "split", "multiple": f.label.multiple, "ord": f.ord,
+                "name": f.label.name, "category": f.label.category, "want": [f.label.related_category, f.label.related_name],
+            }
+            for f in flat
+        },
+        "map<string,struct<depth:int,least:int,split:boolean,multiple:string,ord:int,name:string,category:string,want:array<string>>>",
+    )
+    out = nodes.repartition("doc_id").withColumns(
+        {"_f": F.element_at(facts, F.col("label_id").cast("string")), "_alive": F.lit(True), "_up": F.coalesce("parent_id", "group")}
     )
     depth = max((f.depth for f in flat), default=0)
     level, alive = F.col("_f.depth"), F.col("_alive")
+    hit, same, kin = (W.partitionBy("doc_id", "_up", *k) for k in (["label_id", "_spot"], ["label_id"], []))
     for d in range(depth, -1, -1):
         here = level == d
+
+        def narrowed(df: DataFrame, keep: Column, here: Column = here) -> DataFrame:
+            return df.withColumn("_alive", F.when(here, alive & F.coalesce(keep, F.lit(False))).otherwise(alive))
+
         family = W.partitionBy("doc_id", F.when(level == d + 1, F.col("parent_id")).otherwise(F.col("node_id")))
-        enough = F.sum(((level == d + 1) & alive).cast("int")).over(family) >= F.col("_f.least")
-        out = out.withColumn("_ok", enough)
-        cut = W.partitionBy("doc_id", "_up", "group", "label_id", "_spot")
-        out = out.withColumn("_alive", F.when(here, F.when(F.col("_f.split"), F.min("_ok").over(cut)).otherwise(F.col("_ok"))).otherwise(alive))
-        same = W.partitionBy("doc_id", "_up", "group", "label_id")
-        lowest = F.min(F.when(alive, F.col("_spot"))).over(same)
-        out = out.withColumn("_alive", F.when(here & F.col("_f.first"), alive & (F.col("_spot") == lowest)).otherwise(alive))
+        out = out.withColumn("_ok", F.sum(((level == d + 1) & alive).cast("int")).over(family) >= F.col("_f.least"))
+        out = narrowed(out, F.when(F.col("_f.split"), F.min("_ok").over(hit)).otherwise(F.col("_ok")))
+        every_place = F.col("_f.split") | (F.col("_f.multiple") == "every_value")
+        out = narrowed(out, every_place | (F.col("_try") == F.min(F.when(alive, F.col("_try"))).over(hit)))
+        named = F.max(F.when(alive, F.coalesce(F.col("matched_text") != BLOCK_START, F.lit(True)))).over(same)
+        out = narrowed(out, F.coalesce(F.col("matched_text") != BLOCK_START, F.lit(True)) | ~named)
+        out = narrowed(out, (F.col("_f.multiple") != "first") | (F.col("_spot") == F.min(F.when(alive, F.col("_spot"))).over(same)))
+        if any(f.depth == d and f.label.multiple == "joined" for f in flat):
+            parts = F.sort_array(F.collect_list(F.when(alive, F.struct("_spot", "texts"))).over(same))
+            lowest = F.col("_spot") == F.min(F.when(alive, F.col("_spot"))).over(same)
+            joined = here & (F.col("_f.multiple") == "joined")
+            out = out.withColumns({"_all": parts, "_low": lowest})
+            out = out.withColumn("texts", F.when(joined, F.flatten(F.transform("_all", lambda x: x["texts"]))).otherwise(F.col("texts")))
+            out = narrowed(out, ~joined | F.col("_low")).drop("_all", "_low")
+        if any(f.depth == d and f.label.position == "related" for f in flat):
+            seen = F.collect_set(F.when(alive & (level == d), F.struct(F.col("_f.category").alias("c"), F.col("_f.name").alias("n"), "line_no"))).over(kin)
+            at = F.coalesce(F.array_min(F.transform(F.filter("_kin", lambda k: (k["c"] == F.col("_f.want")[0]) & (k["n"] == F.col("_f.want")[1])), lambda k: k["line_no"])), F.lit(-1))
+            near = F.array_min(F.transform("texts", lambda x: F.struct(F.abs(x["line_no"] - F.col("_anchor")).alias("gap"), x["line_no"].alias("line_no"), x["text"].alias("text"))))
+            chosen = here & F.col("_related")
+            out = out.withColumn("_kin", seen).withColumn("_anchor", at).withColumn("_near", near)
+            out = out.withColumns(
+                {
+                    "line_no": F.when(chosen, F.col("_near.line_no")).otherwise(F.col("line_no")),
+                    "texts": F.when(chosen, F.array(_as_line(F.col("_near.text"), F.col("_near.line_no")))).otherwise(F.col("texts")),
+                }
+            ).drop("_kin", "_anchor", "_near")
     best = F.min(F.when(alive & (level == 0), F.col("_f.ord"))).over(W.partitionBy("doc_id", "group"))
     out = out.withColumn("_alive", F.when(level == 0, alive & (F.col("_f.ord") == best)).otherwise(alive))
     for d in range(1, depth + 1):
         family = W.partitionBy("doc_id", F.when(level == d, F.col("parent_id")).otherwise(F.col("node_id")))
         above = F.max(F.when(level == d - 1, alive)).over(family)
-        out = out.withColumn("_alive", F.when(level == d, alive & above).otherwise(alive))
-    return out.filter("_alive").drop("_f", "_alive", "_spot", "_up", "_ok")
+        out = out.withColumn("_alive", F.when(level == d, alive & F.coalesce(above, F.lit(False))).otherwise(alive))
+    return out.filter("_alive").withColumn("name", F.col("_f.name")).drop("_f", "_alive", "_up", "_ok", "_spot", "_try", "_related", "inner")
 
 
 def extract(docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: Sequence[str] | None = None, is_ocr: bool = False, service: str = "native") -> DataFrame:
     """All matches of a catalogue in ``docs`` (``doc_id``, ``lines``): a row for each node with
     ``group``, ``node_id``, ``parent_id``, ``label_id``, ``name``, ``line_no``, ``match_type``,
-    ``texts``, ``matched_text``, ``is_ocr`` and ``service``."""
+    ``texts``, ``matched_text``, ``is_ocr`` and ``service``. Linked licences are followed by
+    :func:`marlstone.operators.links.closure`, so their labels give no rows here."""
     flat = flatten(groups)
-    finder = Finder(flat, first_names)
-    flat_text = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
-    found = []
-    for f in (f for f in flat if f.parent_id is None):
-        # documents without any text of the label are told apart before their lines are scanned
-        held = F.lit(not f.label.texts or BLOCK_START in f.label.texts)
-        for x in f.label.texts:
-            held = held | F.contains(flat_text, F.lit(x.lower()))
-        nodes = F.when(held, finder.find(f, F.col("lines"))).otherwise(no_nodes())
-        found.append(F.transform(nodes, _below(F.lit(f.group + "/"))))
-    rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("n"), F.lit(None).cast("string").alias("parent_id"))
-    for depth in range(max((f.depth for f in flat), default=0)):
-        subs = []
-        for f in (f for f in flat if f.depth == depth + 1):
-            here = (F.col("n.label_id") == f.parent_id) & (F.size(F.split("n.path", "/")) == depth + 2)
-            subs.append(F.when(here, finder.find(f, F.col("n.inner"))).otherwise(no_nodes()))
-        child = F.transform(F.flatten(F.array(*subs)), lambda x: F.struct(x.withField("path", F.concat(F.col("n.path"), F.lit("/"), x["path"])).alias("n"), F.col("n.path").alias("parent_id")))
-        rows = rows.select("doc_id", F.explode(F.concat(F.array(F.struct("n", "parent_id")), child)).alias("r")).select("doc_id", "r.n", "r.parent_id")
-    names = F.create_map(*[v for f in flat for v in (F.lit(f.label_id), F.lit(f.label.name))])
-    nodes = rows.select(
-        "doc_id", F.substring_index("n.path", "/", 1).alias("group"), F.col("n.path").alias("node_id"), "parent_id",
-        "n.label_id", F.element_at(names, F.col("n.label_id")).alias("name"), "n.line_no", "n.match_type", "n.texts", "n.matched_text",
-        F.lit(is_ocr).alias("is_ocr"), F.lit(service).alias("service"),
-    )
-    return settle(nodes, flat)
+    catalogue: dict[str, list[dict]] = {}
+    for f in flat:
+        if f.label.format != "linked_licence":
+            catalogue.setdefault(str(f.parent_id), []).append(_label_row(f))
+    labels = lambda key: F.element_at(_literal(catalogue, f"map<string,array<{LABEL}>>"), key)
+    segments = docs.select("doc_id", F.lit(None).cast("string").alias("parent_id"), "lines")
+    depth = max((f.depth for f in flat), default=0)
+    level = nodes_of(segments, labels(F.lit("None")), first_names)
+    level = settled(level) if depth else level
+    found = level
+    for _ in range(depth):
+        segments = level.filter(F.col("label_id").cast("string").isin(*catalogue)).select(
+            "doc_id", F.col("node_id").alias("parent_id"), F.col("inner").alias("lines"), F.col("label_id").cast("string").alias("_key")
+        )
+        level = settled(nodes_of(segments, labels(F.col("_key")), first_names))
+        found = found.unionByName(level)
+    return settle(found, flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})
