@@ -28,9 +28,10 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those whose codeword fits no language."""
+    """Rejects texts without a letter and those whose codeword fits no language. Rows that share
+    an id go together."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), "doc_id", "text", "lang")
-    found = identify(docs.dropDuplicates(["doc_id", "text"]), model)
+    found = identify(docs, model)
     bad = found.filter((F.col("lang_pred") == "und") | F.col("ambiguous") & (F.col("score") < LEAST_LANGUAGE_SCORE))
     return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
