@@ -19,6 +19,9 @@ from marlstone.llm.words import word_hashes
 
 #: At most about this many labelled rows are fitted, chosen by a hash of the id.
 TRAIN_ROWS = 8000
+#: A path with more than this share of all rows, of which there are fewer than 1 / share, is
+#: joined by broadcast and not shuffled.
+HOT_SHARE = 1 / 256
 #: Documents below this score are rejected.
 LEAST_SCORE = 0.3
 _CLASS = np.zeros(256, np.int64)
@@ -140,9 +143,14 @@ def score_quality(
     prior = logit(F.lit(rate))
     p_path = (F.col("_s") - F.col("p_doc") + below * F.col("p_host")) / (F.col("_n") - 1 + below)
     odds = logit(F.col("p_doc")) + logit(F.col("p_path")) - prior
+    keys = ["_host", "_path"]
+    is_hot = F.col("_n") > HOT_SHARE * rows
+    hot = F.broadcast(paths.filter(is_hot))
+    joined = scored.join(hot, keys).unionByName(
+        scored.join(hot.select(*keys), keys, "left_anti").join(paths.filter(~is_hot), keys)
+    )
     return (
-        scored.join(paths, ["_host", "_path"])
-        .withColumn("p_path", F.least(F.lit(0.999), F.greatest(F.lit(0.001), p_path)))
+        joined.withColumn("p_path", F.least(F.lit(0.999), F.greatest(F.lit(0.001), p_path)))
         .select(id_col, "p_doc", "p_host", "p_path", (1 / (1 + F.exp(-odds))).alias("score"))
         .withColumn("kept", F.col("score") >= least)
     )
