@@ -151,9 +151,12 @@ def q_title_prefix_lines(spark, sf):
 
 
 def q_reading_order(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    # texts are dealt out before they become words, which have many times their bytes
+    docs = docs.repartition(8 * docs.rdd.getNumPartitions(), "doc_id")
     words = (
-        doc_lines(spark, sf).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("w", "text")).filter("w < 40 AND line_no < 30")
-        .withColumns({"page_no": F.lit(1), "word_no": F.col("line_no") * 100 + F.col("w")})
+        S.from_documents(docs).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("w", "text"))
+        .withColumns({"page_no": F.lit(1), "word_no": F.col("line_no").cast("long") * (1 << 31) + F.col("w")})
         .withColumns({"top": 1000 - F.col("line_no") * 12.5 - (F.col("w") % 2) * 1.0, "left": F.col("w") * 12.5})
     )
     out = S.reading_order(words, 500, 5, 25.0)
