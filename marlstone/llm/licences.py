@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import stage_table, table
 
 UNKNOWN = "unknown"
 #: Share of word pairs of the shorter of paragraph and template that confirms a family.
 LEAST_SHARED = 0.6
-#: A paragraph has to hold one of these to be looked at; others belong to no family.
+#: A paragraph that holds one of these is returned even where no family is confirmed.
 ANCHORS = (
     "licen", "copyright", "rights reserved", "warrant", "redistribut", "permission", "public domain",
     "creative commons", "cc by", "cc-by", "cc0", "spdx", "gnu ", "(c)", "copyleft",
@@ -42,6 +42,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "Released under the GPL v3 license.", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Distributed under the GPLv3.", "Distributed under the GPLv2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
@@ -83,7 +84,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This is free and unencumbered software released into the public domain.",
     ),
     "Proprietary": (
-        "All rights reserved.", "Copyright (c) 2020 Example Ltd. All rights reserved.",
+        "All rights reserved.", "Tous droits réservés.", "Tous droits reserves.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.",
+        "Copyright (c) 2020 Example Ltd. All rights reserved.",
         "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
     ),
 }
@@ -97,6 +99,13 @@ OTHERS = (
     "The book is no longer under copyright.", "See the licence for details.", "The museum has a licence to sell drinks.", "A public domain of the king was the forest.",
 )
 
+#: Words too common to tell a notice; a pair with one of them is no evidence.
+COMMON = frozenset("a all an and any are as at be by for from if in into is it may not of on or that the this to under was with you your".split())
+#: Words that are evidence of a family by themselves.
+NAMES = ("gpl", "gplv2", "gplv3", "lgpl", "agpl", "mpl", "cc0", "spdx")
+#: Words that make each pair with an uncommon word evidence by itself.
+MAKERS = frozenset(("apache", "bsd", "isc", "mozilla", "gnu", "affero", "rechte", "droits", "derechos"))
+
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
 
 
@@ -177,9 +186,26 @@ def holds_anchor(text: Column) -> Column:
     return out
 
 
+def evidence() -> tuple[list[str], list[str]]:
+    """Words and pairs of which one is evidence of a family, and pairs of which it takes two: all
+    pairs of the templates without a common word."""
+    pairs = {g for ts in TEMPLATES.values() for t in ts for g in grams(t) if g.count(" ") == 1 and not COMMON & set(g.split())}
+    strong = {g for g in pairs if MAKERS & set(g.split())}
+    return sorted(strong.union(NAMES)), sorted(pairs - strong)
+
+
+def holds_evidence(text: Column) -> Column:
+    strong, weak = (F.array(*map(F.lit, x)) for x in evidence())
+    held = lambda runs: F.arrays_overlap(runs, strong) | (F.size(F.array_intersect(runs, weak)) >= 2)
+    return F.get(F.transform(F.array(word_runs(text, (1, 2))), held), F.lit(0))
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_shared: float = LEAST_SHARED) -> DataFrame:
-    """One row per paragraph that holds an anchor: id, ``para`` (0-based among the text's lines),
-    ``family``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
+    """One row per paragraph that holds an anchor or is confirmed as a family: id, ``para`` (0-based
+    among the text's lines), ``family``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
+
+    Every line is tested for evidence from the templates (:func:`evidence`), with or without an
+    anchor. A paragraph is one line: a notice wrapped over lines is judged line by line.
 
     ``family`` is ``unknown`` where that class is likeliest or no template confirms. Of equal
     probabilities the first family by name is taken. Null and empty texts have no paragraphs.
@@ -196,10 +222,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
          for f, ts in TEMPLATES.items() for t, text in enumerate(ts) for p in [[g for g in sorted(grams(text)) if g.count(" ") == 1]] for g in p],
         "family: string, _template: int, _size: int, _gram: string",
     )
-    found = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(holds_anchor(F.col("_text")))
+    found = stage_table(
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .select("_id", F.posexplode(F.split("_text", "\n", -1)).alias("para", "paragraph"))
-        .filter(holds_anchor(F.col("paragraph"))).distinct()
+        .filter(holds_anchor(F.col("paragraph")) | holds_evidence(F.col("paragraph"))).distinct()
     )
     key = ["_id", "para", "paragraph"]
     scored = (
@@ -225,7 +251,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return guessed.join(likeness, key, "left").select(
         F.col("_id").alias(id_col), "para", F.when(confirmed, F.col("_family")).otherwise(UNKNOWN).alias("family"),
         "probability", shared.alias("shared"), confirmed.alias("confirmed"), "paragraph",
-    )
+    ).filter(F.col("confirmed") | holds_anchor(F.col("paragraph")))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
