@@ -1,4 +1,6 @@
-"""Licence notices that hold no anchor."""
+"""Licence notices that hold no anchor, and the scan against a brute-force version."""
+
+import numpy as np
 
 from marlstone.llm import licences as L
 
@@ -14,3 +16,25 @@ def test_notices_without_an_anchor(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     got = {r.paragraph: (r.para, r.family) for r in L.scan_licences(docs).collect()}
     assert got == {t: (i, BARE[t]) for i, t in enumerate(BARE)}
+
+
+def brute(line, model):
+    """The family of a line by the model and the templates, without Spark."""
+    at = {g: i for i, g in enumerate(model.vocabulary)}
+    known = [at[g] for g in L.grams(line) if g in at]
+    z = np.round(model.weights[known], 6).sum(0) / np.sqrt(max(len(known), 1)) + model.bias
+    family = model.families[int(z.argmax())]
+    pairs = lambda t: {g for g in L.grams(t) if g.count(" ") == 1}
+    own = pairs(line)
+    shared = max((len(own & pairs(t)) / min(len(own), len(pairs(t))) for t in L.TEMPLATES.get(family, ()) if own and pairs(t)), default=0)
+    return family if shared >= L.LEAST_SHARED else L.UNKNOWN
+
+
+def test_all_families_equal_brute_force(spark):
+    lines = [f"{a}{t}" for ts in L.TEMPLATES.values() for t in ts for a in ("", "Please note: ")] + list(L.OTHERS)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model = L.Model()
+    got = {r.doc_id: r.family for r in L.scan_licences(docs).collect()}
+    want = {i: brute(t, model) for i, t in enumerate(lines)}
+    assert {i: got.get(i, L.UNKNOWN) for i in want} == want
+    assert set(want.values()) == {*L.TEMPLATES, L.UNKNOWN}
