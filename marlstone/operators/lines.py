@@ -71,7 +71,7 @@ def lines_after(hits: DataFrame, lines: DataFrame, frame: Column | int, keys: Se
 
 
 def between_blocks(
-    lines: DataFrame, start: Sequence[str], end: Sequence[str], frame: int, must_contain: Sequence[str] = (), keys: Sequence[str] = ("doc_id",)
+    lines: DataFrame, start: Sequence[str], end: Sequence[str], frame: Column | int, must_contain: Sequence[str] = (), keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """A block for each line that matches a start text: from what follows the text on its line
     to the line before the first end text, or to the end of the frame where ``end`` lists

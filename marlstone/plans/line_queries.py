@@ -75,7 +75,7 @@ def q_context_window(spark, sf):
 
 def q_between_block(spark, sf):
     lines = S.from_documents(read(spark, sf, "pages"), "page_id", "html", "<").withColumn("text", F.replace("text", F.lit(">"), F.lit(" ")))
-    blocks = O.between_blocks(lines, ["article"], ["/article", "footer"], 400)
+    blocks = O.between_blocks(lines, ["article"], ["/article", "footer"], F.lit(1 << 40))
     return blocks.groupBy(F.col("doc_id").alias("page_id"), "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"))
 
 

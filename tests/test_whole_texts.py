@@ -28,3 +28,10 @@ def test_reading_order_keeps_every_word(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.lines, r.blanks, r.chars) for r in registry.queries()["reading_order"](spark, str(tmp_path)).collect()}
     assert got == {i: read_in_order(t) for i, t in enumerate(texts)}
+
+
+def test_between_block_takes_long_articles(spark, tmp_path):
+    pages = [(n, "<html><article>" + "<p>x" * n + "</article><footer>") for n in (3, 500)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.start_line, r.lines, r.end_line) for r in registry.queries()["between_block"](spark, str(tmp_path)).collect()}
+    assert got == {n: (2, n, n + 3) for n, _ in pages}
