@@ -115,6 +115,9 @@ def score_quality(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``p_doc``, ``p_host``, ``p_path``, ``score``, ``kept``.
 
+    ``documents`` has no path: by default the path level is the language, which shifts the score
+    (no decision of the 10,000 at scale factor 0.1 differs from that with a constant path).
+
     Null and empty texts have measures of zero. Null hosts and paths are groups of their own,
     the empty ones. Labels other than 0 and 1 are ignored; of several labels of an id the
     largest counts. Without usable labels all evidence is 0.5 and everything stays. Repeated
