@@ -1,20 +1,60 @@
-"""Tables between the steps of a job."""
+"""Tables between the steps of a job, in a folder that all executors share."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of this process, by application; those of applications that ended go with the next one.
+_folders: dict[str, tuple] = {}
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """The folder of this application's stage tables: below ``spark.checkpoint.dir``, or below the
+    warehouse, which executors share too, where that is unset. It is deleted when the
+    application's JVM ends, or earlier by :func:`drop_stages`."""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/stages-{app}"
+    if path not in _folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        for old in [k for k in _folders if not k.endswith(app)]:
+            _delete(old)
+        _folders[path] = (fs, at)
+    return path
+
+
+def _delete(path: str) -> None:
+    fs, at = _folders.pop(path)
+    fs.delete(at, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of the application; results that still read them must be written."""
+    app = spark.sparkContext.applicationId
+    for path in [k for k in _folders if k.endswith(app)]:
+        _delete(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back: its lineage and
-    plan end there, and a lost executor costs only the tasks that read it. Without that setting,
-    as in tests, ``df`` is kept in the session's cache."""
+    """``df`` written to the stage folder and read back: its lineage and plan end there, a lost
+    executor costs only the tasks that read it, and adaptive execution sees real sizes. The files
+    stay until :func:`drop_stage`, :func:`drop_stages` or the end of the application."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base}/step-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Remove the files behind a :func:`settled` result that nothing reads any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
