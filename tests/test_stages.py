@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 CODE = """
@@ -24,9 +25,7 @@ def test_no_stage_file_is_left(tmp_path):
         done = subprocess.run([sys.executable, "-c", CODE, str(at), how], cwd=Path(__file__).parent.parent, env=os.environ, capture_output=True, timeout=120)
         assert done.returncode == 0, done.stderr[-500:]
         for _ in range(50):
-            if not list(at.rglob("*.parquet")):
+            if not list(at.glob("stages-*")):
                 break
-            import time
-
             time.sleep(0.2)
-        assert not list(at.iterdir())
+        assert not list(at.glob("stages-*")) and not list(at.rglob("*.parquet"))
