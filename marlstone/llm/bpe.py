@@ -26,8 +26,10 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
-#: Pretokens kept in memory by one worker.
-CACHE_ENTRIES = 200_000
+#: Pieces that one cache of a worker remembers, and their greatest length: together they bound its
+#: bytes (some 60 MB). Longer pieces are worked out each time.
+CACHE_ENTRIES = 100_000
+CACHED_LENGTH = 48
 FAR = 1 << 60
 
 
@@ -56,6 +58,8 @@ class Pieces(dict):
         self.work, self.old = work, {}
 
     def __missing__(self, piece):
+        if len(piece) > CACHED_LENGTH:
+            return self.work(piece)
         out = self.old.get(piece)
         if out is None:
             out = self.work(piece)
@@ -197,6 +201,8 @@ class ByteBpe(PieceCodec):
                         last[end], size[end] = token, n
         out, at = [], len(data)
         while at:
+            if not size[at]:
+                raise ValueError("the vocabulary lacks a token for a byte")
             out.append(last[at])
             at -= size[at]
         out.reverse()
@@ -230,7 +236,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and
     ``ids`` (little-endian unsigned 32-bit) unless ``with_ids`` is off.
 
-    A map over Arrow batches without a shuffle: memory is one batch and the bounded caches.
+    A map over Arrow batches without a shuffle: memory is one batch and caches of bounded bytes.
     Null text counts as empty (no tokens). Whole texts are encoded, however long; repeated rows
     and ids give a row each; an empty table gives no rows; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,59 +1,40 @@
-"""Shared helpers: stage tables, table loading and connected components."""
+"""Shared helpers: table loading, joins with hot keys and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.stages import drop_stage, settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost
-    executor costs only the tasks that read it, and AQE sees real sizes. The files stay
-    until the session ends or :func:`drop_stage` removes them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Remove the files behind a :func:`stage_table` result that nothing reads any more."""
-    path = getattr(df, "_stage_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most: int = 4096) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and in ``weight`` about how
+    many rows of ``left`` bear it. Keys with more than a ``most``-th of that weight, of which
+    there are fewer than ``most``, are joined by broadcast, so that no hot key is dealt to one
+    task; all others are shuffled. ``right`` is read several times: give a stage table."""
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * most > total
+    hot = F.broadcast(right.filter(is_hot))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(~is_hot).hint("merge"), keys)
+    return left.join(hot, keys).unionByName(cold)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list.
 
-    ``edges`` has long columns ``a`` and ``b``; the result has ``node`` and ``component``,
+    ``edges`` has columns ``a`` and ``b`` of one orderable type; the result has ``node`` and ``component``,
     one row for each node that has an edge to another. Alternating large-star and small-star
     rounds with plain joins and partially aggregated minima, so a hub with millions of edges
     is never gathered into a group (its rows may be split by AQE's skew join).
     Self-loops and repeated edges are allowed; no edges gives no rows."""
     if "component" in edges.columns:
         raise ValueError("edges must have columns a and b only")
-    cur = stage_table(
+    cur = settled(
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
@@ -74,7 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .filter("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         )
-        nxt = stage_table(small)
+        nxt = settled(small)
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         drop_stage(cur)
         cur = nxt

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import connected_components, stage_table, table
+from marlstone.llm.common import connected_components, table
+from marlstone.operators.stages import settled
 from marlstone.llm.minhash import runs
 from marlstone.llm.words import mixed
 
@@ -121,7 +122,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["_id", "_v"])
 
     base = vectors.select(F.col(id_col).cast("long").alias("_id"), vec_col).mapInArrow(clean, "_id long, _v binary")
-    reps = stage_table(
+    reps = settled(
         base.filter("_v IS NOT NULL").groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_mult"))
         .withColumn("_d", (F.length("_v") / 8).cast("int"))
     )
@@ -203,7 +204,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                         ["a", "n", "b"],
                     )
 
-    found = stage_table(dealt.mapInArrow(compare, "a long, n long, b long"))
+    found = settled(dealt.mapInArrow(compare, "a long, n long, b long"))
     degree = found.groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
     parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "_rep")
     classes = reps.select("_v", "_rep", "_mult").join(degree, "_rep", "left").join(parts, "_rep", "left").select(

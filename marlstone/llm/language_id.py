@@ -19,6 +19,8 @@ DIMS = 4096
 ORDERS = 3
 #: At most about this many labelled rows are fitted, spread evenly over the languages.
 TRAIN_ROWS = 3000
+#: Languages that are learned at most.
+MOST_LANGUAGES = 200
 STEPS = 150
 #: A lead in score below this is flagged as ambiguous.
 LEAST_LEAD = 0.2
@@ -122,15 +124,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on about ``train_rows`` rows, chosen by a hash of the id, evenly by language.
-    Only n-gram vectors of these rows reach the driver. Rows without text or language are left out."""
+def train(
+    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS, most_languages: int = MOST_LANGUAGES
+) -> Model:
+    """Fits a model on about ``train_rows`` rows, chosen by a hash of the id, evenly by language,
+    of the ``most_languages`` most frequent languages (ties by name); others are not learned. Only
+    n-gram vectors of these rows reach the driver. Rows without text or language are left out."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
     )
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most_languages).collect()
     each = max(1, train_rows // max(1, len(counts)))
-    share = F.coalesce(*[F.when(F.col("_lang") == k, min(1.0, each / n)) for k, n in counts.items()], F.lit(0.0))
+    # at most most_languages rows
+    shares = labelled.sparkSession.createDataFrame([(r[0], min(1.0, each / r[1])) for r in counts], "_lang string, _share double")
     at = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string")), 11) / float(1 << 53)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_
                 ["lang", "at", "value"],
             )
 
-    sample = rows.filter(at < share).select("_lang", "_text").mapInArrow(run, "lang string, at array<int>, value array<float>")
+    sample = rows.join(F.broadcast(shares), "_lang").filter(at < F.col("_share")).select("_lang", "_text").mapInArrow(run, "lang string, at array<int>, value array<float>")
     got = sample.toArrow().sort_by("lang")
     x, y = np.zeros((got.num_rows, DIMS), np.float32), got.column("lang").to_pylist()
     for i, (k, v) in enumerate(zip(got.column("at"), got.column("value"), strict=True)):
@@ -154,31 +160,33 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_
     return fit(x, y, sorted(set(y)))
 
 
+def predicted(text: Column, model: Model, least_lead: float = LEAST_LEAD) -> Column:
+    """Struct of ``lang_pred``, ``score`` and ``ambiguous`` of a whole text, by Arrow batches."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        lang, score, unsure = ["und"] * n, np.zeros(n), np.zeros(n, bool)
+        for begin in range(0, n, 256):
+            found = [(i, x) for i in range(begin, min(begin + 256, n)) if (x := features(texts[i].as_py())) is not None]
+            if found and model.languages:
+                at = [i for i, _ in found]
+                best, s, lead = model.decode(np.stack([x for _, x in found]))
+                score[at], unsure[at] = s, lead < least_lead
+                for i, k in zip(at, best, strict=True):
+                    lang[i] = model.languages[k]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["lang_pred", "score", "ambiguous"])
+
+    return F.arrow_udf(run, "lang_pred string, score double, ambiguous boolean", F.ArrowUDFType.SCALAR)(text)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_lead: float = LEAST_LEAD) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``ambiguous`` after the text and id columns.
+    """One row per row of ``docs``: id, ``lang_pred``, ``score`` and ``ambiguous``.
 
     One map over Arrow batches. Text that is null, empty or without a letter is ``und`` with
     score 0 and not ambiguous, as is every text where no language was learned. Equal losses go
     to the first language by name. Texts count whole; other columns are ignored."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            lang, score, unsure = ["und"] * n, np.zeros(n), np.zeros(n, bool)
-            for begin in range(0, n, 256):
-                found = [(i, x) for i in range(begin, min(begin + 256, n)) if (x := features(batch.column(1)[i].as_py())) is not None]
-                if found and model.languages:
-                    at = [i for i, _ in found]
-                    best, s, lead = model.decode(np.stack([x for _, x in found]))
-                    score[at], unsure[at] = s, lead < least_lead
-                    for i, k in zip(at, best, strict=True):
-                        lang[i] = model.languages[k]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], [id_col, "lang_pred", "score", "ambiguous"]
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    found = docs.select(F.col(id_col).alias("_id"), predicted(F.col(text_col), model, least_lead).alias("_p"))
+    return found.select(F.col("_id").alias(id_col), "_p.lang_pred", "_p.score", "_p.ambiguous")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stage_table, table
+from marlstone.llm.common import table
+from marlstone.operators.stages import settled
 
 UNKNOWN = "unknown"
 #: Share of word pairs of the shorter of paragraph and template that confirms a family.
@@ -222,7 +223,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
          for f, ts in TEMPLATES.items() for t, text in enumerate(ts) for p in [[g for g in sorted(grams(text)) if g.count(" ") == 1]] for g in p],
         "family: string, _template: int, _size: int, _gram: string",
     )
-    found = stage_table(
+    found = settled(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .select("_id", F.posexplode(F.split("_text", "\n", -1)).alias("para", "paragraph"))
         .filter(holds_anchor(F.col("paragraph")) | holds_evidence(F.col("paragraph"))).distinct()

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import join_split, table
+from marlstone.operators.stages import settled
 
 #: Sites from which a line counts as boilerplate.
 SITES = 10
@@ -18,39 +19,41 @@ SITES = 10
 SKETCH_BITS = 12
 #: Estimates within this share of the threshold, nine standard errors, are counted exactly.
 BAND = 0.15
+LINE = ["h1", "h2"]
 
 
-def numbered_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """``_id``, ``_key`` (of the text), ``_pos``, ``_site`` and the line's 128-bit hash
-    (``_h1``, ``_h2``, null where it is blank)."""
-    line = F.trim("_line")
-    return (
-        docs.select(
-            F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("_site"),
-            F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("_pos", "_line"),
-        )
-        .select(
-            "_id", "_key", "_site", "_pos",
-            F.when(line != "", F.xxhash64(line)).alias("_h1"), F.when(line != "", F.xxhash64(F.lit(17), line)).alias("_h2"),
-        )
+def rows_with_keys(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """The rows as a struct ``row``, whose names cannot clash with those beside it: ``doc`` (id
+    and a hash of the text, never null as a whole), ``site`` and the ``lines`` of the text."""
+    text = F.col(text_col)
+    return docs.select(
+        F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")).alias("doc"),
+        F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"),
+    )
+
+
+def shown_lines(rows: DataFrame) -> DataFrame:
+    """``doc``, ``site``, ``pos`` and the 128-bit hash (``h1``, ``h2``) of lines that are not blank."""
+    line = F.trim("line")
+    return rows.select("doc", "site", F.posexplode("lines").alias("pos", "line")).filter(line != "").select(
+        "doc", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(17), line).alias("h2")
     )
 
 
 def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """Hashes of lines on at least ``sites`` sites, with the id and position of the first."""
-    spread = (
-        lines.filter("_h1 IS NOT NULL").groupBy("_h1", "_h2")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", SKETCH_BITS)).alias("_est"), F.min(F.struct("_id", "_pos")).alias("_first"))
-        .filter(F.col("_est") >= sites * (1 - BAND))
+    """Hashes of lines on at least ``sites`` sites, with ``first`` (document and position) and
+    ``n``, how often the line occurs."""
+    spread = settled(
+        lines.groupBy(*LINE)
+        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("est"), F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
+        .filter(F.col("est") >= sites * (1 - BAND))
     )
-    near = spread.filter(F.col("_est") <= sites * (1 + BAND))
+    near = spread.filter(F.col("est") <= sites * (1 + BAND))
     exact = (
-        lines.join(near.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
-        .groupBy("_h1", "_h2", "_site").agg(F.min(F.struct("_id", "_pos")).alias("_first"))
-        .groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min("_first").alias("_first"))
-        .filter(F.col("_n") >= sites)
+        join_split(lines, near.select(*LINE, "n"), LINE, "n").groupBy(*LINE, "site").agg(F.lit(1))
+        .groupBy(*LINE).count().filter(F.col("count") >= sites).select(*LINE)
     )
-    return spread.filter(F.col("_est") > sites * (1 + BAND)).select("_h1", "_h2", "_first").union(exact.select("_h1", "_h2", "_first"))
+    return settled(spread.filter(F.col("est") > sites * (1 + BAND)).union(near.join(exact, LINE, "left_semi").select(spread.columns)).drop("est"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
@@ -58,31 +61,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at line feeds and are compared without blanks at their ends; blank lines are never
     removed. A null site is one site of its own, the empty one. Null text stays null and counts
-    as one blank line. Rows that repeat an id are told apart by their text; equal rows lose the
-    same lines. Texts of any length are handled; an empty table gives no rows; other columns
-    are kept as they are (``n_lines`` and ``n_removed`` are replaced)."""
-    lines = numbered_lines(docs, id_col, text_col, site_col)
+    as one blank line. Rows that repeat an id, or have none, are told apart by their text; equal
+    rows lose the same lines. Texts of any length are handled; an empty table gives no rows; other
+    columns are kept as they are, whatever their names (``n_lines`` and ``n_removed`` are replaced).
+
+    Lines meet the boilerplate in a join in which the most frequent lines, fewer than a fixed
+    number, are broadcast; only removed positions are gathered by document."""
+    rows = rows_with_keys(docs, id_col, text_col, site_col)
+    lines = shown_lines(rows)
     bad = boilerplate_lines(lines, sites)
-    flagged = lines.join(bad, ["_h1", "_h2"], "left").select(
-        "_id", "_key", "_pos", (F.col("_first").isNotNull() & (F.struct("_id", "_pos") != F.col("_first"))).alias("_out")
-    )
-    per_doc = (
-        flagged.groupBy("_id", "_key")
-        .agg(F.max("_out").alias("_any"), F.sort_array(F.collect_set(F.struct("_pos", "_out"))).alias("_flags"))
-        .filter("_any").select("_id", "_key", F.col("_flags._out").alias("_out"))
-    )
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.get(F.col("_out"), i)), "\n")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
-    return (
-        docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(text_col)})
-        .join(per_doc, ["_id", "_key"], "left")
-        .select(
-            *keep,
-            F.when(F.col("_out").isNull(), F.col(text_col)).otherwise(kept).alias(text_col),
-            F.size(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-            F.coalesce(F.size(F.filter("_out", lambda x: x)), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    removed = join_split(lines.drop("site"), bad, LINE, "n").filter(F.struct("doc", "pos") != F.col("first"))
+    per_doc = removed.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept)
+    same = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
+    return rows.join(per_doc, "doc", "left").select(
+        *same, text.alias(text_col), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
     )
 
 

@@ -5,12 +5,12 @@ its coordinate-value pairs. To agree in at least ``least`` of K coordinates, two
 share one of their K - least + 1 rarest pairs (prefix filter), so only those are merged and the
 long common lists are skipped; a pair of documents is retained when their signatures agree often
 enough. Retained pairs join documents into clusters, and inside a cluster links are confirmed on
-full shingle sets, block against block."""
+full shingle sets. In long lists and large clusters, blocks meet a few pivots first."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import connected_components, stage_table, table
-from marlstone.llm.words import mixed, shingle_set
+from marlstone.llm.common import connected_components, join_split, table
+from marlstone.operators.stages import settled
+from marlstone.llm.words import shingle_set
 
 COORDINATES = 64
-#: Agreeing coordinates of a retained pair: at a similarity of 0.8 fewer agree once in 100,000 pairs.
+#: Agreeing coordinates of a retained pair: at a similarity of 0.8 fewer agree for 4.2 pairs in a million.
 LEAST = 36
 #: Rows of a block of a posting list or cluster, and shingles of a block of a cluster.
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 256
 BLOCK_SHINGLES = 300_000
+#: Members of a large group that all others of it are compared with first.
+PIVOTS = 4
+#: (nodes, payloads, bounds of blocks) -> edges
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
 _seeded = np.random.Generator(np.random.PCG64(7))
 _A = _seeded.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,19 +113,6 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = nxt
 
 
-def block_pairs(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
-    """``rows`` with ``blocks`` (how many its list has) dealt so that any two rows of a list
-    meet in one (``_p``, ``_q``): rows of block b go to every pair of blocks that holds b."""
-    block = F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
-    return (
-        rows.withColumn("_b", block)
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .filter("_b <> _c OR blocks = 1")
-        .withColumns({"_p": F.least("_b", "_c"), "_q": F.greatest("_b", "_c")})
-        .drop("_b", "_c", "blocks")
-    )
-
-
 def _edges(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each id that is not the smallest of its component in the block, with that smallest id."""
     order = np.argsort(ids, kind="stable")
@@ -135,47 +127,90 @@ def _batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def compared(dealt: DataFrame, compare: Compare) -> DataFrame:
+    """Edges (a, b) that ``compare`` finds inside each (``group``, ``block``, ``facing``)."""
+    keys = ["group", "block", "facing"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, ids, payload), bounds in runs(batches, 3):
+            yield _batch(compare(ids, payload, bounds))
+
+    rows = dealt.select(*keys, "node", "payload").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def block_edges(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+    """Edges that join all nodes of a group which :func:`compare` links, in linear work where
+    the nodes of a large group are mostly linked.
+
+    ``rows`` (a stage table) has ``group``, ``blocks`` (how many blocks the group is cut into),
+    ``node`` and what ``load`` needs to add a ``payload``. First the nodes of a block meet each
+    other and a few pivots of their group, which go to all of its blocks. Nodes that are then
+    in the largest class of their group need no comparison among themselves; only the others
+    are compared with everything, block against block, so no link is lost."""
+    keep = [c for c in rows.columns if c not in ("group", "blocks")]
+    big = rows.filter("blocks > 1")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    pivots = big.groupBy("group", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PIVOTS)).alias("i")).agg(
+        F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("lot"), *keep)).alias("p")
+    )
+    here = rows.select("group", own.alias("block"), F.lit(0).alias("facing"), *keep)
+    guests = pivots.select("group", every("blocks").alias("block"), F.lit(0).alias("facing"), *[F.col("p")[c].alias(c) for c in keep])
+    edges = settled(compared(load(here.union(guests)), compare))
+    if big.isEmpty():
+        return edges
+    label = F.coalesce("component", "node").alias("label")
+    placed = settled(big.join(connected_components(edges), "node", "left").select("group", "blocks", *keep, label))
+    classes = placed.groupBy("group", "label").count()
+    main = settled(
+        classes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+        .filter("n > most").withColumn("parts", F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS))
+    )
+    if main.isEmpty():
+        return edges
+    todo = join_split(placed, main, ["group"], "n")
+    loose = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    facing = todo.select("group", own.alias("block"), every("parts").alias("facing"), *keep).union(
+        todo.filter("label <> main").select("group", every("blocks").alias("block"), loose.alias("facing"), *keep)
+    )
+    return edges.union(compared(load(facing), compare))
+
+
 def candidate_edges(sigs: DataFrame, least: int) -> DataFrame:
-    """Edges (a, b) that join documents whose signatures agree in at least ``least``
-    coordinates; ``sigs`` has long ``_id`` and ``_sig``, one row for each set."""
-    k = COORDINATES
-    posts = sigs.select("_id", F.posexplode("_sig").alias("_i", "_v")).select(
-        "_id", (F.col("_i").cast("long") * F.lit(1 << 32) + F.col("_v")).alias("_post")
+    """Edges (a, b) that join nodes whose signatures agree in at least ``least`` coordinates;
+    ``sigs`` has long ``node`` and ``_sig``, one row for each set."""
+    posts = sigs.select("node", F.posexplode("_sig").alias("_i", "_v")).select(
+        "node", (F.col("_i").cast("long") * F.lit(1 << 32) + F.col("_v")).alias("_post")
     )
     shared = posts.groupBy("_post").agg(F.count("*").alias("_df")).filter("_df > 1")
-    prefix = (
+    prefix = settled(
         posts.join(shared, "_post")
-        .groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_df", "_post"))).alias("_list"))
+        .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_post"))).alias("_list"))
         # what is not shared comes first among the rarest
         .withColumn("_take", F.lit(1 - least) + F.size("_list"))
         .filter("_take > 0")
-        .select("_id", F.explode(F.expr("slice(_list, 1, _take)")).alias("_l"))
-        .select("_id", F.col("_l._post").alias("_post"))
-    )
-    prefix = stage_table(prefix)
-    lists = prefix.groupBy("_post").agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = prefix.join(lists, "_post").join(sigs, "_id").withColumn("blocks", F.ceil(F.col("_n") / BLOCK_ROWS)).drop("_n")
-    dealt = block_pairs(rows, ["_post"], "_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, ids, sig), bounds in runs(batches, 3):
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 2:
-                    agree = np.zeros((b - a, b - a), np.int16)
-                    for c in range(k):
-                        agree += sig[a:b, c, None] == sig[None, a:b, c]
-                    found.append(_edges(ids[a:b], agree >= least))
-            two = bounds[:-1][np.diff(bounds) == 2]
-            if len(two):
-                two = two[(sig[two] == sig[two + 1]).sum(1) >= least]
-                found.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1])))
-            yield _batch(found)
-
-    return (
-        dealt.select("_post", "_p", "_q", "_id", "_sig").repartition("_post", "_p", "_q")
-        .sortWithinPartitions("_post", "_p", "_q").mapInArrow(run, "a long, b long")
+        .select("node", F.explode(F.expr("slice(_list, 1, _take)")).alias("_l"))
+        .select("node", F.col("_l._post").alias("group"))
     )
+    lists = settled(prefix.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = settled(join_split(prefix, lists, ["group"], "n").select("group", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), "node"))
+
+    def compare(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a > 2:
+                agree = np.zeros((b - a, b - a), np.int16)
+                for c in range(COORDINATES):
+                    agree += sig[a:b, c, None] == sig[None, a:b, c]
+                found.append(_edges(ids[a:b], agree >= least))
+        two = bounds[:-1][np.diff(bounds) == 2]
+        if len(two):
+            two = two[(sig[two] == sig[two + 1]).sum(1) >= least]
+            found.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1])))
+        return found
+
+    return block_edges(rows, lambda dealt: dealt.join(sigs.select("node", F.col("_sig").alias("payload")), "node"), compare)
 
 
 def linked_in_blocks(sets: list[np.ndarray], percent: int, chunk: int = 4096) -> np.ndarray:
@@ -205,65 +240,76 @@ def linked_in_blocks(sets: list[np.ndarray], percent: int, chunk: int = 4096) ->
 
 
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Edges of documents whose full sets meet the threshold, within clusters
-    (``node``, ``component``, ``n_shingles``)."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
-    blocks = F.ceil(F.greatest(F.col("_n") / BLOCK_ROWS, F.col("_s") / BLOCK_SHINGLES))
-    members = clusters.join(sizes, "component").select("node", "component", F.least(blocks, F.col("_n")).alias("blocks"))
-    # members grow with the input, so this is a sort-merge join at every size
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(members.hint("merge"), "node")
+    """Edges of nodes whose full sets meet the threshold, within clusters (``node``,
+    ``component``, ``n_shingles``, ``_set`` and ``_rep``, the id of a document with that set)."""
+    sizes = settled(clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("_s")))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("_s") / BLOCK_SHINGLES))
+    members = settled(
+        join_split(clusters, sizes, ["component"], "n")
+        .select(F.col("component").alias("group"), F.least(blocks, F.col("n")).alias("blocks"), "node", "_set", "_rep")
+    )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingle_set(t.as_py() or b"", width).tobytes() for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(got, pa.binary())], ["node", "component", "blocks", "_shingles"]
-            )
-
-    rows = texts.select("node", "_text", "component", "blocks").mapInArrow(sets, "node long, component long, blocks long, _shingles binary")
-    dealt = block_pairs(rows, ["component"], "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, ids, shingles), bounds in runs(batches, 3):
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    sets = [np.frombuffer(x, np.uint64) for x in shingles[a:b]]
-                    found.append(_edges(ids[a:b], linked_in_blocks(sets, percent)))
-            yield _batch(found)
-
-    return (
-        dealt.select("component", "_p", "_q", "node", "_shingles").repartition("component", "_p", "_q")
-        .sortWithinPartitions("component", "_p", "_q").mapInArrow(run, "a long, b long")
-    )
+            found = [shingle_set(t.as_py() or b"", width) for t in batch.column(5).cast(pa.large_binary())]
+            # other texts of the same id belong to other nodes
+            own = pa.array([len(s) > 0 and digest(s) == k for s, k in zip(found, batch.column(4).to_pylist(), strict=True)], pa.bool_())
+            payload = pa.array([s.tobytes() for s in found], pa.binary())
+            cols = [*batch.columns[:4], payload]
+            yield pa.RecordBatch.from_arrays(cols, ["group", "block", "facing", "node", "payload"]).filter(own)
+
+    def load(dealt: DataFrame) -> DataFrame:
+        # members grow with the input, so this is a sort-merge join at every size
+        texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text")).join(dealt.hint("merge"), "_rep")
+        rows = texts.select("group", "block", "facing", "node", "_set", "_text")
+        return rows.mapInArrow(sets, "group long, block int, facing int, node long, payload binary")
+
+    def compare(ids: np.ndarray, shingles: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in shingles[a:b]]
+                found.append(_edges(ids[a:b], linked_in_blocks(sets, percent)))
+        return found
+
+    return block_edges(members, load, compare)
 
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least: int = LEAST
 ) -> DataFrame:
-    """One row per row of ``docs``: id (long), ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
     A document's set holds its distinct shingles of ``width`` words (ASCII letters lower-cased);
     all its words are one shingle where there are fewer. Two documents are linked when
     100 * intersection >= ``percent`` * union. Texts that are null, empty or blank have an empty
     set and are linked with nothing. The smallest id reachable by links names the component and
-    stays. Rows that repeat an id count as that document, by the shingles of each. Whole texts
-    count, however long; an empty table gives no rows; other columns are ignored."""
-    sk = stage_table(sketches(docs, id_col, text_col, width))
-    reps = sk.filter("n_shingles > 0").groupBy("_set").agg(
-        F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("n_shingles")
+    stays. Rows that repeat an id are that document, by the shingles of each of their texts. Rows
+    without an id are linked with nothing and have neither component nor decision. Whole texts
+    count, however long; an empty table gives no rows; other columns are ignored. Ids are of any
+    orderable type, a struct of columns too.
+
+    Distinct sets, numbered, are what is posted, compared and confirmed; links between them are
+    links between their smallest ids, to which come those between texts of one id."""
+    sk = settled(sketches(docs, id_col, text_col, width))
+    held = sk.filter("_set IS NOT NULL AND _id IS NOT NULL")
+    reps = settled(
+        held.groupBy("_set").agg(F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("n_shingles"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = stage_table(reps)
-    sigs = reps.groupBy("_rep").agg(F.min_by("_sig", "_set").alias("_sig")).withColumnRenamed("_rep", "_id")
-    clusters = connected_components(candidate_edges(sigs, least))
-    sized = reps.groupBy("_rep").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("_rep", "node")
-    clusters = stage_table(clusters.join(sized, "node"))
-    links = connected_components(confirmed_edges(docs, clusters, id_col, text_col, width, percent))
-    classes = reps.select("_set", F.col("_rep").alias("node")).join(links, "node", "left").select(
+    clusters = connected_components(candidate_edges(reps.select("node", "_sig"), least))
+    clusters = settled(clusters.join(reps.drop("_sig"), "node"))
+    found = confirmed_edges(docs, clusters, id_col, text_col, width, percent)
+    number = lambda end: reps.select(F.col("node").alias(end), F.col("_rep").alias(f"_{end}"))
+    links = found.join(number("a"), "a").join(number("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    many = held.groupBy("_id").agg(F.min("_set").alias("_x"), F.max("_set").alias("_y")).filter("_x <> _y").select("_id")
+    own = held.join(many, "_id", "left_semi").select("_id", "_set").distinct().join(reps.select("_set", "_rep"), "_set")
+    parts = connected_components(links.union(own.select(F.col("_id").alias("a"), F.col("_rep").alias("b"))))
+    classes = reps.select("_set", F.col("_rep").alias("node")).join(parts, "node", "left").select(
         "_set", F.coalesce("component", "node").alias("component_id")
     )
     out = sk.join(classes, "_set", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id")
+        F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
     )
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 

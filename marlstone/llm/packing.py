@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.bpe import PRETOKEN, PieceCodec, default_vocabulary, pack, token_bytes
-from marlstone.llm.common import stage_table, table
+from marlstone.llm.common import table
+from marlstone.operators.stages import settled
 
 END_ID = 1
 WINDOW = 2048
@@ -179,7 +180,7 @@ def pack_documents(
         rows = [r for i, w in enumerate(merged(pieces, window)) for r in w.rows((1 << 62) + (int(key[0]) << 32) + i, with_ids)]
         return pd.DataFrame(rows, columns=names)
 
-    first = stage_table(docs.select(id_col, text_col).mapInArrow(run, schema))
+    first = settled(docs.select(id_col, text_col).mapInArrow(run, schema))
     finished = first.filter("sequence_id IS NOT NULL").drop("task")
     rest = (
         first.filter("sequence_id IS NULL")

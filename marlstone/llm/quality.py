@@ -1,38 +1,45 @@
 """Quality classifier: document evidence shrunk towards site and path by empirical Bayes.
 
-A logistic classifier over measures of the whole text gives each document's evidence. Grouped
-sums give hosts and their paths posterior rates, drawn towards the global rate and the host's
-rate by prior strengths estimated from how much the groups differ. A document's score adds the
-log-odds of its path (without its own share) to its own."""
+A logistic classifier over measures and word n-grams of the whole text gives each document's
+evidence. Grouped sums give hosts and their paths posterior rates, drawn towards the global rate
+and the host's rate by prior strengths estimated from how much the groups differ. A document's
+score adds the log-odds of its path (without its own share) to its own.
 
-from __future__ import annotations
+``documents`` has a host (``source``) but no URL, hence no path: by default the column ``lang``
+stands in for the path, as the only other column that groups documents inside a site."""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stage_table, table
-from marlstone.llm.words import word_hashes
+from marlstone.llm.common import join_split, table
+from marlstone.llm.words import mixed, word_hashes
+from marlstone.operators.stages import settled
 
 #: At most about this many labelled rows are fitted, chosen by a hash of the id.
 TRAIN_ROWS = 8000
-#: A path with more than this share of all rows, of which there are fewer than 1 / share, is
-#: joined by broadcast and not shuffled.
-HOT_SHARE = 1 / 256
 #: Documents below this score are rejected.
 LEAST_SCORE = 0.3
+# Classes of bytes that the measures count.
+BYTE_CLASSES = (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"|", b"#$%&*+<=>@\\^_`{}~", b".,;:'\"?-()/[]", b"\n", b" \t\r\x0b\x0c",
+)
 _CLASS = np.zeros(256, np.int64)
-for _k, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"|", b"#$%&*+<=>@\\^_`{}~", b".,;:'\"?-()/[]", b"\n", b" \t\r\x0b\x0c"), 1):
+for _k, _bytes in enumerate(BYTE_CLASSES, 1):
     _CLASS[list(_bytes)] = _k
-N_FEATURES = 16
+N_MEASURES = 16
+#: Buckets of hashed word n-grams (a power of two).
+GRAM_BITS = 11
+GRAMS = 1 << GRAM_BITS
 
 
 def features(text: bytes) -> np.ndarray:
-    """Measures of a whole text, all finite; an empty text has zeros."""
-    out = np.zeros(N_FEATURES)
+    """Measures of a whole text, then square roots of the shares of hashed words and word pairs;
+    all finite; an empty text has zeros."""
+    out = np.zeros(N_MEASURES + GRAMS, np.float32)
     words = word_hashes(text)
     n = len(words)
     if not n:
@@ -45,22 +52,45 @@ def features(text: bytes) -> np.ndarray:
     repeat = (words[1:] == words[:-1]).mean() if n > 1 else 0.0
     pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] if n > 1 else words
     period = len(np.unique(pairs)) / len(pairs)
-    out[:] = (
+    out[:N_MEASURES] = (
         np.log1p(n), visible / n / 10, upper / max(1.0, upper + lower), digit / visible, bang / visible, pipe / visible,
         symbol / visible, stop / visible, line / n, other / visible, (len(edges) - 1) / n, np.diff(edges).max() / n,
         repeat, period, np.log1p(n) * period, 1.0 if upper > 2 * lower else 0.0,
     )
+    grams = np.concatenate((words, mixed(pairs))) >> np.uint64(64 - GRAM_BITS)
+    share = np.bincount(grams.astype(np.int64), minlength=GRAMS) / len(grams)
+    out[N_MEASURES:] = np.sqrt(share)
     return out
 
 
+def gram_weights(x: np.ndarray, y: np.ndarray, steps: int = 120) -> np.ndarray:
+    """Ridge logistic regression by gradient steps with momentum; the last weight is the bias."""
+    w, pace = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
+    w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        g = np.append(x.T @ (p - y) / len(y) + 1e-4 * w[:-1], (p - y).mean())
+        pace = 0.9 * pace - 4 * g
+        w += pace
+    return w
+
+
 class Evidence:
-    """Standardised logistic regression; without labels of both kinds every text is even odds."""
+    """Word n-grams make a first log-odds, which joins the measures in a standardised logistic
+    regression. On the training rows it comes from a model of the other half, so that it weighs
+    as much there as on unseen texts. Without labels of both kinds every text is even odds."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.weights = None
-        if len(y) and 0 < y.sum() < len(y):
-            self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-            z = np.column_stack((np.ones(len(x)), self._spread(x)))
+        half = np.arange(len(y)) % 2 == 0
+        if all(len(set(part.tolist())) > 1 for part in (y[half], y[~half])):
+            measures, grams = x[:, :N_MEASURES].astype(float), x[:, N_MEASURES:]
+            first, second = gram_weights(grams[half], y[half]), gram_weights(grams[~half], y[~half])
+            self.grams = (first + second) / 2
+            odds = np.where(half, grams @ second[:-1] + second[-1], grams @ first[:-1] + first[-1])
+            m = np.column_stack((measures, np.clip(odds, -8, 8)))
+            self.mean, self.scale = m.mean(0), m.std(0) + 1e-9
+            z = np.column_stack((np.ones(len(m)), self._spread(m)))
             w = np.zeros(z.shape[1])
             for _ in range(25):
                 p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -75,27 +105,39 @@ class Evidence:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), 0.5)
-        z = np.column_stack((np.ones(len(x)), self._spread(x))) @ self.weights
+        odds = np.clip(x[:, N_MEASURES:] @ self.grams[:-1] + self.grams[-1], -8, 8)
+        m = np.column_stack((x[:, :N_MEASURES].astype(float), odds))
+        z = np.column_stack((np.ones(len(x)), self._spread(m))) @ self.weights
         return np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.001, 0.999)
 
+    def of(self, text: Column) -> Column:
+        """The evidence of a text, by Arrow batches."""
+
+        def run(texts: pa.Array) -> pa.Array:
+            whole, out = texts.cast(pa.large_binary()), []
+            for at in range(0, len(whole), 256):
+                out.append(self(np.stack([features(t.as_py() or b"") for t in whole[at : at + 256]])))
+            return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+
+        return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR)(text)
+
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int) -> Evidence:
-    """Fits the evidence on about ``train_rows`` labelled documents; their measures alone reach
+    """Fits the evidence on about ``train_rows`` labelled documents; their features alone reach
     the driver, and the label sample, bounded by the same parameter, is broadcast."""
     good = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     share = min(1.0, train_rows / max(1, good.count()))
     at = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), F.lit(9)), 11) / float(1 << 53)
     sample = F.broadcast(good.filter(at < share))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t.as_py() or b"") for t in batch.column(0).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py() or b"").tobytes() for t in texts.cast(pa.large_binary())], pa.binary())
 
-    got = rows.mapInArrow(run, "x array<double>, y int").toArrow()
-    x = np.array(got.column("x").to_pylist()).reshape(-1, N_FEATURES)
-    return Evidence(x, np.array(got.column("y").to_pylist(), float))
+    order = F.xxhash64(F.col("_id").cast("string"), F.lit(10)).alias("_at")
+    got = rows.select(order, F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR)("_text").alias("x"), "_y").toArrow().sort_by("_at")
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_MEASURES + GRAMS)
+    return Evidence(x, np.array(got.column("_y").to_pylist(), float))
 
 
 def logit(p: Column) -> Column:
@@ -109,55 +151,51 @@ def prior_strength(rows: int, groups: int, rate: float, spread: float) -> float:
     return float(min(1e6, max(1.0, inside / between - 1 if between > 1e-9 else 1e6)))
 
 
-def score_quality(
+def scored_rows(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    path_col: str = "lang", label_col: str = "quality", train_rows: int = TRAIN_ROWS, least: float = LEAST_SCORE,
+    path_col: str = "lang", label_col: str = "quality", train_rows: int = TRAIN_ROWS, least: float = LEAST_SCORE, whole: bool = True,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``p_doc``, ``p_host``, ``p_path``, ``score``, ``kept``.
-
-    ``documents`` has no path: by default the path level is the language, which shifts the score
-    (no decision of the 10,000 at scale factor 0.1 differs from that with a constant path).
-
-    Null and empty texts have measures of zero. Null hosts and paths are groups of their own,
-    the empty ones. Labels other than 0 and 1 are ignored; of several labels of an id the
-    largest counts. Without usable labels all evidence is 0.5 and everything stays. Repeated
-    rows are scored one by one; an empty table gives no rows; other columns are ignored."""
+    """Each row of ``docs`` as a struct ``row`` (its id alone unless ``whole``), with ``p_doc``,
+    ``p_host``, ``p_path``, ``score`` and ``kept``. Rows meet the posteriors of their path in a
+    join that broadcasts the most frequent paths, fewer than a fixed number; only rows of rarer
+    ones are shuffled."""
     evidence = train(docs, labels, id_col, text_col, label_col, train_rows)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
-            p = evidence(np.stack(x)) if x else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(p, pa.float64())], [id_col, "_host", "_path", "p_doc"])
-
-    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((host_col, "_host"), (path_col, "_path"))]
-    scored = stage_table(docs.select(id_col, text_col, *group).mapInArrow(run, f"`{id_col}` {kind}, _host string, _path string, p_doc double"))
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("p_doc").alias("_s"))
-    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
-    total = hosts.agg(F.sum("_hn"), F.count("*"), F.sum("_hs"), F.sum(F.col("_hs") ** 2 / F.col("_hn"))).first()
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((host_col, "host"), (path_col, "path"))]
+    row = F.struct("*") if whole else F.struct(id_col)
+    scored = settled(docs.select(row.alias("row"), *group, evidence.of(F.col(text_col)).alias("p_doc")))
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    total = hosts.agg(F.sum("hn"), F.count("*"), F.sum("hs"), F.sum(F.col("hs") ** 2 / F.col("hn"))).first()
     rows, groups = total[0] or 0, total[1]
     rate = min(0.999, max(0.001, (total[2] or 0.0) / rows if rows else 0.5))
     strength = prior_strength(rows, groups, rate, (total[3] or 0.0) / max(1, rows) - rate**2)
-    hosts = hosts.select("_host", ((F.col("_hs") + strength * rate) / (F.col("_hn") + strength)).alias("p_host"))
-    paths = paths.join(hosts, "_host")
-    inner = paths.agg(F.count("*"), F.sum(F.col("_n") * (F.col("_s") / F.col("_n") - F.col("p_host")) ** 2)).first()
+    hosts = hosts.select("host", ((F.col("hs") + strength * rate) / (F.col("hn") + strength)).alias("p_host"))
+    paths = settled(paths.join(hosts, "host"))
+    inner = paths.agg(F.count("*"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("p_host")) ** 2)).first()
     below = prior_strength(rows, max(1, inner[0] - groups + 1), rate, (inner[1] or 0.0) / max(1, rows))
-    prior = logit(F.lit(rate))
-    p_path = (F.col("_s") - F.col("p_doc") + below * F.col("p_host")) / (F.col("_n") - 1 + below)
-    odds = logit(F.col("p_doc")) + logit(F.col("p_path")) - prior
-    keys = ["_host", "_path"]
-    is_hot = F.col("_n") > HOT_SHARE * rows
-    hot = F.broadcast(paths.filter(is_hot))
-    joined = scored.join(hot, keys).unionByName(
-        scored.join(hot.select(*keys), keys, "left_anti").join(paths.filter(~is_hot), keys)
-    )
+    p_path = (F.col("s") - F.col("p_doc") + below * F.col("p_host")) / (F.col("n") - 1 + below)
+    odds = logit(F.col("p_doc")) + logit(F.col("p_path")) - logit(F.lit(rate))
     return (
-        joined.withColumn("p_path", F.least(F.lit(0.999), F.greatest(F.lit(0.001), p_path)))
-        .select(id_col, "p_doc", "p_host", "p_path", (1 / (1 + F.exp(-odds))).alias("score"))
+        join_split(scored, paths, ["host", "path"], "n", most=1 << 15)
+        .withColumn("p_path", F.least(F.lit(0.999), F.greatest(F.lit(0.001), p_path)))
+        .select("row", "p_doc", "p_host", "p_path", (1 / (1 + F.exp(-odds))).alias("score"))
         .withColumn("kept", F.col("score") >= least)
     )
 
 
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row per row of ``docs``: id, ``p_doc``, ``p_host``, ``p_path``, ``score``, ``kept``;
+    ``how`` as for :func:`scored_rows`.
+
+    The path level is the language unless ``path_col`` says otherwise (see the module).
+
+    Null and empty texts have features of zero. Null hosts and paths are groups of their own,
+    the empty ones. Labels other than 0 and 1 are ignored; of several labels of an id the
+    largest counts. Without usable labels all evidence is 0.5 and everything stays. Repeated
+    rows are scored one by one; an empty table gives no rows; other columns are ignored."""
+    out = scored_rows(docs, labels, id_col, whole=False, **how)
+    return out.select(F.col("row")[id_col].alias(id_col), "p_doc", "p_host", "p_path", "score", "kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
