@@ -3,8 +3,9 @@
 A vector is compared with the home members of every cell in which a linked vector could live:
 if y's home is cell b and x's home is cell a, then y is nearer to centre b, so with
 |x - y| <= sqrt(2 - 2 * cosine) the margin x.(c_a - c_b) is at most sqrt(2 - 2 * cosine) |c_a - c_b|.
-Thus no link is lost, whatever the centres. Copies of a vector are one row from the start; a
-cell is cut into blocks of bounded size, so one crowded cell is many tasks."""
+Thus no link is lost, whatever the centres. A pair of cells is compared once: vectors visit cells
+with a number not below their own. Copies of a vector are one row from the start; a cell is cut
+into blocks of bounded size, so one crowded cell is many tasks."""
 
 from __future__ import annotations
 
@@ -31,8 +32,9 @@ OTHER_ROWS = 16384
 SAFE = 1e-4
 
 
-def unit(packed: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
+def unit(packed: list[bytes], width: int) -> np.ndarray:
+    """Unit vectors in double precision from packed numbers of ``width`` bytes."""
+    x = np.frombuffer(b"".join(packed), f"<f{width}").reshape(len(packed), -1).astype("<f8")
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -52,15 +54,22 @@ def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 class Cells:
     def __init__(self, centres: np.ndarray, cosine: float):
-        self.centres = centres
-        apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
-        self.reach = np.sqrt(max(0.0, 2 - 2 * cosine)) * apart + 1e-9
+        self.centres, self.step = centres, np.sqrt(max(0.0, 2 - 2 * cosine))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home cell of each row, and row x cell whether a linked vector may live there."""
+        """Home cell of each row, and row x cell whether it is to be compared with the cell's
+        home members: a linked vector may live there, and the cell is not below the home."""
         near = x @ self.centres.T
         home = near.argmax(1)
-        return home, near[np.arange(len(x)), home][:, None] - near <= self.reach[home]
+        visits = np.empty(near.shape, bool)
+        square = (self.centres**2).sum(1)
+        for at in range(0, len(x), 1024):
+            part = slice(at, at + 1024)
+            mine = home[part]
+            # distances of centres from the gram matrix, for the homes at hand alone
+            apart = np.sqrt(np.maximum(0, square[mine, None] + square[None, :] - 2 * self.centres[mine] @ self.centres.T))
+            visits[part] = near[part][np.arange(len(mine)), mine][:, None] - near[part] <= self.step * apart + 1e-6
+        return home, visits & (np.arange(near.shape[1])[None, :] >= home[:, None])
 
 
 def _pairs(home: np.ndarray, other: np.ndarray, home_ids, other_ids, cosine: float) -> np.ndarray:
@@ -108,7 +117,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     empty table gives no rows; other columns are ignored.
 
     The number of cells grows with the square root of the number of vectors. Their centres are
-    fitted on a bounded sample and do not change results."""
+    fitted on a bounded sample and do not change results. Numbers travel as they are stored, in
+    four bytes where the column holds floats."""
+    width = 4 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else 8
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,22 +127,22 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for v in batch.column(1):
                 x = None
                 if v.is_valid and len(v) and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
-                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
+                    x = v.values.to_numpy(zero_copy_only=False).astype(f"<f{width}")
+                    x = (x + x.dtype.type(0)).tobytes() if np.isfinite(x).all() and x.any() else None
                 got.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["_id", "_v"])
 
     base = vectors.select(F.col(id_col).cast("long").alias("_id"), vec_col).mapInArrow(clean, "_id long, _v binary")
     reps = settled(
         base.filter("_v IS NOT NULL").groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_mult"))
-        .withColumn("_d", (F.length("_v") / 8).cast("int"))
+        .withColumn("_d", (F.length("_v") / width).cast("int"))
     )
     models = {}
     for d, n in sorted(tuple(r) for r in reps.groupBy("_d").count().collect()):
         share = min(1.0, min(TRAIN_VECTORS, max(1000, TRAIN_NUMBERS // d)) / n)
         at = F.shiftrightunsigned(F.xxhash64("_rep"), 11) / float(1 << 53)
         sample = reps.filter((F.col("_d") == d) & (at <= share)).select("_rep", "_v").toArrow().sort_by("_rep")
-        x = unit(sample.column("_v").to_pylist()) if sample.num_rows else np.eye(1, d)
+        x = unit(sample.column("_v").to_pylist(), width) if sample.num_rows else np.eye(1, d)
         models[d] = Cells(spherical_kmeans(x, int(np.ceil(np.sqrt(n) / 16))), cosine)
 
     def assigned(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -139,7 +150,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         dims = batch.column("_d").to_numpy()
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
-            home, near = models[d].assign(unit(batch.column("_v").take(pa.array(rows)).to_pylist()))
+            home, near = models[d].assign(unit(batch.column("_v").take(pa.array(rows)).to_pylist(), width))
             yield d, rows, home, near
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +175,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for d, rows, home, near in assigned(batch):
                 for cell in range(near.shape[1]):
                     n_home, n_other = blocks.get((d, cell), (1, 1))
+                    here, visits = home == cell, near[:, cell]
                     for role, members, own, parts in (
-                        (1, rows[home == cell], n_home, n_other), (0, rows[near[:, cell]], n_other, n_home),
+                        (0, rows[visits & ~here], n_other, n_home), (1, rows[visits & here], n_other, n_home), (2, rows[here], n_home, n_other),
                     ):
                         block = (lot[members] % np.uint64(own)).astype(np.int32)
                         at = np.repeat(members, parts)
@@ -175,8 +187,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                             take, n = pa.array(at[cut]), len(at[cut])
                             yield pa.RecordBatch.from_arrays(
                                 [
-                                    pa.array(np.full(n, (int(d) << 32) + cell)), pa.array((mine if role else facing)[cut]),
-                                    pa.array((facing if role else mine)[cut]), pa.array(np.full(n, role, np.int32)),
+                                    pa.array(np.full(n, (int(d) << 32) + cell)), pa.array((mine if role == 2 else facing)[cut]),
+                                    pa.array((facing if role == 2 else mine)[cut]), pa.array(np.full(n, role, np.int32)),
                                     batch.column("_rep").take(take), batch.column("_mult").take(take), batch.column("_v").take(take),
                                 ],
                                 ["cell", "hb", "ob", "role", "id", "mult", "v"],
@@ -189,20 +201,23 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of home members (role 2), and of visitors from other cells (role 0); those of
+        visitors that live in the cell (role 1) are met from the other side."""
         for (_, _, _, role, ids, mult, v), bounds in runs(batches, 3):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                cut = a + int((role[a:b] == 0).sum())
+                cut, foreign = a + int((role[a:b] < 2).sum()), int((role[a:b] == 0).sum())
                 if a < cut < b:
-                    x = unit(list(v[a:b]))
+                    x = unit(list(v[a:b]), width)
                     linked = _pairs(x[cut - a :], x[: cut - a], ids[cut:b], ids[a:cut], cosine)
-                    links = linked @ mult[cut:b]
-                    at = np.flatnonzero(links)
+                    o, h = np.nonzero(linked)
+                    home_links = np.bincount(h, mult[a:cut][o], b - cut).astype(np.int64)
+                    links = np.bincount(o, mult[cut:b][h], cut - a)[:foreign].astype(np.int64)
+                    at, to = np.flatnonzero(links), np.flatnonzero(home_links)
                     hi, lo = _local_edges(linked, ids[cut:b], ids[a:cut])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate((ids[a:cut][at], hi))), pa.array(np.concatenate((links[at], np.zeros(len(hi), np.int64)))),
-                         pa.array(np.concatenate((ids[a:cut][at], lo)))],
-                        ["a", "n", "b"],
-                    )
+                    names = np.concatenate((ids[a:cut][at], ids[cut:b][to], hi))
+                    counts = np.concatenate((links[at], home_links[to], np.zeros(len(hi), np.int64)))
+                    ends = np.concatenate((ids[a:cut][at], ids[cut:b][to], lo))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts), pa.array(ends)], ["a", "n", "b"])
 
     found = settled(dealt.mapInArrow(compare, "a long, n long, b long"))
     degree = found.groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
