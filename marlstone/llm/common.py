@@ -12,12 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most: int = 4096) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most: int = 4096, total: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row a key and in ``weight`` about how
     many rows of ``left`` bear it. Keys with more than a ``most``-th of that weight, of which
     there are fewer than ``most``, are joined by broadcast, so that no hot key is dealt to one
-    task; all others are shuffled. ``right`` is read several times: give a stage table."""
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    task; all others are shuffled. ``right`` is read several times: give a stage table. ``total``
+    is the weight of all keys, or more, where it is known."""
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * most > total
     hot = F.broadcast(right.filter(is_hot))
     cold = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(~is_hot).hint("merge"), keys)
@@ -30,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     ``edges`` has columns ``a`` and ``b`` of one orderable type; the result has ``node`` and ``component``,
     one row for each node that has an edge to another. Alternating large-star and small-star
     rounds with plain joins and partially aggregated minima, so a hub with millions of edges
-    is never gathered into a group (its rows may be split by AQE's skew join).
+    is never gathered into a group, and hubs are joined by broadcast (:func:`join_split`).
     Self-loops and repeated edges are allowed; no edges gives no rows."""
     if "component" in edges.columns:
         raise ValueError("edges must have columns a and b only")
@@ -39,20 +41,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    seen = None
+    seen, total = None, 2 * cur.count()
     for _ in range(max_rounds):
         # large star: every neighbour above a node is hung on the smallest of its neighbourhood
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = (
-            both.filter("v > u").join(low, "u")
+            join_split(both.filter("v > u"), low, ["u"], "n", total=total)
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .filter("hi <> lo").distinct()
         )
         # small star: the smaller neighbours of a node are hung on the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            join_split(large, least, ["hi"], "n", total=total).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .filter("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         )
         nxt = settled(small)
@@ -61,7 +63,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         cur = nxt
         if seen == tuple(mark):
             break
-        seen = tuple(mark)
+        seen, total = tuple(mark), 2 * mark[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("lo").alias("node")).distinct()

@@ -1,16 +1,17 @@
 """Licence scans: a trained paragraph classifier confirmed by template comparison.
 
 Sparse word n-grams of a paragraph meet the weights of a multinomial logistic regression in a
-join; the class of largest probability is the licence family, with an unknown class and a
-temperature calibrated on paragraphs held out from training. A family is confirmed where the
-paragraph and one of the family's templates share most of their word pairs. DataFrame
-operations only: the driver fits the weights on the fixed paragraphs below and nothing else."""
+join; the class of largest probability is the licence family. Temperature and least probability
+of a family are calibrated on notices and prose that the model never saw. A family is confirmed
+where the paragraph holds most of the word pairs of one of its templates. DataFrame operations
+only: the driver fits the weights on the fixed paragraphs below and nothing else."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,20 +21,27 @@ from marlstone.llm.common import table
 from marlstone.operators.stages import settled
 
 UNKNOWN = "unknown"
-#: Share of word pairs of the shorter of paragraph and template that confirms a family.
+#: Share of a template's word pairs that a paragraph must hold.
 LEAST_SHARED = 0.6
-#: A paragraph that holds one of these is returned even where no family is confirmed.
-ANCHORS = (
-    "licen", "copyright", "rights reserved", "warrant", "redistribut", "permission", "public domain",
-    "creative commons", "cc by", "cc-by", "cc0", "spdx", "gnu ", "(c)", "copyleft",
-)
-
-# Typical paragraphs of each licence family.
+#: Templates with fewer pairs must also make up this share of the pairs of a sentence.
+SHORT = 4
+LEAST_COVER = 0.25
+
+# Names of licences, from which short notices are made.
+NAMES = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache-2.0"), "GPL": ("GPL", "GPL v3", "GPLv3", "GPLv2", "GNU GPL"),
+    "LGPL": ("LGPL", "LGPL v2.1", "GNU LGPL"), "AGPL": ("AGPL", "AGPL v3", "GNU AGPL"), "BSD": ("BSD", "3-clause BSD", "BSD-3-Clause", "Modified BSD", "New BSD", "Simplified BSD"),
+    "ISC": ("ISC",), "MPL-2.0": ("MPL 2.0", "Mozilla Public License 2.0"), "CC-BY": ("CC BY 4.0", "CC-BY-4.0"), "CC-BY-SA": ("CC BY-SA 4.0",),
+    "CC-BY-NC": ("CC BY-NC 4.0",), "CC0": ("CC0 1.0", "CC0"),
+}
+NOTICES = ("{} license", "License: {}", "Licensed under the {} license", "Released under the {} license", "Distributed under the {}", "Licensed under {}", "terms of the {} license")
+# Typical paragraphs of each licence family, beside those made from its names.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -59,6 +67,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "ISC": (
         "Released under the ISC License.", "SPDX-License-Identifier: ISC",
@@ -81,7 +91,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0",
     ),
     "Public-Domain": (
-        "This work is in the public domain.", "Released into the public domain.",
+        "This work is in the public domain.", "Dieses Werk ist gemeinfrei.", "Cette oeuvre est dans le domaine public.", "Esta obra es de dominio público.", "Released into the public domain.",
         "This is free and unencumbered software released into the public domain.",
     ),
     "Proprietary": (
@@ -97,43 +107,88 @@ OTHERS = (
     "The warranty covers parts for two years.", "He took poetic license with the story.", "Copyright law is taught in the second year.",
     "The committee will redistribute the funds.", "Students need written permission to leave.", "She studies licensing in the media trade.",
     "This product is licensed under a separate agreement.", "Contact us about licensing.", "The television licence costs more this year.", "Human rights reserved for citizens were discussed in public.",
-    "The book is no longer under copyright.", "See the licence for details.", "The museum has a licence to sell drinks.", "A public domain of the king was the forest.",
+    "The book is no longer under copyright.", "He said all rights were reserved to the village hall.", "The terms of the agreement were read out by the clerk.",
+    "The software was provided by the school and paid for by the parents.", "No part of the house may be used as a shop.", "Version 2.0 of the plan was released on Monday.", "See the licence for details.", "The museum has a licence to sell drinks.", "A public domain of the king was the forest.",
+)
+
+
+# Notices and prose that are not fitted, for calibration alone.
+CALIBRATION: tuple[tuple[str, str], ...] = (
+    ("This package is made available under the MIT license, see the file COPYING.", "MIT"), ("Code in this folder: MIT license.", "MIT"),
+    ("You may use this program under the Apache License 2.0.", "Apache-2.0"), ("Sources are subject to the Apache License, Version 2.0.", "Apache-2.0"),
+    ("The program is covered by the GNU General Public License.", "GPL"), ("GPL v3 or any later version.", "GPL"),
+    ("The library may be used under the GNU Lesser General Public License.", "LGPL"), ("Covered by the GNU Affero General Public License.", "AGPL"),
+    ("Use of this source code is governed by a BSD-style license.", "BSD"), ("Our tools carry the 3-clause BSD license.", "BSD"),
+    ("This is ISC licensed code under the ISC License.", "ISC"), ("Files are under the Mozilla Public License 2.0.", "MPL-2.0"),
+    ("Text is available under CC BY 4.0.", "CC-BY"), ("Text is available under the Creative Commons Attribution-ShareAlike License.", "CC-BY-SA"),
+    ("Images: CC BY-NC 4.0.", "CC-BY-NC"), ("The data are under CC0 1.0.", "CC0"), ("The text has been placed in the public domain.", "Public-Domain"),
+    ("Copyright 2011 by the publisher, all rights reserved.", "Proprietary"),
+    ("He said all rights reserved to nobody in the village hall would be given to the school.", UNKNOWN), ("The driving licence was renewed in the new year.", UNKNOWN),
+    ("The permission of the owner was never asked for.", UNKNOWN), ("They sold the software to a bank in the city.", UNKNOWN),
+    ("The public was let into the garden after the general meeting.", UNKNOWN), ("Any version of the story will do for this purpose.", UNKNOWN),
+    ("The conditions were met and the work was provided without delay.", UNKNOWN), ("The creative team and the commons of the town.", UNKNOWN),
+    ("The name of the holder may be used by the office.", UNKNOWN), ("Source and binary stars were seen in the form of a list.", UNKNOWN),
+    ("A copy of the notice hung in the hall.", UNKNOWN), ("Apache is the name of a people.", UNKNOWN),
 )
 
-#: Words too common to tell a notice; a pair with one of them is no evidence.
+#: Words too common to tell a notice.
 COMMON = frozenset("a all an and any are as at be by for from if in into is it may not of on or that the this to under was with you your".split())
-#: Words that are evidence of a family by themselves.
-NAMES = ("gpl", "gplv2", "gplv3", "lgpl", "agpl", "mpl", "cc0", "spdx")
-#: Words that make each pair with an uncommon word evidence by itself.
-MAKERS = frozenset(("apache", "bsd", "isc", "mozilla", "gnu", "affero", "rechte", "droits", "derechos"))
 
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: A line that ends in the middle of a sentence goes on in the next, unless that is blank.
+WRAPPED = r"([^\s.:;!?|])[ \t]*\r?\n([ \t]*[^\s])"
 
 
-def grams(text: str) -> set[str]:
-    """Distinct runs of one to three words, as the columns below make them."""
-    w = re.findall(TOKEN, text.lower())
-    return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+def templates() -> dict[str, tuple[str, ...]]:
+    """The typical paragraphs of each family and the short notices made from its names."""
+    return {f: (*ts, *(n.format(name) for name in NAMES.get(f, ()) for n in NOTICES), *NAMES.get(f, ())) for f, ts in TEMPLATES.items()}
+
+
+def tokens(text: str) -> list[str]:
+    return re.findall(TOKEN, text.lower())
+
+
+def grams(text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
+    """Distinct runs of so many words, as the columns below make them."""
+    w = tokens(text)
+    return {" ".join(w[i : i + n]) for n in sizes for i in range(len(w) - n + 1)}
 
 
 class Model:
-    """Softmax regression over in-vocabulary n-grams, each paragraph scaled to unit length."""
+    """Softmax regression over in-vocabulary n-grams, each paragraph scaled to unit length. A
+    family needs ``least`` probability; otherwise the class is unknown."""
 
     def __init__(self):
-        base = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHERS]
+        base = [(t, f) for f, ts in templates().items() for t in ts] + [(t, UNKNOWN) for t in OTHERS]
         around = ("{}", "Note: {}", "{} See the notice file for details.", "Copyright (c) 2019 the authors. {}", "The authors say: {} Thank you.")
-        rows = [(grams(a.format(t)), f, i % 4 == 3) for t, f in base for i, a in enumerate(around)]
+        plain = [(grams(a.format(t)), f) for t, f in base for a in (around if f != UNKNOWN else ("{}", "{} It was late.", "And so, {}"))]
+        # running text that holds the wrappings and nothing else
+        rows = plain + [(grams(a.format("")), UNKNOWN) for a in around[1:]]
         self.families = [*sorted(TEMPLATES), UNKNOWN]
-        self.vocabulary = sorted(set().union(*(g for g, _, _ in rows)))
-        at = {g: i for i, g in enumerate(self.vocabulary)}
-        x = np.zeros((len(rows), len(at)))
-        for i, (g, _, _) in enumerate(rows):
-            x[i, [at[k] for k in g]] = 1 / np.sqrt(len(g))
-        y = np.eye(len(self.families))[[self.families.index(f) for _, f, _ in rows]]
-        held = np.array([h for _, _, h in rows])
-        w, b = self._fit(x[~held], y[~held])
-        self.heat = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: self._loss((x[held] @ w + b) / t, y[held]))
-        self.weights, self.bias = w / self.heat, b / self.heat
+        self.vocabulary = sorted(set().union(*(g for g, _ in rows)))
+        self.at = {g: i for i, g in enumerate(self.vocabulary)}
+        x, y = self._matrix([g for g, _ in rows]), self._targets([f for _, f in rows])
+        w, b = self._fit(x, y)
+        seen, truth = self._matrix([grams(t) for t, _ in CALIBRATION]), self._targets([f for _, f in CALIBRATION])
+        heat = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: self._loss((seen @ w + b) / t, truth))
+        self.weights, self.bias = np.round(w / heat, 6), b / heat
+        p, target, unknown = self._soft(seen @ self.weights + self.bias), truth.argmax(1), len(self.families) - 1
+
+        def right(least: float) -> int:
+            guess = np.where(p.max(1) >= least, p.argmax(1), unknown)
+            return int((guess == target).sum() + ((guess == unknown) & (target == unknown)).sum())
+
+        self.least = max((0.3, 0.4, 0.5, 0.6, 0.7), key=lambda t: (right(t), -t))
+
+    def _matrix(self, rows: list[set[str]]) -> np.ndarray:
+        x = np.zeros((len(rows), len(self.at)))
+        for i, g in enumerate(rows):
+            known = [self.at[k] for k in g if k in self.at]
+            x[i, known] = 1 / np.sqrt(max(1, len(known)))
+        return x
+
+    def _targets(self, families: list[str]) -> np.ndarray:
+        return np.eye(len(self.families))[[self.families.index(f) for f in families]]
 
     @staticmethod
     def _soft(z: np.ndarray) -> np.ndarray:
@@ -145,7 +200,7 @@ class Model:
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
-        row = 1 / y.sum(0)[y.argmax(1)]
+        row = 1 / np.sqrt(y.sum(0))[y.argmax(1)]
         row = (row / row.sum())[:, None]
         for _ in range(300):
             g = row * (self._soft(x @ w + b) - y)
@@ -154,6 +209,23 @@ class Model:
         return w, b
 
 
+@lru_cache(1)
+def model() -> Model:
+    return Model()
+
+
+def needed_pairs() -> list[str]:
+    """Word pairs of which a paragraph holds one at least where it holds LEAST_SHARED of some
+    template: of each template the rarest ones, one more than it may lack. So this gate drops
+    nothing that a template could confirm."""
+    out = set()
+    for ts in templates().values():
+        for t in ts:
+            pairs = sorted(grams(t, (2,)), key=lambda g: (sum(w in COMMON for w in g.split()), g))
+            out.update(pairs[: len(pairs) - int(np.ceil(LEAST_SHARED * len(pairs))) + 1])
+    return sorted(out)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
@@ -179,97 +251,110 @@ def fixed_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def holds_anchor(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.contains(low, F.lit(ANCHORS[0]))
-    for a in ANCHORS[1:]:
-        out = out | F.contains(low, F.lit(a))
-    return out
-
-
-def evidence() -> tuple[list[str], list[str]]:
-    """Words and pairs of which one is evidence of a family, and pairs of which it takes two: all
-    pairs of the templates without a common word."""
-    pairs = {g for ts in TEMPLATES.values() for t in ts for g in grams(t) if g.count(" ") == 1 and not COMMON & set(g.split())}
-    strong = {g for g in pairs if MAKERS & set(g.split())}
-    return sorted(strong.union(NAMES)), sorted(pairs - strong)
-
-
-def holds_evidence(text: Column) -> Column:
-    strong, weak = (F.array(*map(F.lit, x)) for x in evidence())
-    held = lambda runs: F.arrays_overlap(runs, strong) | (F.size(F.array_intersect(runs, weak)) >= 2)
-    return F.get(F.transform(F.array(word_runs(text, (1, 2))), held), F.lit(0))
+def paragraphs(text: Column) -> Column:
+    """Lines of a text, each with those that go on from it."""
+    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), WRAPPED, "$1 $2")
+    return F.split(joined, "\n", -1)
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_shared: float = LEAST_SHARED) -> DataFrame:
-    """One row per paragraph that holds an anchor or is confirmed as a family: id, ``para`` (0-based
-    among the text's lines), ``family``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
-
-    Every line is tested for evidence from the templates (:func:`evidence`), with or without an
-    anchor. A paragraph is one line: a notice wrapped over lines is judged line by line.
-
-    ``family`` is ``unknown`` where that class is likeliest or no template confirms. Of equal
-    probabilities the first family by name is taken. Null and empty texts have no paragraphs.
-    Repeated rows are scanned once for each id and text. An empty table gives no rows; other
-    columns are ignored. Both joined tables are the fixed model and are broadcast."""
-    spark, model = docs.sparkSession, Model()
+    """One row per paragraph that could hold a template: id, ``para`` (0-based among the text's
+    paragraphs), ``family``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
+
+    A paragraph is a line with the lines that go on from it (:data:`WRAPPED`). Every paragraph is
+    tested against :func:`needed_pairs`, which no confirmable one fails. ``family`` is ``unknown``
+    where that class is likeliest, the likeliest family is not likely enough or no template
+    confirms it. Of equal probabilities the first family by name is taken. Null and empty texts
+    have no paragraphs. Repeated rows are scanned once for each id and text; rows without an id
+    are scanned like others. An empty table gives no rows; other columns are ignored. Both joined
+    tables are the fixed model and are broadcast. The texts are scanned once."""
+    spark, fitted = docs.sparkSession, model()
     weights = fixed_rows(
-        spark, [{"_gram": g, "_w": [round(float(v), 6) for v in row]} for g, row in zip(model.vocabulary, model.weights, strict=True)],
-        "_gram: string, _w: array<double>",
+        spark, [{"gram": g, "w": [float(v) for v in row]} for g, row in zip(fitted.vocabulary, fitted.weights, strict=True)], "gram: string, w: array<double>"
     )
     pairs = fixed_rows(
         spark,
-        [{"family": f, "_template": t, "_size": len(p), "_gram": g}
-         for f, ts in TEMPLATES.items() for t, text in enumerate(ts) for p in [[g for g in sorted(grams(text)) if g.count(" ") == 1]] for g in p],
-        "family: string, _template: int, _size: int, _gram: string",
+        [{"family": f, "template": f"{f}{i}", "size": len(p), "gram": g}
+         for f, ts in templates().items() for i, t in enumerate(ts) for p in [sorted(grams(t, (2,)))] for g in p],
+        "family: string, template: string, size: int, gram: string",
     )
+    needed = F.array(*map(F.lit, needed_pairs()))
     found = settled(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .select("_id", F.posexplode(F.split("_text", "\n", -1)).alias("para", "paragraph"))
-        .filter(holds_anchor(F.col("paragraph")) | holds_evidence(F.col("paragraph"))).distinct()
+        docs.select(F.col(id_col).alias("id"), F.posexplode(paragraphs(F.col(text_col))).alias("para", "paragraph"))
+        .filter(F.arrays_overlap(word_runs(F.col("paragraph"), (2,)), needed)).distinct()
+        .withColumn("row", F.monotonically_increasing_id())
     )
-    key = ["_id", "para", "paragraph"]
+    classes = range(len(fitted.families))
     scored = (
-        found.select(*key, F.explode_outer(word_runs(F.col("paragraph"), (1, 2, 3))).alias("_gram"))
-        .join(F.broadcast(weights), "_gram", "left").groupBy(*key)
-        .agg(F.count("_w").alias("_m"), *[F.coalesce(F.sum(F.col("_w")[i]), F.lit(0.0)).alias(f"_z{i}") for i in range(len(model.families))])
+        found.select("row", F.explode_outer(word_runs(F.col("paragraph"), (1, 2, 3))).alias("gram"))
+        .join(F.broadcast(weights), "gram", "left").groupBy("row")
+        .agg(F.count("w").alias("m"), *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in classes])
     )
-    odds = F.array(*[F.col(f"_z{i}") / F.sqrt(F.greatest(F.col("_m"), F.lit(1))) + F.lit(float(model.bias[i])) for i in range(len(model.families))])
-    guessed = scored.select(*key, odds.alias("_odds")).select(*key, F.col("_odds"), F.array_max("_odds").alias("_top")).select(
-        *key,
-        F.element_at(F.array(*map(F.lit, model.families)), F.array_position("_odds", F.col("_top")).cast("int")).alias("_family"),
-        (1 / F.aggregate("_odds", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("_top")))).alias("probability"),
+    odds = F.array(*[F.col(f"z{i}") / F.sqrt(F.greatest(F.col("m"), F.lit(1))) + F.lit(float(fitted.bias[i])) for i in classes])
+    likeliest = F.element_at(F.array(*map(F.lit, fitted.families)), F.array_position("odds", F.col("top")).cast("int"))
+    guessed = scored.select("row", odds.alias("odds")).select("row", "odds", F.array_max("odds").alias("top")).select(
+        "row", likeliest.alias("family"), (1 / F.aggregate("odds", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).alias("probability"),
     )
-    likeness = (
-        guessed.withColumn("_pairs", word_runs(F.col("paragraph"), (2,)))
-        .select(*key, F.col("_family").alias("family"), F.size("_pairs").alias("_n"), F.explode("_pairs").alias("_gram"))
-        .join(F.broadcast(pairs), ["family", "_gram"])
-        .groupBy(*key, "_template").agg((F.count("*") / F.least(F.first("_size"), F.first("_n"))).alias("_share"))
-        .groupBy(*key).agg(F.max("_share").alias("shared"))
+    sentences = found.select("row", F.posexplode(F.split("paragraph", r"[.!?;](?:\s|$)")).alias("at", "sentence"))
+    matched = (
+        sentences.select("row", "at", word_runs(F.col("sentence"), (2,)).alias("own")).select("row", "at", F.size("own").alias("n"), F.explode("own").alias("gram"))
+        .join(F.broadcast(pairs), "gram")
+        .groupBy("row", "family", "template", "size", "at", "n").agg(F.collect_set("gram").alias("g"))
+        .groupBy("row", "family", "template", "size")
+        .agg((F.size(F.array_distinct(F.flatten(F.collect_list("g")))) / F.col("size")).alias("share"), F.max(F.size("g") / F.col("n")).alias("cover"))
     )
+    likeness = matched.filter((F.col("size") >= SHORT) | (F.col("cover") >= LEAST_COVER)).groupBy("row", "family").agg(F.max("share").alias("shared"))
     shared = F.coalesce("shared", F.lit(0.0))
-    confirmed = (F.col("_family") != UNKNOWN) & (shared >= least_shared)
-    return guessed.join(likeness, key, "left").select(
-        F.col("_id").alias(id_col), "para", F.when(confirmed, F.col("_family")).otherwise(UNKNOWN).alias("family"),
+    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= fitted.least) & (shared >= least_shared)
+    return found.join(guessed, "row").join(likeness, ["row", "family"], "left").select(
+        F.col("id").alias(id_col), "para", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"),
         "probability", shared.alias("shared"), confirmed.alias("confirmed"), "paragraph",
-    ).filter(F.col("confirmed") | holds_anchor(F.col("paragraph")))
+    )
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "para", "family", "confirmed")
 
 
-_HELD = " OR ".join(f"contains(lower(line), '{a}')" for a in ANCHORS)
-ORACLE = {
-    "op10_licences": f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS para
-  FROM documents WHERE text IS NOT NULL),
-f AS (
-  SELECT DISTINCT doc_id, para, line,
-         CASE WHEN line ILIKE '%under the MIT License%' THEN 'MIT' WHEN line ILIKE '%Apache License, Version 2.0%' THEN 'Apache-2.0'
-              WHEN line ILIKE '%GNU General Public License%' THEN 'GPL' WHEN line ILIKE '%CC BY-NC 4.0%' THEN 'CC-BY-NC'
-              WHEN line ILIKE '%all rights reserved%' THEN 'Proprietary' ELSE 'unknown' END AS family
-  FROM l WHERE {_HELD})
-SELECT doc_id, para, family, family <> 'unknown' AS confirmed FROM f"""
-}
+def oracle() -> dict[str, str]:
+    """The scan in SQL over the same fitted weights and the same templates."""
+    fitted = model()
+    quoted = lambda rows: json.dumps(rows).replace("'", "''")
+    weights = quoted([{"g": g, "w": [float(v) for v in row]} for g, row in zip(fitted.vocabulary, fitted.weights, strict=True)])
+    pairs = quoted([
+        {"family": f, "template": f"{f}{i}", "size": len(p), "g": g}
+        for f, ts in templates().items() for i, t in enumerate(ts) for p in [sorted(grams(t, (2,)))] for g in p
+    ])
+    runs = lambda n: f"list_transform(range(1, len(k) - {n - 2}), lambda i: {chr(32).join(f'k[i + {a}]' + (' || chr(32) ||' if a < n - 1 else '') for a in range(n))})"
+    split = lambda c: f"regexp_extract_all(lower({c}), '{TOKEN}')"
+    wrapped = WRAPPED.replace("'", "''")
+    families = ", ".join(f"'{f}'" for f in fitted.families)
+    bias = ", ".join(repr(float(b)) for b in fitted.bias)
+    needed = ", ".join("'" + g + "'" for g in needed_pairs())
+    sql = f"""
+WITH w AS (SELECT unnest(from_json('{weights}', '[{{"g": "VARCHAR", "w": ["DOUBLE"]}}]'), recursive := true)),
+p AS (SELECT unnest(from_json('{pairs}', '[{{"family": "VARCHAR", "template": "VARCHAR", "size": "INTEGER", "g": "VARCHAR"}}]'), recursive := true)),
+j AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{wrapped}', '\\1 \\2', 'g'), '{wrapped}', '\\1 \\2', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT * FROM (SELECT doc_id, unnest(l) AS paragraph, unnest(range(len(l)))::INT AS para FROM j)),
+k AS (SELECT *, {split('paragraph')} AS k FROM l),
+f AS (SELECT doc_id, para, paragraph, k, row_number() OVER () AS r FROM k WHERE list_has_any({runs(2)}, [{needed}])),
+s AS (SELECT r, unnest(list_distinct(list_concat(k, list_concat({runs(2)}, {runs(3)})))) AS g FROM f),
+c AS (SELECT r, unnest(w) AS v, unnest(range(len(w))) AS i FROM s JOIN w USING (g)),
+z AS (SELECT r, i, sum(v) / sqrt(count(*)) + ([{bias}])[i + 1] AS o FROM c GROUP BY r, i),
+b AS (SELECT r, arg_min(i, (-o, i)) AS i, max(o) AS top FROM z GROUP BY r),
+q AS (SELECT b.r, ([{families}])[any_value(b.i) + 1] AS family, 1 / sum(exp(z.o - b.top)) AS probability FROM b JOIN z USING (r) GROUP BY b.r),
+t AS (SELECT r, unnest(regexp_split_to_array(paragraph, '[.!?;](?:\\s|$)')) AS sentence, unnest(range(len(regexp_split_to_array(paragraph, '[.!?;](?:\\s|$)')))) AS sn FROM f),
+u AS (SELECT r, sn, {split('sentence')} AS k FROM t),
+v AS (SELECT r, sn, list_distinct({runs(2)}) AS o FROM u),
+x AS (SELECT r, sn, len(o) AS n, unnest(o) AS g FROM v),
+y AS (SELECT r, family, template, size, sn, n, count(DISTINCT x.g) AS m FROM x JOIN p ON x.g = p.g GROUP BY ALL),
+d AS (SELECT r, family, template, size, count(DISTINCT x.g) / size AS share FROM x JOIN p ON x.g = p.g GROUP BY r, family, template, size),
+h AS (SELECT d.r, d.family, max(share) AS shared FROM d JOIN (SELECT r, template, max(m / n) AS cover FROM y GROUP BY ALL) y USING (r, template)
+      WHERE size >= {SHORT} OR cover >= {LEAST_COVER} GROUP BY ALL),
+e AS (SELECT doc_id, para, q.family, q.family <> '{UNKNOWN}' AND probability >= {fitted.least} AND coalesce(shared, 0) >= {LEAST_SHARED} AS confirmed
+      FROM f JOIN q USING (r) LEFT JOIN h ON h.r = f.r AND h.family = q.family)
+SELECT doc_id, para, CASE WHEN confirmed THEN family ELSE '{UNKNOWN}' END AS family, confirmed FROM e"""
+    return {"op10_licences": sql}
+
+
+ORACLE = oracle

@@ -24,4 +24,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"marlstone.llm.{m}"), "ORACLE", {}).items()}
+    """SQL of the modules; of one with a fitted model, made when it is asked for."""
+    out = {}
+    for m in MODULES:
+        found = getattr(import_module(f"marlstone.llm.{m}"), "ORACLE", {})
+        out |= found() if callable(found) else found
+    return out

@@ -102,13 +102,14 @@ def test_line_dedup_keeps_the_first_and_the_columns(spark):
 
 def test_licence_families(spark):
     docs = spark.createDataFrame(
-        [(1, "Intro\nReleased under the MIT License.\nEnd"), (2, "You need a fishing licence to fish here."), (3, None), (4, ""),
+        [(1, "Intro.\nReleased under the MIT License.\nEnd"), (2, "You need a fishing licence to fish here."), (3, None), (4, ""),
          (5, "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0."),
-         (6, "the word " * 50_000 + "licence")],
+         (5, "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0."),
+         (6, "the word " * 50_000 + "licence"), (None, "All rights reserved."), (7, "Released\nunder the\nMIT License."), (8, "a b\n\nMIT license")],
         "doc_id long, text string",
     )
-    out = sorted((r.doc_id, r.para, r.family) for r in scan_licences(docs).collect())
-    assert out == [(1, 1, "MIT"), (2, 0, "unknown"), (5, 0, "Apache-2.0"), (5, 1, "Apache-2.0"), (6, 0, "unknown")]
+    out = sorted(((r.doc_id or 0, r.para, r.family) for r in scan_licences(docs).collect()))
+    assert out == [(0, 0, "Proprietary"), (1, 1, "MIT"), (5, 0, "Apache-2.0"), (5, 1, "Apache-2.0"), (7, 0, "MIT"), (8, 2, "MIT")]
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, _v string, kept string"
