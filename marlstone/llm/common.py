@@ -26,13 +26,17 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(hot, keys).unionByName(cold)
 
 
+#: Edges of a node from which its joins are split.
+HUB = 1000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type; the result has ``node`` and ``component``,
     one row for each node that has an edge to another. Alternating large-star and small-star
     rounds with plain joins and partially aggregated minima, so a hub with millions of edges
-    is never gathered into a group, and hubs are joined by broadcast (:func:`join_split`).
+    is never gathered into a group, and where there are hubs, joins are split (:func:`join_split`).
     Self-loops and repeated edges are allowed; no edges gives no rows."""
     if "component" in edges.columns:
         raise ValueError("edges must have columns a and b only")
@@ -41,29 +45,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    seen, total = None, 2 * cur.count()
+    seen = None
     for _ in range(max_rounds):
-        # large star: every neighbour above a node is hung on the smallest of its neighbourhood
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
+        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        most, total, mark = degrees.agg(F.max("n"), F.sum("n"), F.sum("h")).first()
+        if not total or seen == (total, mark):
+            break
+        seen = total, mark
+
+        def joined(rows: DataFrame, best: DataFrame, key: str, most: int = most, total: int = total) -> DataFrame:
+            return join_split(rows, best, [key], "n", total=total) if most > HUB else rows.join(best, key)
+
+        # large star: every neighbour above a node is hung on the smallest of its neighbourhood
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = (
-            join_split(both.filter("v > u"), low, ["u"], "n", total=total)
+            joined(both.filter("v > u"), low, "u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .filter("hi <> lo").distinct()
         )
         # small star: the smaller neighbours of a node are hung on the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = (
-            join_split(large, least, ["hi"], "n", total=total).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            joined(large, least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .filter("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         )
         nxt = settled(small)
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         drop_stage(cur)
         cur = nxt
-        if seen == tuple(mark):
-            break
-        seen, total = tuple(mark), 2 * mark[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("lo").alias("node")).distinct()

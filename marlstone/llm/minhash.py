@@ -139,8 +139,8 @@ def compared(dealt: DataFrame, compare: Compare) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def block_edges(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
-    """Edges that join all nodes of a group which :func:`compare` links, in linear work where
+def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+    """Components (``node``, ``component``) of the links between nodes of a group which :func:`compare` links, in linear work where
     the nodes of a large group are mostly linked.
 
     ``rows`` (a stage table) has ``group``, ``blocks`` (how many blocks the group is cut into),
@@ -158,27 +158,29 @@ def block_edges(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare
     here = rows.select("group", own.alias("block"), F.lit(0).alias("facing"), *keep)
     guests = pivots.select("group", every("blocks").alias("block"), F.lit(0).alias("facing"), *[F.col("p")[c].alias(c) for c in keep])
     edges = settled(compared(load(here.union(guests)), compare))
+    labels = connected_components(edges)
     if big.isEmpty():
-        return edges
+        return labels
     label = F.coalesce("component", "node").alias("label")
-    placed = settled(big.join(connected_components(edges), "node", "left").select("group", "blocks", *keep, label))
+    placed = settled(big.join(labels, "node", "left").select("group", "blocks", *keep, label))
     classes = placed.groupBy("group", "label").count()
     main = settled(
         classes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
         .filter("n > most").withColumn("parts", F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS))
     )
     if main.isEmpty():
-        return edges
+        return labels
     todo = join_split(placed, main, ["group"], "n")
     loose = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
     facing = todo.select("group", own.alias("block"), every("parts").alias("facing"), *keep).union(
         todo.filter("label <> main").select("group", every("blocks").alias("block"), loose.alias("facing"), *keep)
     )
-    return edges.union(compared(load(facing), compare))
+    found = compared(load(facing), compare)
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
-def candidate_edges(sigs: DataFrame, least: int) -> DataFrame:
-    """Edges (a, b) that join nodes whose signatures agree in at least ``least`` coordinates;
+def candidate_clusters(sigs: DataFrame, least: int) -> DataFrame:
+    """Components of nodes whose signatures agree in at least ``least`` coordinates;
     ``sigs`` has long ``node`` and ``_sig``, one row for each set."""
     posts = sigs.select("node", F.posexplode("_sig").alias("_i", "_v")).select(
         "node", (F.col("_i").cast("long") * F.lit(1 << 32) + F.col("_v")).alias("_post")
@@ -210,7 +212,7 @@ def candidate_edges(sigs: DataFrame, least: int) -> DataFrame:
             found.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1])))
         return found
 
-    return block_edges(rows, lambda dealt: dealt.join(sigs.select("node", F.col("_sig").alias("payload")), "node"), compare)
+    return block_components(rows, lambda dealt: dealt.join(sigs.select("node", F.col("_sig").alias("payload")), "node"), compare)
 
 
 def linked_in_blocks(sets: list[np.ndarray], percent: int, chunk: int = 4096) -> np.ndarray:
@@ -239,8 +241,8 @@ def linked_in_blocks(sets: list[np.ndarray], percent: int, chunk: int = 4096) ->
     return (100 * inter >= percent * union) & (inter > 0)
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Edges of nodes whose full sets meet the threshold, within clusters (``node``,
+def confirmed_components(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Components of nodes whose full sets meet the threshold, within clusters (``node``,
     ``component``, ``n_shingles``, ``_set`` and ``_rep``, the id of a document with that set)."""
     sizes = settled(clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("_s")))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("_s") / BLOCK_SHINGLES))
@@ -272,7 +274,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col:
                 found.append(_edges(ids[a:b], linked_in_blocks(sets, percent)))
         return found
 
-    return block_edges(members, load, compare)
+    return block_components(members, load, compare)
 
 
 def near_dedup(
@@ -297,11 +299,11 @@ def near_dedup(
         held.groupBy("_set").agg(F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("n_shingles"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    clusters = connected_components(candidate_edges(reps.select("node", "_sig"), least))
+    clusters = candidate_clusters(reps.select("node", "_sig"), least)
     clusters = settled(clusters.join(reps.drop("_sig"), "node"))
-    found = confirmed_edges(docs, clusters, id_col, text_col, width, percent)
+    found = confirmed_components(docs, clusters, id_col, text_col, width, percent)
     number = lambda end: reps.select(F.col("node").alias(end), F.col("_rep").alias(f"_{end}"))
-    links = found.join(number("a"), "a").join(number("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    links = found.join(number("node"), "node").join(number("component"), "component").select(F.col("_node").alias("a"), F.col("_component").alias("b"))
     many = held.groupBy("_id").agg(F.min("_set").alias("_x"), F.max("_set").alias("_y")).filter("_x <> _y").select("_id")
     own = held.join(many, "_id", "left_semi").select("_id", "_set").distinct().join(reps.select("_set", "_rep"), "_set")
     parts = connected_components(links.union(own.select(F.col("_id").alias("a"), F.col("_rep").alias("b"))))
