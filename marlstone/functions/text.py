@@ -5,7 +5,8 @@ DuckDB's regular expressions share."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,13 +91,17 @@ def is_date_or_purpose(text: Column) -> Column:
     return F.coalesce(F.contains(text, F.lit("aggregate")) | text.rlike(YEAR), F.lit(False))
 
 
+def _one_of(texts: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.sub(r"([^\w ])", r"\\\1", t) for t in texts) + ")"
+
+
 def starts_with_title(text: Column) -> Column:
     """Begins with a personal or institutional prefix."""
-    return F.coalesce(_any([F.startswith(F.lower(text), F.lit(p)) for p in W.NAME_PREFIXES]), F.lit(False))
+    return F.coalesce(F.lower(text).rlike("^" + _one_of(W.NAME_PREFIXES)), F.lit(False))
 
 
 def ends_with_suffix(text: Column) -> Column:
-    return F.coalesce(_any([F.endswith(F.lower(text), F.lit(s)) for s in W.NAME_SUFFIXES]), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(_one_of(W.NAME_SUFFIXES) + r"\z"), F.lit(False))
 
 
 def suffix_within(text: Column) -> Column:
@@ -135,27 +140,31 @@ def round_to(value: Column, step: float) -> Column:
     return F.rint(value / step).cast("int") * F.lit(step).cast("int")
 
 
+def count_words(text: Column) -> Column:
+    """Words between single blanks, empty ones too."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
 def short_words(text: Column) -> Column:
-    """How many words have at most two characters and no digit and are no common short word."""
-    return F.size(
-        F.filter(
-            F.split(text, " ", -1),
-            lambda w: (F.length(w) <= 2) & ~w.rlike(r"\p{Nd}") & ~F.lower(w).isin(*W.SHORT_WORDS),
-        )
-    )
+    """How many words have at most two characters and no digit and are no common short word; one
+    pass of a pattern, without arrays."""
+    return F.regexp_count(text, F.lit(rf"(?<![^ ])(?!(?i:{_one_of(W.SHORT_WORDS)})(?![^ ]))[^ \p{{Nd}}]{{0,2}}(?![^ ])"))
 
 
-def looks_corrupted(text: Column, known_word=None) -> Column:
+def looks_corrupted(text: Column, known_word: Callable[[Column], Column] | None = None) -> Column:
     """Scores a line as OCR garbage. ``known_word`` maps a word Column to whether a lexicon has
     it; without one every word counts as known."""
-    known = known_word or (lambda w: F.lit(True))
     special = F.regexp_replace(text, r'[ /.(),"*-]', "").rlike(r"[^\p{L}\p{Nd}]")
-    words = F.split(text, " ", -1)
-    short = short_words(text)
-    bad = F.size(
-        F.filter(words, lambda w: ~known(w) & ~F.contains(w, F.lit("/")) & ~is_numeric(F.regexp_replace(w, "TL|,", "")))
-    )
-    garbled = ((short > 3) & (short * 100.0 / F.size(words) >= 20)) | ((F.size(words) >= 2) & (bad * 100.0 / F.size(words) > 50))
+    # more than three short words, and a fifth of all
+    garbled = short_words(text) >= F.greatest(F.lit(4.0), count_words(text) / 5.0)
+    if known_word:
+        bad = F.size(
+            F.filter(
+                F.split(text, " ", -1),
+                lambda w: ~known_word(w) & ~F.contains(w, F.lit("/")) & ~is_numeric(F.regexp_replace(w, "TL|,", "")),
+            )
+        )
+        garbled = garbled | (count_words(text) >= 2) & (bad * 100.0 / count_words(text) > 50)
     return (
         F.when(text.isNull() | (text == ""), False)
         .when((F.length(text) < 8) & text.rlike("[a-zA-Z][0-9][a-zA-Z]"), True)

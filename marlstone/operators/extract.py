@@ -111,11 +111,26 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
             F.when(split & (i == n - 1), F.lit("")),
         ),
     )
-    i, before = F.col("i"), F.greatest(F.col("i") - F.col("l.previous"), F.lit(0))
+    lines = F.col("lines")
+
+    def hit(shown: Column, i: Column) -> Column:
+        before = F.greatest(i - F.col("l.previous"), F.lit(0))
+        return F.when(
+            shown.isNotNull(),
+            F.struct(
+                i.alias("i"), shown.alias("matched"), F.get(lines, i).alias("line"), F.get(lines, i - 1)["text"].alias("above"),
+                F.reverse(cut(lines, before, i - before)).alias("previous"), cut(lines, i + 1, F.col("l.following")).alias("next"),
+            ),
+        )
+
+    # a hit carries its frames; the whole text goes along for splits alone
     out = (
-        labelled.withColumn("_found", found).withColumn("_shown", shown).drop("_found")
-        .select("doc_id", "parent_id", "lines", "l", F.posexplode("_shown").alias("i", "matched")).filter("matched IS NOT NULL")
-        .withColumns({"line": F.get("lines", i), "previous": F.reverse(cut(F.col("lines"), before, i - before)), "next": cut(F.col("lines"), i + 1, F.col("l.following"))})
+        labelled.withColumn("_found", found).withColumn("_shown", shown)
+        .select(
+            "doc_id", "parent_id", "l", F.when(split, lines).alias("whole"), n.alias("n"),
+            F.explode(F.filter(F.transform("_shown", hit), lambda h: h.isNotNull())).alias("h"),
+        )
+        .select("doc_id", "parent_id", "l", F.col("whole").alias("lines"), "n", "h.*")
     )
     near = F.concat(F.array("line"), "next", "previous")
     every = F.forall("l.texts", lambda t: F.exists("_near", lambda v: T.label_matches(v["text"], t)))
@@ -149,9 +164,9 @@ def places(found: DataFrame) -> DataFrame:
     )
     usable = F.exists("_sides", lambda x: ~T.is_blank(x["text"]) & ~x["text"].isin("-", "—"))
     own = F.when(F.size("l.texts") == 0, "between").otherwise("same_line")
-    one_line, i, n = F.size("lines") == 1, F.col("i"), F.size("lines")
+    one_line, i, n = F.col("n") == 1, F.col("i"), F.col("n")
     first_text = F.get("_sides", F.lit(0))["text"]
-    above = F.get("lines", i - 1)["text"]
+    above = F.col("above")
     two = (i > 0) & (first_text.rlike(r"^\p{Ll}") | F.startswith(F.lower(first_text), F.lit("trading as")))
     single = F.filter("_sides", lambda x: x["text"].rlike(r"^[^\s]+$"))
     same = F.when(

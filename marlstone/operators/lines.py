@@ -21,13 +21,14 @@ def first_label(line: Column, labels: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(T.label_matches(line, F.lit(x)), F.lit(x)) for x in labels])
 
 
-def label_hits(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lines with each label of which they match a text, and the first such text.
-
-    ``labels`` has ``label_id``, ``text_ord``, ``label_text``: a catalogue, whose size is fixed
-    by its author, so it is broadcast."""
-    pairs = lines.join(F.broadcast(labels), T.label_matches(F.col("text"), F.col("label_text")))
-    return pairs.groupBy(*lines.columns, "label_id").agg(F.min_by("label_text", "text_ord").alias("matched_text"))
+def label_hits(lines: DataFrame, labels: Sequence[Sequence[str]]) -> DataFrame:
+    """Lines with the number of each label of which they match a text, and the first such text.
+
+    The catalogue is part of the plan: a narrow explode of the labels that a line matches,
+    without join or shuffle."""
+    made = [F.struct(F.lit(i).alias("label_id"), first_label(F.col("text"), texts).alias("matched_text")) for i, texts in enumerate(labels)]
+    hit = F.explode(F.filter(F.array(*made), lambda x: x["matched_text"].isNotNull()))
+    return lines.withColumn("_hit", hit).select(*lines.columns, "_hit.label_id", "_hit.matched_text")
 
 
 def documents_with(docs: DataFrame, text: str, labels: Sequence[str]) -> DataFrame:

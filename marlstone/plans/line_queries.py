@@ -23,10 +23,8 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     return S.from_documents(read(spark, sf, "documents"))
 
 
-def _notice_labels(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("label_id"), F.lit(0).alias("text_ord"), F.lit(x).alias("label_text")) for i, x in enumerate(NOTICES)]))
-    )
+#: One label of one text for each notice.
+NOTICE_LABELS = [(x,) for x in NOTICES]
 
 
 def q_doc_lines(spark, sf):
@@ -54,12 +52,12 @@ def q_collapse_blank(spark, sf):
 
 
 def q_label_hits(spark, sf):
-    hits = O.label_hits(S.standardised(doc_lines(spark, sf)), _notice_labels(spark))
+    hits = O.label_hits(S.standardised(doc_lines(spark, sf)), NOTICE_LABELS)
     return hits.select("doc_id", "line_no", "label_id", "matched_text")
 
 
 def q_first_notice_per_label(spark, sf):
-    hits = O.fragments(O.first_per_label(O.label_hits(S.standardised(doc_lines(spark, sf)), _notice_labels(spark))))
+    hits = O.fragments(O.first_per_label(O.label_hits(S.standardised(doc_lines(spark, sf)), NOTICE_LABELS)))
     return hits.select("doc_id", "label_id", "line_no", "matched_text", "before", "after")
 
 
