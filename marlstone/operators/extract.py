@@ -157,10 +157,13 @@ def places(found: DataFrame) -> DataFrame:
     ).otherwise(F.col("_block"))
     low = F.lower(F.array_join(F.transform("_named", lambda x: x["text"]), "\n"))
     held = (F.size("l.must_contain") == 0) | F.exists("l.must_contain", lambda t: F.contains(F.col("_low"), t))
+    ended = F.when(F.col("_end") > 0, F.get(F.filter("l.ends", lambda e: T.label_matches(F.get("next", F.col("_end") - 1)["text"], e)), F.lit(0)))
+    contained = F.get(F.filter("l.must_contain", lambda t: F.contains(F.col("_low"), t)), F.lit(0))
     rows = (
         found.withColumns({"_inside": inside, "_end": block_end, "_after": after})
         .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"]))})
         .withColumn("_named", named).withColumn("_low", low).withColumn("_held", held)
+        .withColumns({"_ended": ended, "_contains": contained})
     )
     usable = F.exists("_sides", lambda x: ~T.is_blank(x["text"]) & ~x["text"].isin("-", "—"))
     own = F.when(F.size("l.texts") == 0, "between").otherwise("same_line")
@@ -195,7 +198,10 @@ def places(found: DataFrame) -> DataFrame:
         .when(position == "related", F.concat(same, F.array(_place(8, "unset", "related", around))))
         .otherwise(F.concat(same, framed))
     )
-    return rows.withColumn("p", F.explode(every)).filter("size(p.source) > 0").select("doc_id", "parent_id", "l", "i", "matched", "line", "p")
+    return rows.withColumn("p", F.explode(every)).filter("size(p.source) > 0").select(
+        "doc_id", "parent_id", "l", "i", "matched", "line", "p", F.when(position == "between", F.col("_ended")).alias("matched_end"),
+        F.when(position == "between", F.col("_contains")).alias("matched_contains"),
+    )
 
 
 def values(rows: DataFrame, first_names: Sequence[str] | None = None) -> DataFrame:
@@ -203,9 +209,10 @@ def values(rows: DataFrame, first_names: Sequence[str] | None = None) -> DataFra
     source, fmt, vocab = F.col("p.source"), F.col("l.format"), F.size("l.possibilities") > 0
     words = F.array(*map(F.lit, first_names)) if first_names else None
     numeric = F.filter(F.transform(source, lambda x: _as_line(X.first_number(x["text"]), x["line_no"])), lambda x: x["text"].isNotNull())
+    listed = vocab & fmt.isin("units", "text") | vocab & (fmt == "number") & (F.size("l.texts") == 0)
     got = (
         F.when(F.col("p.mode") == "take", source).when(F.col("p.mode") == "related", numeric)
-        .when(vocab & fmt.isin("units", "text") | vocab & (fmt == "number") & (F.size("l.texts") == 0), X.vocabulary(source, F.col("l.possibilities")))
+        .when(listed, X.vocabulary(source, F.col("l.possibilities")))
         .when(fmt == "number", X.numbers(source))
         .when(fmt == "licence_number", X.licence_numbers(source, F.col("l.many")))
         .when(fmt == "company", X.names(source, F.col("p.backwards"), words))
@@ -213,14 +220,20 @@ def values(rows: DataFrame, first_names: Sequence[str] | None = None) -> DataFra
         .when(fmt == "single_word", X.single_word(source))
         .otherwise(X.whole_line(source))
     )
-    return rows.withColumn("inner", got).filter("size(inner) > 0")
+    entry = F.when(listed & ~F.col("p.mode").isin("take", "related"), F.get("inner", F.lit(0))["text"])
+    return rows.withColumn("inner", got).filter("size(inner) > 0").withColumn("matched_vocab", entry)
+
+
+def _holds(text: Column, r: Column) -> Column:
+    literal = F.when(r["anchored"], F.startswith(text, r["literal"])).otherwise(F.contains(text, r["literal"]))
+    return F.when(r["literal"].isNull(), F.regexp_like(text, r["pattern"])).otherwise(literal)
 
 
 def _removed(text: Column) -> Column:
     """The label's removal rules one after another, then edge trimming."""
 
     def step(acc: Column, r: Column) -> Column:
-        held = F.when(r["literal"].isNull(), F.regexp_like(acc, r["pattern"])).when(r["anchored"], F.startswith(acc, r["literal"])).otherwise(F.contains(acc, r["literal"]))
+        held = _holds(acc, r)
         return F.when(~held, acc).when(r["whole"], F.lit("")).otherwise(F.regexp_replace(acc, r["pattern"], F.lit("")))
 
     return T.trim_formatting(F.aggregate("l.rules", text, step))
@@ -230,13 +243,17 @@ def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | N
     """All candidate nodes of one level."""
     found = values(places(hits(segments, labels)), first_names)
     cleaned = F.filter(F.transform("inner", lambda x: _as_line(_removed(x["text"]), x["line_no"])), lambda x: x["text"] != "")
-    texts = F.when((F.size("l.rules") > 0) & F.col("l.format").isin("text", "company") & (F.col("l.position") != "split"), cleaned).otherwise(F.col("inner"))
+    ruled = (F.size("l.rules") > 0) & F.col("l.format").isin("text", "company") & (F.col("l.position") != "split")
+    texts = F.when(ruled, cleaned).otherwise(F.col("inner"))
+    used = F.filter("l.rules", lambda r: F.exists("inner", lambda x: _holds(x["text"], r)))
+    used = F.when(ruled, F.transform(used, lambda r: F.coalesce(r["literal"], r["pattern"]))).otherwise(F.array().cast("array<string>"))
     own_line = F.col("l.position").isin("between") | F.col("p.kind").isin("same_line", "same_line_2_lines", "same_line_single_word")
     name = F.concat_ws(":", F.col("l.label_id").cast("string"), F.col("i").cast("string"), F.col("p.ord").cast("string"))
     return found.select(
         "doc_id", F.col("l.group").alias("group"), F.concat_ws("/", F.coalesce("parent_id", F.col("l.group")), name).alias("node_id"), "parent_id",
         F.col("l.label_id").alias("label_id"), F.when(own_line, F.col("line.line_no")).otherwise(F.get("inner", F.lit(0))["line_no"]).alias("line_no"),
-        F.col("p.kind").alias("match_type"), texts.alias("texts"), F.nullif("matched", F.lit("")).alias("matched_text"), "inner",
+        F.col("p.kind").alias("match_type"), texts.alias("texts"), F.nullif("matched", F.lit("")).alias("matched_text"), "matched_end",
+        "matched_contains", "matched_vocab", used.alias("rules_used"), "inner",
         F.col("i").alias("_spot"), F.col("p.ord").alias("_try"), (F.col("p.mode") == "related").alias("_related"),
     )
 
@@ -323,7 +340,8 @@ def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
 def extract(docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: Sequence[str] | None = None, is_ocr: bool = False, service: str = "native") -> DataFrame:
     """All matches of a catalogue in ``docs`` (``doc_id``, ``lines``): a row for each node with
     ``group``, ``node_id``, ``parent_id``, ``label_id``, ``name``, ``line_no``, ``match_type``,
-    ``texts``, ``matched_text``, ``is_ocr`` and ``service``. Linked licences are followed by
+    ``texts``, how it was matched (``matched_text``, ``matched_end`` and ``matched_contains`` of a block,
+    ``matched_vocab``, ``rules_used``), ``is_ocr`` and ``service``. Linked licences are followed by
     :func:`marlstone.operators.links.closure`, so their labels give no rows here."""
     flat = flatten(groups)
     catalogue: dict[str, list[dict]] = {}

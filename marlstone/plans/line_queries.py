@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import extractors as X
@@ -15,6 +15,11 @@ from marlstone.sources import lines as S
 NOTICES = ("licensed under", "released under", "all rights reserved")
 
 
+def text_hash(text: str = "text", at: str = "line_no") -> Column:
+    """The texts of a group in line order, as one hash."""
+    return F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda x: x[text]), "\n")).alias("text_md5")
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -48,7 +53,7 @@ def q_collapse_blank(spark, sf):
     docs = read(spark, sf, "conversations").withColumn("text", F.regexp_replace("text", " ", "\n\n"))
     turns = docs.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
     out = O.trimmed_blocks(S.from_documents(turns, "key"), collapse=True)
-    return out.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("lines"), F.count_if(F.col("text") == "").alias("empty_lines"))
+    return out.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("lines"), F.count_if(F.col("text") == "").alias("empty_lines"), text_hash())
 
 
 def q_label_hits(spark, sf):
@@ -74,12 +79,12 @@ def q_context_window(spark, sf):
 def q_between_block(spark, sf):
     lines = S.from_documents(read(spark, sf, "pages"), "page_id", "html", "<").withColumn("text", F.replace("text", F.lit(">"), F.lit(" ")))
     blocks = O.between_blocks(lines, ["article"], ["/article", "footer"], F.lit(1 << 40))
-    return blocks.groupBy(F.col("doc_id").alias("page_id"), "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"))
+    return blocks.groupBy(F.col("doc_id").alias("page_id"), "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"), text_hash("line", "at"))
 
 
 def q_block_to_frame_end(spark, sf):
     blocks = O.between_blocks(S.standardised(doc_lines(spark, sf)), ["the"], ["of", O.BLOCK_END], 5)
-    return blocks.groupBy("doc_id", "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"))
+    return blocks.groupBy("doc_id", "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"), text_hash("line", "at"))
 
 
 def q_split_block(spark, sf):
@@ -127,7 +132,7 @@ def q_short_word_share(spark, sf):
 
 
 def q_corrupted_lines(spark, sf):
-    return doc_lines(spark, sf).filter(T.looks_corrupted(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("corrupted"))
+    return doc_lines(spark, sf).filter(T.looks_corrupted(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("corrupted"), text_hash())
 
 
 def q_removal_rules(spark, sf):
@@ -158,7 +163,7 @@ def q_reading_order(spark, sf):
         .withColumns({"top": 1000 - F.col("line_no") * 12.5 - (F.col("w") % 2) * 1.0, "left": F.col("w") * 12.5})
     )
     out = S.reading_order(words, 500, 5, 25.0)
-    return out.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("text") == "").alias("blanks"), F.sum(F.length("text")).alias("chars"))
+    return out.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("text") == "").alias("blanks"), F.sum(F.length("text")).alias("chars"), text_hash())
 
 
 def q_round_even(spark, sf):
@@ -251,7 +256,7 @@ SELECT page_id, count(*) FILTER (regexp_replace(t, '[\p{P}\p{Z}\s]', '', 'g') =
 l AS (SELECT key, unnest(p) AS t, unnest(range(len(p))) AS n FROM d),
 b AS (SELECT *, min(n) FILTER (trim(t) <> '') OVER (PARTITION BY key) AS a, max(n) FILTER (trim(t) <> '') OVER (PARTITION BY key) AS z FROM l),
 c AS (SELECT *, lag(t) OVER (PARTITION BY key ORDER BY n) AS p FROM b WHERE n BETWEEN a AND z)
-SELECT key, count(*) AS lines, count(*) FILTER (t = '') AS empty_lines FROM c WHERE NOT (t = '' AND p IS NOT NULL AND p = '') GROUP BY key""",
+SELECT key, count(*) AS lines, count(*) FILTER (t = '') AS empty_lines, md5(string_agg(t, chr(10) ORDER BY n)) AS text_md5 FROM c WHERE NOT (t = '' AND p IS NOT NULL AND p = '') GROUP BY key""",
     "label_hits": f"WITH {S_LINES}, {HITS} SELECT doc_id, line_no, label_id, matched_text FROM h",
     "first_notice_per_label": f"""WITH {S_LINES}, {HITS},
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label_id ORDER BY line_no) AS rn, instr(lower(text), matched_text) AS p FROM h)
@@ -265,20 +270,20 @@ SELECT doc_id, line_no, md5(coalesce(array_to_string(list_reverse(p), '|'), ''))
     "between_block": """WITH l AS (SELECT page_id, unnest(string_split(html, '<')) AS t, unnest(range(len(string_split(html, '<'))))::INT AS n FROM pages),
 b AS (SELECT page_id, n, replace(t, '>', ' ') AS t FROM l),
 s AS (SELECT page_id, n, t FROM b WHERE starts_with(lower(t), 'article') OR contains(lower(t), ' article')),
-r AS (SELECT s.page_id, s.n AS start_line, b.n AS pos, min(CASE WHEN starts_with(lower(b.t), '/article') OR contains(lower(b.t), ' /article') OR starts_with(lower(b.t), 'footer') OR contains(lower(b.t), ' footer') THEN b.n END) OVER (PARTITION BY s.page_id, s.n) AS end_line
- FROM s JOIN b ON s.page_id = b.page_id AND b.n > s.n AND b.n <= s.n + 400),
-i AS (SELECT page_id, start_line, pos, end_line FROM r WHERE pos < end_line
- UNION ALL SELECT s.page_id, s.n, s.n, (SELECT max(end_line) FROM r WHERE r.page_id = s.page_id AND r.start_line = s.n) FROM s
+r AS (SELECT s.page_id, s.n AS start_line, b.n AS pos, b.t AS line, min(CASE WHEN starts_with(lower(b.t), '/article') OR contains(lower(b.t), ' /article') OR starts_with(lower(b.t), 'footer') OR contains(lower(b.t), ' footer') THEN b.n END) OVER (PARTITION BY s.page_id, s.n) AS end_line
+ FROM s JOIN b ON s.page_id = b.page_id AND b.n > s.n),
+i AS (SELECT page_id, start_line, pos, end_line, line FROM r WHERE pos < end_line
+ UNION ALL SELECT s.page_id, s.n, s.n, (SELECT max(end_line) FROM r WHERE r.page_id = s.page_id AND r.start_line = s.n), trim(""" + TRIM.format("substr(t, instr(lower(t), 'article') + 7)") + """) FROM s
  WHERE trim(""" + TRIM.format("substr(t, instr(lower(t), 'article') + 7)") + """) <> '')
-SELECT page_id, start_line, count(*) AS lines, max(end_line) AS end_line FROM i WHERE end_line IS NOT NULL GROUP BY ALL""",
+SELECT page_id, start_line, count(*) AS lines, max(end_line) AS end_line, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM i WHERE end_line IS NOT NULL GROUP BY ALL""",
     "block_to_frame_end": f"""WITH {S_LINES}, h AS (SELECT * FROM s WHERE {LABEL.format('the')}),
-r AS (SELECT h.doc_id, h.line_no AS start_line, s.line_no AS pos, min(CASE WHEN starts_with(lower(s.text), 'of') OR contains(lower(s.text), ' of') THEN s.line_no END) OVER (PARTITION BY h.doc_id, h.line_no) AS end_line
+r AS (SELECT h.doc_id, h.line_no AS start_line, s.line_no AS pos, s.text AS line, min(CASE WHEN starts_with(lower(s.text), 'of') OR contains(lower(s.text), ' of') THEN s.line_no END) OVER (PARTITION BY h.doc_id, h.line_no) AS end_line
  FROM h JOIN s ON s.doc_id = h.doc_id AND s.line_no > h.line_no AND s.line_no <= h.line_no + 5),
 e AS (SELECT doc_id, start_line, max(end_line) AS end_line FROM r GROUP BY ALL),
-i AS (SELECT doc_id, start_line, end_line FROM r WHERE end_line IS NULL OR pos < end_line
- UNION ALL SELECT h.doc_id, h.line_no, e.end_line FROM h LEFT JOIN e ON e.doc_id = h.doc_id AND e.start_line = h.line_no
+i AS (SELECT doc_id, start_line, end_line, pos, line FROM r WHERE end_line IS NULL OR pos < end_line
+ UNION ALL SELECT h.doc_id, h.line_no, e.end_line, h.line_no, trim({TRIM.format("substr(h.text, instr(lower(h.text), 'the') + 3)")}) FROM h LEFT JOIN e ON e.doc_id = h.doc_id AND e.start_line = h.line_no
  WHERE trim({TRIM.format("substr(h.text, instr(lower(h.text), 'the') + 3)")}) <> '')
-SELECT doc_id, start_line, count(*) AS lines, max(end_line) AS end_line FROM i GROUP BY ALL""",
+SELECT doc_id, start_line, count(*) AS lines, max(end_line) AS end_line, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM i GROUP BY ALL""",
     "split_block": """WITH h AS (SELECT conv_id, turn, min(CASE WHEN starts_with(role, 'assistant') OR contains(role, ' assistant') THEN turn END) OVER (PARTITION BY conv_id) AS hit FROM conversations)
 SELECT conv_id, count(*) FILTER (hit IS NULL OR turn < hit - 1) AS part1, count(*) FILTER (hit IS NOT NULL AND turn >= hit - 1) AS part2 FROM h GROUP BY conv_id""",
     "split_void_both": """WITH h AS (SELECT conv_id, turn, min(CASE WHEN starts_with(role, 'assistant') OR contains(role, ' assistant') THEN turn END) OVER (PARTITION BY conv_id) AS hit FROM conversations),
@@ -300,7 +305,7 @@ SELECT doc_id, line_no, value FROM v WHERE rn = 1""",
     "short_word_share": f"""WITH {LINES} SELECT doc_id, line_no, len(list_filter(string_split(text, ' '), lambda w: length(w) <= 2 AND NOT regexp_matches(w, '\\p{{Nd}}') AND lower(w) NOT IN ({SHORT})))::INT AS short_words,
 len(string_split(text, ' '))::INT AS words FROM l""",
     "corrupted_lines": f"""WITH {LINES}, c AS (SELECT *, len(list_filter(string_split(text, ' '), lambda w: length(w) <= 2 AND NOT regexp_matches(w, '\\p{{Nd}}') AND lower(w) NOT IN ({SHORT}))) AS k, len(string_split(text, ' ')) AS n FROM l)
-SELECT doc_id, count(*) AS corrupted FROM c WHERE CASE WHEN text = '' THEN false
+SELECT doc_id, count(*) AS corrupted, md5(string_agg(text, chr(10) ORDER BY line_no)) AS text_md5 FROM c WHERE CASE WHEN text = '' THEN false
 WHEN length(text) < 8 AND regexp_matches(text, '[a-zA-Z][0-9][a-zA-Z]') THEN true
 WHEN regexp_matches(text, '^\\p{{Ll}}') AND regexp_matches(regexp_replace(text, '[ /.(),"*-]', '', 'g'), '[^\\p{{L}}\\p{{Nd}}]') THEN true
 WHEN {TITLED.format('text')} OR {SUFFIXED.format('text')} THEN false ELSE k > 3 AND k * 100.0 / n >= 20 END GROUP BY doc_id""",
@@ -311,13 +316,14 @@ SELECT doc_id, line_no, md5({TRIM.format("CASE WHEN starts_with(t, 'Of') THEN ''
 SELECT doc_id, entry, count(*) AS lines, min(line_no) AS first_line FROM e WHERE entry IS NOT NULL GROUP BY ALL""",
     "title_prefix_lines": f"""WITH c AS (SELECT c_custkey, concat(CASE WHEN c_custkey % 3 = 0 THEN 'Mr. ' ELSE '' END, c_name, CASE WHEN c_custkey % 5 = 0 THEN ' Farms Ltd' ELSE '' END) AS n FROM customer)
 SELECT c_custkey, {TITLED.format('n')} AS titled, {SUFFIXED.format('n')} AS suffixed, {SUFFIX} AS suffix, regexp_matches(n, '\\p{{Nd}}$') AS address FROM c""",
-    "reading_order": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS t, unnest(range(len(string_split(text, ' ')))) AS w FROM l WHERE line_no < 30),
-p AS (SELECT doc_id, line_no * 100 + w AS word_no, t, 1000 - line_no * 12.5 - (w % 2) * 1.0 AS top, w * 12.5 AS lft FROM w WHERE w < 40),
+    "reading_order": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS t, unnest(range(len(string_split(text, ' ')))) AS w FROM l),
+p AS (SELECT doc_id, line_no::BIGINT * (1::BIGINT << 31) + w AS word_no, t, 1000 - line_no * 12.5 - (w % 2) * 1.0 AS top, w * 12.5 AS lft FROM w),
 r AS (SELECT *, round_even(top::DOUBLE / 5, 0)::INT * 5 AS ry, round_even(lft::DOUBLE / 500, 0)::INT AS rx FROM p),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ry DESC, lft, word_no) AS ord FROM r),
 g AS (SELECT doc_id, ry, rx, min(ord) AS ord, string_agg(t, ' ' ORDER BY ord) AS text, arg_min(top, ord) AS top FROM o GROUP BY ALL),
 s AS (SELECT *, lag(top) OVER (PARTITION BY doc_id ORDER BY ord) - top AS gap FROM g)
-SELECT doc_id, count(*) + count(*) FILTER (gap >= 25) AS lines, count(*) FILTER (text = '') + count(*) FILTER (gap >= 25) AS blanks, sum(length(text))::BIGINT AS chars FROM s GROUP BY doc_id""",
+SELECT doc_id, count(*) + count(*) FILTER (gap >= 25) AS lines, count(*) FILTER (text = '') + count(*) FILTER (gap >= 25) AS blanks, sum(length(text))::BIGINT AS chars,
+md5(string_agg(CASE WHEN gap >= 25 THEN chr(10) ELSE '' END || text, chr(10) ORDER BY ord)) AS text_md5 FROM s GROUP BY doc_id""",
     "round_even": "SELECT l_orderkey, l_linenumber, round_even(l_quantity * 2.5 / 5, 0)::INT * 5 AS rounded FROM lineitem",
     "found_totals": """SELECT count(*) AS documents, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good,
 count(*) FILTER (contains(text, 'License')) AS with_licence, round(avg(n_chars), 6) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id)""",
