@@ -45,11 +45,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes cross-site boilerplate lines; a document of nothing else goes."""
-    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text")).alias("key"), "text", "source")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "source")])
+    rows = docs.select(rest.alias("row"), F.struct("doc_id", F.xxhash64("text")).alias("key"), "text", "source")
     out = line_dedup(rows, "key").filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    made = {"text": F.col("text"), "n_chars": length}
-    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    made = {"text": F.col("text"), "source": F.col("source"), "n_chars": length}
+    return out.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

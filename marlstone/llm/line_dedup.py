@@ -72,15 +72,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bad = boilerplate_lines(lines, sites)
     removed = join_split(lines.drop("site"), bad, LINE, "n").filter(F.struct("doc", "pos") != F.col("first"))
     per_doc = removed.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    # lines are cut again after the join, which moves each text once
+    lines = F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n", -1)
+    out = rows.drop("lines", "site").join(per_doc, "doc", "left").select("row", "gone", lines.alias("lines"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.transform(stays, lambda i: F.get(F.col("lines"), i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept)
     n_removed = F.coalesce(F.size("gone"), F.lit(0))
     made = F.struct(text.alias("text"), F.size("lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
     same = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
-    return rows.join(per_doc, "doc", "left").select("row", made.alias("made")).select(
-        *same, F.col("made.text").alias(text_col), "made.n_lines", "made.n_removed"
-    )
+    return out.select("row", made.alias("made")).select(*same, F.col("made.text").alias(text_col), "made.n_lines", "made.n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

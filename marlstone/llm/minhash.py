@@ -139,7 +139,7 @@ def compared(dealt: DataFrame, compare: Compare) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Compare, keep_payload: bool = False) -> DataFrame:
     """Components (``node``, ``component``) of the links between nodes of a group which :func:`compare` links, in linear work where
     the nodes of a large group are mostly linked.
 
@@ -147,7 +147,8 @@ def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], co
     ``node`` and what ``load`` needs to add a ``payload``. First the nodes of a block meet each
     other and a few pivots of their group, which go to all of its blocks. Nodes that are then
     in the largest class of their group need no comparison among themselves; only the others
-    are compared with everything, block against block, so no link is lost."""
+    are compared with everything, block against block, so no link is lost. With
+    ``keep_payload``, payloads are written when first loaded and not loaded again for that."""
     keep = [c for c in rows.columns if c not in ("group", "blocks")]
     big = rows.filter("blocks > 1")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -155,9 +156,12 @@ def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], co
     pivots = big.groupBy("group", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PIVOTS)).alias("i")).agg(
         F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("lot"), *keep)).alias("p")
     )
-    here = rows.select("group", own.alias("block"), F.lit(0).alias("facing"), *keep)
-    guests = pivots.select("group", every("blocks").alias("block"), F.lit(0).alias("facing"), *[F.col("p")[c].alias(c) for c in keep])
-    edges = settled(compared(load(here.union(guests)), compare))
+    here = rows.select("group", own.alias("block"), F.lit(0).alias("facing"), F.lit(False).alias("guest"), *keep)
+    guests = pivots.select("group", every("blocks").alias("block"), F.lit(0).alias("facing"), F.lit(True).alias("guest"), *[F.col("p")[c].alias(c) for c in keep])
+    loaded = load(here.union(guests))
+    if keep_payload:
+        loaded = settled(loaded)
+    edges = settled(compared(loaded, compare))
     labels = connected_components(edges)
     if big.isEmpty():
         return labels
@@ -175,7 +179,8 @@ def block_components(rows: DataFrame, load: Callable[[DataFrame], DataFrame], co
     facing = todo.select("group", own.alias("block"), every("parts").alias("facing"), *keep).union(
         todo.filter("label <> main").select("group", every("blocks").alias("block"), loose.alias("facing"), *keep)
     )
-    found = compared(load(facing), compare)
+    payloads = loaded.filter("NOT guest").select("node", "payload")
+    found = compared(facing.join(payloads, "node") if keep_payload else load(facing.withColumn("guest", F.lit(False))), compare)
     return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
@@ -253,18 +258,18 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, id_col: str, text
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py() or b"", width) for t in batch.column(5).cast(pa.large_binary())]
+            found = [shingle_set(t.as_py() or b"", width) for t in batch.column("_text").cast(pa.large_binary())]
             # other texts of the same id belong to other nodes
-            own = pa.array([len(s) > 0 and digest(s) == k for s, k in zip(found, batch.column(4).to_pylist(), strict=True)], pa.bool_())
+            own = pa.array([len(s) > 0 and digest(s) == k for s, k in zip(found, batch.column("_set").to_pylist(), strict=True)], pa.bool_())
             payload = pa.array([s.tobytes() for s in found], pa.binary())
-            cols = [*batch.columns[:4], payload]
-            yield pa.RecordBatch.from_arrays(cols, ["group", "block", "facing", "node", "payload"]).filter(own)
+            cols = [*batch.columns[:5], payload]
+            yield pa.RecordBatch.from_arrays(cols, ["group", "block", "facing", "guest", "node", "payload"]).filter(own)
 
     def load(dealt: DataFrame) -> DataFrame:
         # members grow with the input, so this is a sort-merge join at every size
         texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text")).join(dealt.hint("merge"), "_rep")
-        rows = texts.select("group", "block", "facing", "node", "_set", "_text")
-        return rows.mapInArrow(sets, "group long, block int, facing int, node long, payload binary")
+        rows = texts.select("group", "block", "facing", "guest", "node", "_set", "_text")
+        return rows.mapInArrow(sets, "group long, block int, facing int, guest boolean, node long, payload binary")
 
     def compare(ids: np.ndarray, shingles: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         found = []
@@ -274,7 +279,7 @@ def confirmed_components(docs: DataFrame, clusters: DataFrame, id_col: str, text
                 found.append(_edges(ids[a:b], linked_in_blocks(sets, percent)))
         return found
 
-    return block_components(members, load, compare)
+    return block_components(members, load, compare, keep_payload=True)
 
 
 def near_dedup(
@@ -302,14 +307,19 @@ def near_dedup(
     clusters = candidate_clusters(reps.select("node", "_sig"), least)
     clusters = settled(clusters.join(reps.drop("_sig"), "node"))
     found = confirmed_components(docs, clusters, id_col, text_col, width, percent)
-    number = lambda end: reps.select(F.col("node").alias(end), F.col("_rep").alias(f"_{end}"))
-    links = found.join(number("node"), "node").join(number("component"), "component").select(F.col("_node").alias("a"), F.col("_component").alias("b"))
     many = held.groupBy("_id").agg(F.min("_set").alias("_x"), F.max("_set").alias("_y")).filter("_x <> _y").select("_id")
-    own = held.join(many, "_id", "left_semi").select("_id", "_set").distinct().join(reps.select("_set", "_rep"), "_set")
-    parts = connected_components(links.union(own.select(F.col("_id").alias("a"), F.col("_rep").alias("b"))))
-    classes = reps.select("_set", F.col("_rep").alias("node")).join(parts, "node", "left").select(
-        "_set", F.coalesce("component", "node").alias("component_id")
-    )
+    own = settled(held.join(many, "_id", "left_semi").select("_id", "_set").distinct().join(reps.select("_set", "_rep"), "_set"))
+    if own.isEmpty():
+        # a component's smallest id, looked up by its own number
+        named = found.join(reps.select("node", "_set", "_rep"), "node")
+        least = settled(named.groupBy("component").agg(F.min("_rep").alias("component_id"), F.count("*").alias("n")))
+        classes = join_split(named.select("component", "_set"), least, ["component"], "n").select("_set", "component_id")
+    else:
+        number = lambda end: reps.select(F.col("node").alias(end), F.col("_rep").alias(f"_{end}"))
+        links = found.join(number("node"), "node").join(number("component"), "component").select(F.col("_node").alias("a"), F.col("_component").alias("b"))
+        parts = connected_components(links.union(own.select(F.col("_id").alias("a"), F.col("_rep").alias("b"))))
+        classes = reps.select("_set", F.col("_rep").alias("node")).join(parts, "node").select("_set", F.col("component").alias("component_id"))
+    classes = reps.select("_set", "_rep").join(classes, "_set", "left").select("_set", F.coalesce("component_id", "_rep").alias("component_id"))
     out = sk.join(classes, "_set", "left").select(
         F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
     )

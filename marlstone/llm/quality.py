@@ -32,7 +32,7 @@ for _k, _bytes in enumerate(BYTE_CLASSES, 1):
     _CLASS[list(_bytes)] = _k
 N_MEASURES = 16
 #: Buckets of hashed word n-grams (a power of two).
-GRAM_BITS = 11
+GRAM_BITS = 9
 GRAMS = 1 << GRAM_BITS
 
 
