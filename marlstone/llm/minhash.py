@@ -301,11 +301,13 @@ def near_dedup(
     sk = settled(sketches(docs, id_col, text_col, width))
     held = sk.filter("_set IS NOT NULL AND _id IS NOT NULL")
     reps = settled(
-        held.groupBy("_set").agg(F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("n_shingles"))
+        held.groupBy("_set").agg(
+            F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("n_shingles"), F.count("*").alias("_copies")
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     clusters = candidate_clusters(reps.select("node", "_sig"), least)
-    clusters = settled(clusters.join(reps.drop("_sig"), "node"))
+    clusters = settled(clusters.join(reps.drop("_sig", "_copies"), "node"))
     found = confirmed_components(docs, clusters, id_col, text_col, width, percent)
     many = held.groupBy("_id").agg(F.min("_set").alias("_x"), F.max("_set").alias("_y")).filter("_x <> _y").select("_id")
     own = settled(held.join(many, "_id", "left_semi").select("_id", "_set").distinct().join(reps.select("_set", "_rep"), "_set"))
@@ -319,10 +321,13 @@ def near_dedup(
         links = found.join(number("node"), "node").join(number("component"), "component").select(F.col("_node").alias("a"), F.col("_component").alias("b"))
         parts = connected_components(links.union(own.select(F.col("_id").alias("a"), F.col("_rep").alias("b"))))
         classes = reps.select("_set", F.col("_rep").alias("node")).join(parts, "node").select("_set", F.col("component").alias("component_id"))
-    classes = reps.select("_set", "_rep").join(classes, "_set", "left").select("_set", F.coalesce("component_id", "_rep").alias("component_id"))
-    out = sk.join(classes, "_set", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
+    classes = settled(
+        reps.select("_set", "_rep", "_copies").join(classes, "_set", "left").select("_set", "_copies", F.coalesce("component_id", "_rep").alias("component_id"))
     )
+    # all copies of a text meet one row, so sets of many copies are joined by broadcast; the empty set is not joined
+    linked = join_split(held.select("_id", "n_shingles", "_set"), classes, ["_set"], "_copies").select("_id", "n_shingles", "component_id")
+    alone = sk.filter("_set IS NULL OR _id IS NULL").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    out = linked.unionByName(alone).withColumnRenamed("_id", id_col)
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 

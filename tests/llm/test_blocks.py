@@ -49,6 +49,17 @@ def test_near_dedup_of_repeated_ids(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, None)] * 2
 
 
+def test_near_dedup_of_many_copies(spark):
+    """A third of the rows are copies of one text and some are blank; the other sets stand alone."""
+    rows = [(i, "one text of many copies 0") for i in range(2500)] + [(i, "  ") for i in range(2500, 3000)]
+    rows += [(i, " ".join(f"u{i}_{k}" for k in range(6))) for i in range(3000, 7500)] + [(None, "one text of many copies 0"), (None, None)]
+    got = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert all((r.component_id, r.kept) == (None, None) for r in got if r.doc_id is None)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: 0 if i < 2500 else i for i in range(7500)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+
+
 def test_line_dedup_around_the_threshold(spark):
     rows, k = [], 0
     for sites in (8, 9, 10, 11, 12, 30):
