@@ -58,11 +58,11 @@ def summary(nodes: DataFrame) -> DataFrame:
         column: F.min_by(F.when(top & (F.col("group") == group), first_text(F.col("texts"))), F.when(top & (F.col("group") == group), F.struct("label_id", "line_no")))
         for group, column in SUMMARY.items()
     }
-    linked = F.when(F.col("name") == "LinkedNumber", F.struct("line_no", "node_id", first_text(F.col("texts")).alias("t")))
+    linked = F.when(F.col("name") == "LinkedLicenceNumber", F.struct("line_no", "node_id", first_text(F.col("texts")).alias("t")))
     return nodes.groupBy("doc_id").agg(
         *[c.alias(k) for k, c in first.items()],
         F.array_join(F.transform(F.sort_array(F.collect_set(linked)), lambda x: x["t"]), "|").alias("linked"),
-        F.count_if(F.col("name") == "Condition").cast("long").alias("n_conditions"), F.max("is_ocr").alias("is_scan"),
+        F.count_if(F.col("name") == "AbstractionLimitPoint").cast("long").alias("n_conditions"), F.max("is_ocr").alias("is_scan"),
     )
 
 
