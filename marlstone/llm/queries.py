@@ -16,6 +16,7 @@ MODULES = {
     "embeddings": ["op3_embedding_dedup"],
     "html_text": ["op4_html_text"],
     "licences": ["op10_licences"],
+    "suffix_dedup": ["op13_suffix_dedup"],
 }
 
 
