@@ -16,6 +16,8 @@ MODULES = {
     "embeddings": ["op3_embedding_dedup"],
     "html_text": ["op4_html_text"],
     "licences": ["op10_licences"],
+    "vector_codes": ["op11_vector_codes"],
+    "whitening": ["op12_whitening"],
     "suffix_dedup": ["op13_suffix_dedup"],
 }
 
