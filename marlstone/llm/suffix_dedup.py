@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,10 +187,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def spans_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.filter(pa.compute.is_null(batch.column("h")))
+            spans = batch.filter(pc.is_null(batch.column("h")))
             if spans.num_rows:
                 ready.append(_spans(*[spans.column(c) for c in ("n", "m", "start", "end")]))
-            yield batch.filter(pa.compute.is_valid(batch.column("h")))
+            yield batch.filter(pc.is_valid(batch.column("h")))
 
     ready: list[pa.RecordBatch] = []
     for (h, seg, place, n, m, start, end), bounds in runs(spans_only(batches), 1):
