@@ -99,12 +99,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(n[keep]), pa.array(count[keep])], ["h", "n", "c"])
 
 
-def _spans(n, m, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (n, m, start, end)], ["n", "m", "start", "end"])
+def _spans(n, m, start, end, seg=None) -> pa.RecordBatch:
+    seg = pa.nulls(len(n), pa.binary()) if seg is None else pa.array(seg, pa.binary())
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (n, m, start, end)], seg], ["n", "m", "start", "end", "seg"])
 
 
 #: Rows of :func:`_emit`: a segment (``seg``) or a span to be removed (``h`` and ``seg`` null).
-PARTS = "h long, seg binary, place int, n long, m long, start long, end long"
+PARTS = "h long, seg binary, place int, n long, m long, start long, end long, hot boolean"
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +116,13 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [zstandard.decompress(z) for z in batch.column("z").to_pylist()]
         copy = [int(m[i]) not in f for i, f in enumerate(batch.column("firsts").to_pylist())]
         number, start, count, place, h = segments([b"" if c else t for c, t in zip(copy, texts, strict=True)])
-        lists = batch.column("hashes")
-        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
         spread = mixed(np.arange(len(n), dtype=np.uint64)).view(np.int64)
-        # a clash of these keys only lets a segment in that meets nothing
-        mine = np.flatnonzero(np.isin(h ^ spread[number], flat ^ np.repeat(spread, sizes)))
+
+        def among(name: str) -> np.ndarray:
+            lists = batch.column(name)  # a clash of these keys only lets a segment in that meets nothing
+            return np.isin(h ^ spread[number], lists.flatten().to_numpy() ^ np.repeat(spread, lists.value_lengths().to_numpy()))
+
+        mine, hot = np.flatnonzero(among("hashes")), among("often")
         mine = mine[np.lexsort((start[mine], m[number[mine]], n[number[mine]]))]
         seen, rows, spans = {}, [], []
         for k, i, a, b in zip(mine.tolist(), number[mine].tolist(), start[mine].tolist(), (start + count)[mine].tolist(), strict=True):
@@ -127,14 +130,15 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seg = texts[i][a : at[3]]
             if seg not in seen:
                 seen[seg] = at
-                rows.append((h[k], seg, place[k], *at))
+                rows.append((h[k], seg, place[k], *at, hot[k]))
             elif seen[seg] != at:
                 spans.append(at)
         spans += [(int(n[i]), int(m[i]), 0, len(texts[i])) for i, c in enumerate(copy) if c and len(texts[i]) >= WIDTH]
-        rows += [(None, None, None, *s) for s in _joined(spans)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "seg", "place", "n", "m", "start", "end"])
+        rows += [(None, None, None, *s, False) for s in _joined(spans)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4, pa.bool_()]
+        names = ["h", "seg", "place", "n", "m", "start", "end", "hot"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _joined(spans: list[tuple]) -> list[tuple]:
@@ -183,7 +187,8 @@ def repeats(h: np.ndarray, segs: list[bytes], place: np.ndarray, order: tuple[np
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans to be removed, from rows sorted by anchor, segment and place in the corpus."""
+    """Spans to be removed, from rows sorted by anchor, segment and place in the corpus; with ``seg``
+    the first of each segment of a hot anchor, whose windows are still to be compared."""
 
     def spans_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,16 +198,20 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pc.is_valid(batch.column("h")))
 
     ready: list[pa.RecordBatch] = []
-    for (h, seg, place, n, m, start, end), bounds in runs(spans_only(batches), 1):
+    for (h, seg, place, n, m, start, end, hot), bounds in runs(spans_only(batches), 1):
         yield from ready
         ready.clear()
         new = np.ones(bounds[-1], bool)  # rows given twice stand side by side
         new[1:] = np.any([c[1 : bounds[-1]] != c[: bounds[-1] - 1] for c in (seg, n, m, start)], axis=0)
-        h, seg, place, n, m, start, end = (c[: bounds[-1]][new] for c in (h, seg, place, n, m, start, end))
+        h, seg, place, n, m, start, end, hot = (c[: bounds[-1]][new] for c in (h, seg, place, n, m, start, end, hot))
         again = np.concatenate(([False], (h[1:] == h[:-1]) & (seg[1:] == seg[:-1])))
         if again.any():
             yield _spans(n[again], m[again], start[again], end[again])
-        h, seg, place, n, m, start = (c[~again] for c in (h, seg, place, n, m, start))
+        far = hot.astype(bool) & ~again
+        if far.any():
+            yield _spans(n[far], m[far], start[far], end[far], seg[far])
+        near = ~(far | again)
+        h, seg, place, n, m, start = (c[near] for c in (h, seg, place, n, m, start))
         low, high = np.full(len(h), 1 << 30), np.full(len(h), -1)
         for s, a, b in repeats(h, seg, place, (n, m, start)):
             np.minimum.at(low, s, a)
@@ -226,21 +235,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hot_spans(parts: DataFrame) -> DataFrame:
-    """Spans of segments whose anchors are hot, without gathering a bucket: equal segments, then
-    equal windows of the first ones, are grouped by content with partial aggregation."""
-    first = F.min(F.struct("n", "m", "start")).alias("f")
-
-    def later(rows: DataFrame, key: str, end) -> tuple[DataFrame, DataFrame]:
-        groups = settled(rows.groupBy(key).agg(first, F.count("*").alias("w")))
-        rest = join_split(rows, groups.filter("w > 1"), [key], "w").filter(F.struct("n", "m", "start") != F.col("f"))
-        return groups, rest.select("n", "m", "start", end.alias("end"))
-
-    segs = settled(parts.filter("h IS NOT NULL").select("seg", "n", "m", "start"))
-    groups, spans = later(segs, "seg", F.col("start") + F.length("seg"))
-    windows = settled(groups.select("seg", "f.*").mapInArrow(_windows, "window binary, n long, m long, start long"))
-    _, more = later(windows, "window", F.col("start") + WIDTH)
-    return spans.unionByName(more).unionByName(parts.filter("h IS NULL").select("n", "m", "start", "end"))
+def _hot_spans(segs: DataFrame) -> DataFrame:
+    """Spans of the windows of distinct segments of hot anchors, without gathering a bucket: windows
+    are grouped by content with partial aggregation."""
+    windows = settled(segs.select("seg", "n", "m", "start").mapInArrow(_windows, "window binary, n long, m long, start long"))
+    first = windows.groupBy("window").agg(F.min(F.struct("n", "m", "start")).alias("f"), F.count("*").alias("w"))
+    rest = join_split(windows, settled(first.filter("w > 1")), ["window"], "w").filter(F.struct("n", "m", "start") != F.col("f"))
+    return rest.select("n", "m", "start", (F.col("start") + WIDTH).alias("end"))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,19 +294,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     often = settled(known.filter(F.col("t") > hot).select("h").distinct())
 
-    def parts(candidates: DataFrame) -> DataFrame:
-        side = candidates.groupBy("n").agg(F.collect_set("h").alias("hashes"))
-        met = packed.join(side, "n", "left").join(firsts, "n", "left")
-        # an id whose texts all stand earlier elsewhere has no row among the firsts
-        none = F.array().cast("array<long>")
-        return met.select("n", "m", "z", F.coalesce("firsts", none).alias("firsts"), F.coalesce("hashes", none).alias("hashes")).mapInArrow(_emit, PARTS)
-
-    if often.isEmpty():
-        spans = _cold_spans(parts(known))
-    else:
-        cold = _cold_spans(parts(known.join(often, "h", "left_anti")))
-        spans = cold.unionByName(_hot_spans(parts(known.join(often, "h"))))
-    spans = settled(spans)
+    is_hot = not often.isEmpty()
+    flagged = known.join(often.withColumn("hot", F.lit(True)), "h", "left") if is_hot else known.withColumn("hot", F.lit(False))
+    side = flagged.groupBy("n").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("often"))
+    met = packed.join(side, "n", "left").join(firsts, "n", "left")
+    # an id whose texts all stand earlier elsewhere has no row among the firsts
+    lists = [F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("firsts", "hashes", "often")]
+    parts = met.select("n", "m", "z", *lists).mapInArrow(_emit, PARTS)
+    bucket = F.when(F.col("h").isNull(), F.xxhash64("n", "start")).when(F.col("hot"), F.xxhash64("seg")).otherwise(F.col("h"))
+    dealt = parts.repartition(bucket).sortWithinPartitions("h", "seg", "n", "m", "start")
+    spans = settled(dealt.mapInArrow(_resolve, "n long, m long, start long, end long, seg binary"))
+    if is_hot:
+        spans = spans.filter("seg IS NULL").drop("seg").unionByName(_hot_spans(spans.filter("seg IS NOT NULL")))
     drop_stage(known)
     found = spans.groupBy("n").agg(F.collect_set(F.struct("m", "start", "end")).alias("found"))
     done = packed.join(found, "n", "left").select("id", "m", "z", "found")
@@ -313,11 +313,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def _cold_spans(parts: DataFrame) -> DataFrame:
-    dealt = parts.repartition(F.coalesce("h", F.xxhash64("n", "start"))).sortWithinPartitions("h", "seg", "n", "m", "start")
-    return dealt.mapInArrow(_resolve, "n long, m long, start long, end long")
-
-
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     lengths = F.transform("spans", lambda s: s["end"] - s["start"])
