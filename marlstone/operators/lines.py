@@ -65,46 +65,50 @@ def context(lines: DataFrame, before: int, after: int, keys: Sequence[str] = ("d
     )
 
 
-def lines_after(hits: DataFrame, lines: DataFrame, frame: Column | int, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Lines within ``frame`` after each hit: an equi join on the document with a range residual."""
-    right = lines.select(*keys, F.col("line_no").alias("at"), F.col("text").alias("line"))
-    return hits.join(right, list(keys)).filter((F.col("at") > F.col("line_no")) & (F.col("at") <= F.col("line_no") + frame))
-
-
 def between_blocks(
     lines: DataFrame, start: Sequence[str], end: Sequence[str], frame: Column | int, must_contain: Sequence[str] = (), keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """A block for each line that matches a start text: from what follows the text on its line
     to the line before the first end text, or to the end of the frame where ``end`` lists
     BLOCK_END. One row per block line: keys, ``start_line``, ``end_line`` (null at the frame's
-    end), ``at``, ``line``."""
-    starts = lines.withColumn("matched_text", first_label(F.col("text"), [x for x in start if x != BLOCK_START]))
-    if BLOCK_START in start:
-        first = W.partitionBy(*keys).orderBy("line_no")
-        is_first = F.row_number().over(first) == 1
-        starts = starts.withColumn("matched_text", F.coalesce("matched_text", F.when(is_first, F.lit(BLOCK_START))))
-    starts = starts.filter("matched_text IS NOT NULL").select(*keys, F.col("line_no"), "text", "matched_text")
-    rest = lines_after(starts, lines, frame, keys)
+    end), ``at``, ``line``. ``frame`` may use ``line_no`` and ``text`` of the start.
+
+    Lines are cut into sections, each beginning with an end line, by a running count; a block
+    lies in the section of its start. Windows and sections share one shuffle by document, so the
+    work is that of the lines and of the blocks that come out."""
     real_ends = [x for x in end if x != BLOCK_END]
-    ended = F.when(first_label(F.col("line"), real_ends).isNotNull(), F.col("at")) if real_ends else F.lit(None).cast("int")
-    block = W.partitionBy(*keys, "line_no")
-    inside = rest.withColumn("end_line", F.min(ended).over(block)).filter(F.col("end_line").isNull() | (F.col("at") < F.col("end_line")))
-    ends = rest.groupBy(*keys, "line_no").agg(F.min(ended).alias("end_line"))
+    ended = first_label(F.col("text"), real_ends).isNotNull() if real_ends else F.lit(False)
+    doc, far = W.partitionBy(*keys).orderBy("line_no"), W.partitionBy(*keys).orderBy(F.desc("line_no"))
+    matched = first_label(F.col("text"), [x for x in start if x != BLOCK_START])
+    if BLOCK_START in start:
+        matched = F.coalesce(matched, F.when(F.row_number().over(doc) == 1, F.lit(BLOCK_START)))
+    rows = lines.select(*keys, "line_no", "text", ended.alias("_ends")).withColumns(
+        {
+            "matched_text": matched,
+            "_part": F.sum(F.col("_ends").cast("int")).over(doc.rowsBetween(W.unboundedPreceding, W.currentRow)),
+            "_next": F.last(F.when(F.col("_ends"), F.col("line_no")), True).over(far.rowsBetween(W.unboundedPreceding, -1)),
+        }
+    )
+    every = F.sort_array(F.collect_list(F.struct("line_no", "text", "matched_text")))
+    parts = rows.groupBy(*keys, "_part").agg(every.alias("_lines"), F.max("_next").alias("_next"))
+    starts = (
+        parts.withColumn("s", F.explode(F.filter("_lines", lambda x: x["matched_text"].isNotNull())))
+        .select(*keys, "_lines", "_next", "s.*").withColumn("_last", F.col("line_no") + frame)
+    )
     after = F.when(F.col("matched_text") == BLOCK_START, F.col("text")).otherwise(T.text_after(F.col("text"), F.col("matched_text")))
-    head = (
-        starts.join(ends, [*keys, "line_no"], "left").withColumn("line", after).filter("line <> ''")
-        .select(*keys, F.col("line_no").alias("start_line"), "end_line", F.col("line_no").alias("at"), "line")
+    head = F.when(after != "", F.array(F.struct(F.col("line_no").alias("at"), after.alias("line"))))
+    inside = F.filter("_lines", lambda x: (x["line_no"] > F.col("line_no")) & (x["line_no"] <= F.col("_last")))
+    body = F.transform(inside, lambda x: F.struct(x["line_no"].alias("at"), x["text"].alias("line")))
+    out = starts.select(
+        *keys, F.col("line_no").alias("start_line"), F.when(F.col("_next") <= F.col("_last"), F.col("_next")).alias("end_line"),
+        F.when(head.isNull(), body).otherwise(F.concat(head, body)).alias("_block"),
     )
-    out = head.union(inside.select(*keys, F.col("line_no").alias("start_line"), "end_line", "at", "line"))
     if BLOCK_END not in end:
         out = out.filter("end_line IS NOT NULL")
     if must_contain:
-        held = F.lit(False)
-        for x in must_contain:
-            held = held | F.contains(F.lower("line"), F.lit(x.lower()))
-        whole = W.partitionBy(*keys, "start_line")
-        out = out.withColumn("_held", F.max(held).over(whole)).filter("_held").drop("_held")
-    return out
+        wanted = F.array(*[F.lit(x.lower()) for x in must_contain])
+        out = out.filter(F.exists("_block", lambda x: F.exists(wanted, lambda w: F.contains(F.lower(x["line"]), w))))
+    return out.withColumn("b", F.explode("_block")).select(*keys, "start_line", "end_line", "b.at", "b.line")
 
 
 def split_blocks(lines: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -127,12 +131,23 @@ def void_small_parts(parts: DataFrame, counts: DataFrame, least: int, keys: Sequ
 
 def nearest(anchors: DataFrame, values: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each anchor line the value of the nearest line, the upper one of two as near, then
-    the first on its line. ``values`` has the keys, ``value_line``, ``value_ord``, ``value``."""
-    gap = F.abs(F.col("value_line") - F.col("line_no"))
-    best = F.min(F.struct(gap.alias("gap"), "value_line", "value_ord", "value"))
+    the first on its line. ``values`` has the keys, ``value_line``, ``value_ord``, ``value``.
+
+    Anchors and values meet in one shuffle by document; the last value up to an anchor, downwards
+    and upwards, comes from two running windows, so no anchor meets every value."""
+    found = F.struct("value_line", "value_ord", "value")
+    left = anchors.select(*keys, F.col("line_no").alias("_at"), F.lit(1).alias("_anchor"))
+    right = values.select(*keys, F.col("value_line").alias("_at"), F.lit(0).alias("_anchor"), found.alias("_v"))
+    rows = left.unionByName(right, allowMissingColumns=True)
+    seen = {}
+    for name, line in (("_up", F.asc("_at")), ("_down", F.desc("_at"))):
+        order = W.partitionBy(*keys).orderBy(line, "_anchor", F.desc("_v.value_ord"), F.desc("_v.value"))
+        seen[name] = F.last("_v", True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    pick = lambda v: F.when(v.isNotNull(), F.struct(F.abs(v["value_line"] - F.col("_at")).alias("gap"), v["value_line"].alias("value_line"), v["value"].alias("value")))
+    best = F.array_min(F.array_compact(F.array(pick(F.col("_up")), pick(F.col("_down")))))
     return (
-        anchors.join(values, list(keys)).groupBy(*keys, "line_no").agg(best.alias("_b"))
-        .select(*keys, "line_no", "_b.gap", "_b.value_line", "_b.value")
+        rows.withColumns(seen).filter("_anchor = 1").withColumn("_b", best).filter("_b IS NOT NULL")
+        .dropDuplicates([*keys, "_at"]).select(*keys, F.col("_at").alias("line_no"), "_b.gap", "_b.value_line", "_b.value")
     )
 
 
