@@ -37,15 +37,9 @@ def licences(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
-_found: dict[tuple[str, str], DataFrame] = {}
-
-
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """All nodes of all licences, extracted once for an application."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _found:
-        _found[key] = settled(E.extract(E.documents_as_lines(licences(spark, sf)), GROUPS))
-    return _found[key]
+    """All nodes of all licences."""
+    return E.extract(E.documents_as_lines(licences(spark, sf)), GROUPS)
 
 
 def q_licence_facts(spark, sf):
@@ -60,7 +54,7 @@ def q_licence_facts(spark, sf):
 def q_linked_licences(spark, sf):
     """Licences that each licence reaches through the map of numbers to files, with what was
     found in them: map, closure and sub-trees."""
-    found = facts(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = settled(facts(spark, sf)).withColumn("doc_id", F.col("doc_id").cast("string"))
     docs = found.select("doc_id").distinct()
     named = found.filter("name = 'LinkedLicenceNumber'")
     references = named.select("doc_id", F.col("line_no").alias("ord"), R.first_text(F.col("texts")).alias("number"))

@@ -6,6 +6,11 @@ import sys
 import time
 from pathlib import Path
 
+import pytest
+
+from marlstone.operators.stages import drop_stages
+from marlstone.plans import registry
+
 CODE = """
 import sys
 from pyspark.sql import SparkSession
@@ -29,3 +34,15 @@ def test_no_stage_file_is_left(tmp_path):
                 break
             time.sleep(0.2)
         assert not list(at.glob("stages-*")) and not list(at.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("name", ["licence_totals", "index_totals"])
+def test_licence_queries_read_their_table_each_time(spark, tmp_path, name):
+    """Nothing of an earlier call is kept: stage tables may go, and a table may change."""
+    query, sf = registry.queries()[name], str(tmp_path)
+    customer = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    customer.filter("c_custkey < 20").write.parquet(f"{sf}/customer.parquet")
+    assert query(spark, sf).first()["documents"] == 20
+    drop_stages(spark)
+    customer.filter("c_custkey < 7").write.mode("overwrite").parquet(f"{sf}/customer.parquet")
+    assert query(spark, sf).first()["documents"] == 7
