@@ -4,6 +4,8 @@ Each gives an array of such structs, empty when nothing is found."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from marlstone.functions import wordlists as W
 from marlstone.functions.text import let
 
 LINES = "array<struct<text:string,line_no:int>>"
+#: Maps a word to whether a lexicon has it; without one every word of a line counts as known.
+Known = Callable[[Column], Column] | None
+#: Forms of licence numbers, between slashes or blanks.
 SLASHES = r"[0-9A-Z]{1,2}/[0-9]{1,5}(/[0-9.A-Z*]{1,4}/[0-9]{1,4})*"
 SPACES = r"[0-9A-Z]{1,2} [0-9]{1,5}( [0-9.A-Z*]{1,4} [0-9]{1,4})*"
 
@@ -29,13 +34,13 @@ def first_number(text: Column) -> Column:
     return let(F.get(F.filter(F.split(text, " ", -1), lambda w: T.is_numeric(w)), F.lit(0)), lambda w: let(T.to_number(w), T.number_text))
 
 
-def _usable(lines: Column) -> Column:
-    return F.filter(lines, lambda x: ~T.looks_corrupted(x["text"]))
+def _usable(lines: Column, known_word: Known = None) -> Column:
+    return F.filter(lines, lambda x: ~T.looks_corrupted(x["text"], known_word))
 
 
-def numbers(lines: Column) -> Column:
+def numbers(lines: Column, known_word: Known = None) -> Column:
     """The first number of the lines, as its text and line."""
-    found = F.filter(F.transform(_usable(lines), lambda x: _line(first_number(x["text"]), x)), lambda x: x["text"].isNotNull())
+    found = F.filter(F.transform(_usable(lines, known_word), lambda x: _line(first_number(x["text"]), x)), lambda x: x["text"].isNotNull())
     return F.slice(found, 1, 1)
 
 
@@ -54,15 +59,23 @@ def _licence(piece: Column) -> Column:
     return F.when((p.rlike(SLASHES) | p.rlike(SPACES)) & (parts >= 2), F.trim(p))
 
 
-def licence_numbers(lines: Column, many: Column) -> Column:
+def licence_numbers(lines: Column, many: Column, known_word: Known = None) -> Column:
     """Licence numbers of the lines; unless ``many``, the first candidate alone, valid or not."""
-    every = F.flatten(F.transform(_usable(lines), lambda x: F.transform(_candidates(x["text"]), lambda p: _line(_licence(p), x))))
+    every = F.flatten(F.transform(_usable(lines, known_word), lambda x: F.transform(_candidates(x["text"]), lambda p: _line(_licence(p), x))))
     return let(every, lambda e: F.filter(F.when(many, e).otherwise(F.slice(e, 1, 1)), lambda x: x["text"].isNotNull()))
 
 
-def vocabulary(lines: Column, entries: Column) -> Column:
-    """The first line that holds an entry, as the first such entry in vocabulary order."""
-    hit = lambda t: F.get(F.filter(entries, lambda v: F.contains(F.lower(t), F.lower(v))), F.lit(0))
+def vocabulary(lines: Column, entries: Column, spelling: Column | None = None) -> Column:
+    """The first line that holds an entry, as it stands or corrected, as the first such entry in
+    vocabulary order."""
+
+    def hit(text: Column) -> Column:
+        low = F.lower(text)
+        if spelling is None:
+            return F.get(F.filter(entries, lambda v: F.contains(low, F.lower(v))), F.lit(0))
+        both = F.array(low, F.lower(T.corrected(text, spelling)))
+        return let(both, lambda b: F.get(F.filter(entries, lambda v: F.exists(b, lambda t: F.contains(t, F.lower(v)))), F.lit(0)))
+
     return F.slice(F.filter(F.transform(lines, lambda x: _line(hit(x["text"]), x)), lambda x: x["text"].isNotNull()), 1, 1)
 
 
@@ -121,11 +134,19 @@ def _until_suffix(run: Column) -> Column:
     return let(run, cut)
 
 
-def names(lines: Column, backwards: Column, first_names: Column | None = None) -> Column:
+def names(
+    lines: Column, backwards: Column, first_names: Column | None = None, spelling: Column | None = None, correct: bool = False
+) -> Column:
     """The run of names from the first one on: it ends at a line without a name or after one
     with a company suffix. Lines read backwards come back in reading order, all with the line
-    number of the first hit; the issuer is left out beside others."""
-    named = F.transform(lines, lambda x: _line(F.when(~T.looks_corrupted(x["text"]), name_in(T.trim_formatting(x["text"]), first_names)), x))
+    number of the first hit; the issuer is left out beside others. With a spelling, unknown words
+    decide on garbage and initials; with ``correct``, lines are corrected before the test."""
+    known = None if spelling is None else T.knows(spelling)
+    read = (lambda t: T.corrected(t, spelling, True)) if correct and spelling is not None else (lambda t: t)
+    named = F.transform(
+        lines,
+        lambda x: _line(F.when(~T.looks_corrupted(x["text"], known), name_in(T.trim_formatting(read(x["text"])), first_names, known)), x),
+    )
 
     def from_first(n: Column) -> Column:
         begin = F.array_position(F.transform(n, lambda x: x["text"].isNotNull()), True).cast("int")

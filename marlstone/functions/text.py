@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import wordlists as W
 
-EDGES = r"^[\p{P}\p{S}\p{Z}\s]+|(?:[\p{S}\p{Z}\s]|[^\P{P})])+$"
+LEADING, TRAILING = r"^[\p{P}\p{S}\p{Z}\s]+", r"(?:[\p{S}\p{Z}\s]|[^\P{P})])+$"
+EDGES = f"{LEADING}|{TRAILING}"
 BLANK = r"[\p{P}\p{Z}\s]"
 NUMERIC = r"^[+-]?(\d[\d,]*(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 YEAR = r"19\p{Nd}\p{Nd}|20\p{Nd}\p{Nd}"
@@ -151,6 +152,52 @@ def short_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"(?<![^ ])(?!(?i:{_one_of(W.SHORT_WORDS)})(?![^ ]))[^ \p{{Nd}}]{{0,2}}(?![^ ])"))
 
 
+#: What a lexicon says about a document, in lower case: words that it lacks, neighbours that are one
+#: of its words together, and corrections of words that it lacks.
+SPELLING = "struct<odd:array<string>,joined:array<string>,better:map<string,string>>"
+
+
+def knows(spelling: Column) -> Callable[[Column], Column]:
+    """Whether the lexicon behind a ``SPELLING`` has a word; every word where it is null."""
+    return lambda word: ~F.coalesce(F.array_contains(spelling["odd"], F.lower(word)), F.lit(False))
+
+
+def corrected(text: Column, spelling: Column, without_first: bool = False) -> Column:
+    """The text with its words corrected one after another.
+
+    A text that begins with a personal or institutional prefix, or is one word, stays. Of the
+    others ``esq``, pairs of capitals, single characters and words with two dots stay; a single
+    character or unknown word is joined to the next one where that makes a word; an unknown word
+    takes its correction, unless they differ by a plural ``s`` alone. ``without_first`` drops a first
+    word in lower case. A null spelling corrects nothing."""
+    words = F.transform(F.split(text, " ", -1), standardise)
+    many = F.size(words) > 1
+    rows = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("next"), (i == 0).alias("first")))
+
+    def step(acc: Column, x: Column) -> Column:
+        w, follows, low = x["w"], x["next"], F.lower(x["w"])
+        odd = F.coalesce(F.array_contains(spelling["odd"], low), F.lit(False))
+        stays = (low == "esq") | w.rlike(r"^\p{Lu}{2}$")
+        joins = (
+            ~stays & many & ((F.length(w) == 1) | odd) & (F.trim(follows) != "") & ((F.length(w) > 1) | (F.length(follows) > 1))
+            & F.coalesce(F.array_contains(spelling["joined"], F.lower(F.concat(w, follows))), F.lit(False))
+        )
+        better = F.element_at(spelling["better"], low)
+        plural = (F.concat(low, F.lit("s")) == better) | (F.concat(better, F.lit("s")) == low)
+        dotted = F.length(w) - F.length(F.replace(w, F.lit("."), F.lit(""))) >= 2
+        shaped = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(better, 1, 1)), F.substring(better, F.lit(2), F.length(better)))).otherwise(better)
+        word = (
+            F.when(joins, F.concat(w, follows)).when(stays | (F.length(w) <= 1) | dotted | better.isNull() | plural | ~odd | ~many, w).otherwise(shaped)
+        )
+        gone = F.lit(without_first) & x["first"] & w.rlike(r"^\p{Ll}")
+        put = F.when(acc["skip"] | gone, acc["out"]).otherwise(F.concat(acc["out"], F.array(word)))
+        return F.struct(put.alias("out"), (~acc["skip"] & ~gone & joins).alias("skip"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
+    made = F.array_join(F.aggregate(rows, start, step, lambda acc: acc["out"]), " ")
+    return F.when(spelling.isNull() | starts_with_title(text), text).otherwise(made)
+
+
 def looks_corrupted(text: Column, known_word: Callable[[Column], Column] | None = None) -> Column:
     """Scores a line as OCR garbage. ``known_word`` maps a word Column to whether a lexicon has
     it; without one every word counts as known."""

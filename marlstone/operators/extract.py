@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import extractors as X
 from marlstone.functions import text as T
 from marlstone.operators.lines import BLOCK_END, BLOCK_START
+from marlstone.operators.spelling import spellings
 from marlstone.operators.stages import settled
 from marlstone.plans.catalogue import FlatLabel, Label, flatten
 
@@ -88,6 +89,11 @@ def _none() -> Column:
     return F.array().cast(f"array<{PLACE}>")
 
 
+def _carried(rows: DataFrame) -> list[str]:
+    """What a lexicon says about the document goes along where one is given."""
+    return ["spelling"] if "spelling" in rows.columns else []
+
+
 def hits(segments: DataFrame, labels: Column) -> DataFrame:
     """Segments (``doc_id``, ``parent_id``, ``lines``) with each label ``l`` and line index ``i``
     that matches it, the text that did, the line and its frames."""
@@ -111,7 +117,7 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
             F.when(split & (i == n - 1), F.lit("")),
         ),
     )
-    lines = F.col("lines")
+    lines, carried = F.col("lines"), _carried(segments)
 
     def hit(shown: Column, i: Column) -> Column:
         before = F.greatest(i - F.col("l.previous"), F.lit(0))
@@ -127,10 +133,10 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
     out = (
         labelled.withColumn("_found", found).withColumn("_shown", shown)
         .select(
-            "doc_id", "parent_id", "l", F.when(split, lines).alias("whole"), n.alias("n"),
+            "doc_id", "parent_id", *carried, "l", F.when(split, lines).alias("whole"), n.alias("n"),
             F.explode(F.filter(F.transform("_shown", hit), lambda h: h.isNotNull())).alias("h"),
         )
-        .select("doc_id", "parent_id", "l", F.col("whole").alias("lines"), "n", "h.*")
+        .select("doc_id", "parent_id", *carried, "l", F.col("whole").alias("lines"), "n", "h.*")
     )
     near = F.concat(F.array("line"), "next", "previous")
     every = F.forall("l.texts", lambda t: F.exists("_near", lambda v: T.label_matches(v["text"], t)))
@@ -139,6 +145,8 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
 
 def places(found: DataFrame) -> DataFrame:
     """Where values of each hit may stand, in order; one row a place."""
+    carried = _carried(found)
+    known = T.knows(F.col(carried[0])) if carried else None
     position, text, no = F.col("l.position"), F.col("line.text"), F.col("line.line_no")
     inside = F.get(F.filter("l.texts", lambda t: F.contains(F.lower(text), F.lower(t))), F.lit(0))
     sides = F.when(F.size("l.texts") == 0, F.array("line")).otherwise(
@@ -161,7 +169,7 @@ def places(found: DataFrame) -> DataFrame:
     contained = F.get(F.filter("l.must_contain", lambda t: F.contains(F.col("_low"), t)), F.lit(0))
     rows = (
         found.withColumns({"_inside": inside, "_end": block_end, "_after": after})
-        .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"]))})
+        .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"], known))})
         .withColumn("_named", named).withColumn("_low", low).withColumn("_held", held)
         .withColumns({"_ended": ended, "_contains": contained})
     )
@@ -199,23 +207,26 @@ def places(found: DataFrame) -> DataFrame:
         .otherwise(F.concat(same, framed))
     )
     return rows.withColumn("p", F.explode(every)).filter("size(p.source) > 0").select(
-        "doc_id", "parent_id", "l", "i", "matched", "line", "p", F.when(position == "between", F.col("_ended")).alias("matched_end"),
+        "doc_id", "parent_id", *carried, "l", "i", "matched", "line", "p", F.when(position == "between", F.col("_ended")).alias("matched_end"),
         F.when(position == "between", F.col("_contains")).alias("matched_contains"),
     )
 
 
-def values(rows: DataFrame, first_names: Sequence[str] | None = None) -> DataFrame:
-    """The typed value of each place; places without one are dropped."""
+def values(rows: DataFrame, first_names: Sequence[str] | None = None, is_ocr: bool = False) -> DataFrame:
+    """The typed value of each place; places without one are dropped. Where rows carry a spelling,
+    OCR lines are corrected before the test of names, and vocabularies meet corrected lines too."""
+    spelling = F.col("spelling") if _carried(rows) else None
+    known = None if spelling is None else T.knows(spelling)
     source, fmt, vocab = F.col("p.source"), F.col("l.format"), F.size("l.possibilities") > 0
     words = F.array(*map(F.lit, first_names)) if first_names else None
     numeric = F.filter(F.transform(source, lambda x: _as_line(X.first_number(x["text"]), x["line_no"])), lambda x: x["text"].isNotNull())
     listed = vocab & fmt.isin("units", "text") | vocab & (fmt == "number") & (F.size("l.texts") == 0)
     got = (
         F.when(F.col("p.mode") == "take", source).when(F.col("p.mode") == "related", numeric)
-        .when(listed, X.vocabulary(source, F.col("l.possibilities")))
-        .when(fmt == "number", X.numbers(source))
-        .when(fmt == "licence_number", X.licence_numbers(source, F.col("l.many")))
-        .when(fmt == "company", X.names(source, F.col("p.backwards"), words))
+        .when(listed, X.vocabulary(source, F.col("l.possibilities"), spelling))
+        .when(fmt == "number", X.numbers(source, known))
+        .when(fmt == "licence_number", X.licence_numbers(source, F.col("l.many"), known))
+        .when(fmt == "company", X.names(source, F.col("p.backwards"), words, spelling, is_ocr))
         .when(fmt == "date_or_purpose", X.dates_or_purposes(source))
         .when(fmt == "single_word", X.single_word(source))
         .otherwise(X.whole_line(source))
@@ -239,9 +250,9 @@ def _removed(text: Column) -> Column:
     return T.trim_formatting(F.aggregate("l.rules", text, step))
 
 
-def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | None) -> DataFrame:
+def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | None, is_ocr: bool = False) -> DataFrame:
     """All candidate nodes of one level."""
-    found = values(places(hits(segments, labels)), first_names)
+    found = values(places(hits(segments, labels)), first_names, is_ocr)
     cleaned = F.filter(F.transform("inner", lambda x: _as_line(_removed(x["text"]), x["line_no"])), lambda x: x["text"] != "")
     ruled = (F.size("l.rules") > 0) & F.col("l.format").isin("text", "company") & (F.col("l.position") != "split")
     texts = F.when(ruled, cleaned).otherwise(F.col("inner"))
@@ -250,7 +261,7 @@ def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | N
     own_line = F.col("l.position").isin("between") | F.col("p.kind").isin("same_line", "same_line_2_lines", "same_line_single_word")
     name = F.concat_ws(":", F.col("l.label_id").cast("string"), F.col("i").cast("string"), F.col("p.ord").cast("string"))
     return found.select(
-        "doc_id", F.col("l.group").alias("group"), F.concat_ws("/", F.coalesce("parent_id", F.col("l.group")), name).alias("node_id"), "parent_id",
+        "doc_id", *_carried(found), F.col("l.group").alias("group"), F.concat_ws("/", F.coalesce("parent_id", F.col("l.group")), name).alias("node_id"), "parent_id",
         F.col("l.label_id").alias("label_id"), F.when(own_line, F.col("line.line_no")).otherwise(F.get("inner", F.lit(0))["line_no"]).alias("line_no"),
         F.col("p.kind").alias("match_type"), texts.alias("texts"), F.nullif("matched", F.lit("")).alias("matched_text"), "matched_end",
         "matched_contains", "matched_vocab", used.alias("rules_used"), "inner",
@@ -276,18 +287,18 @@ def gather_lines(lines: DataFrame) -> DataFrame:
 
 def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
     """From the innermost level up: minimum counts (a split part with too few matches voids the
-    other part of its cut), the first place and line that succeed, label hits before block
+    other part of its cut), the scan that ends at a succession, the first place and line that succeed, label hits before block
     starts, and numbers nearest to the line of a related sibling. Then nodes stay whose parents
     do. Windows inside a document only: one shuffle, by ``doc_id``."""
     facts = _literal(
         {
             str(f.label_id): {
                 "depth": f.depth, "least": f.label.minimum_sub_matches, "split": f.label.position == "split", "multiple": f.label.multiple, "ord": f.ord,
-                "name": f.label.name, "category": f.label.category, "want": [f.label.related_category, f.label.related_name],
+                "name": f.label.name, "category": f.label.category, "stops": f.label.position == "succession", "want": [f.label.related_category, f.label.related_name],
             }
             for f in flat
         },
-        "map<string,struct<depth:int,least:int,split:boolean,multiple:string,ord:int,name:string,category:string,want:array<string>>>",
+        "map<string,struct<depth:int,least:int,split:boolean,multiple:string,ord:int,name:string,category:string,stops:boolean,want:array<string>>>",
     )
     out = nodes.repartition("doc_id").withColumns(
         {"_f": F.element_at(facts, F.col("label_id").cast("string")), "_alive": F.lit(True), "_up": F.coalesce("parent_id", "group")}
@@ -304,6 +315,9 @@ def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
         family = W.partitionBy("doc_id", F.when(level == d + 1, F.col("parent_id")).otherwise(F.col("node_id")))
         out = out.withColumn("_ok", F.sum(((level == d + 1) & alive).cast("int")).over(family) >= F.col("_f.least"))
         out = narrowed(out, F.when(F.col("_f.split"), F.min("_ok").over(hit)).otherwise(F.col("_ok")))
+        if any(f.depth == d and f.label.position == "succession" for f in flat):
+            end = F.min(F.when(alive & here & F.col("_f.stops"), F.col("_spot"))).over(kin)
+            out = narrowed(out, F.coalesce(F.col("_spot") <= end, F.lit(True)))
         every_place = F.col("_f.split") | (F.col("_f.multiple") == "every_value")
         out = narrowed(out, every_place | (F.col("_try") == F.min(F.when(alive, F.col("_try"))).over(hit)))
         named = F.max(F.when(alive, F.coalesce(F.col("matched_text") != BLOCK_START, F.lit(True)))).over(same)
@@ -337,11 +351,28 @@ def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
     return out.filter("_alive").withColumn("name", F.col("_f.name")).drop("_f", "_alive", "_up", "_ok", "_spot", "_try", "_related", "inner")
 
 
-def extract(docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: Sequence[str] | None = None, is_ocr: bool = False, service: str = "native") -> DataFrame:
+def spelled(docs: DataFrame, flat: list[FlatLabel], lexicon: DataFrame) -> DataFrame:
+    """Documents that hold the text of an outermost label, with their ``spelling``."""
+    outer = [f.label for f in flat if f.depth == 0 and f.label.format != "linked_licence"]
+    if all(set(x.texts) - {BLOCK_START} and x.position != "split" and BLOCK_START not in x.texts for x in outer):
+        low = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
+        texts = sorted({t.lower() for x in outer for t in x.texts})
+        docs = docs.filter(F.exists(F.array(*map(F.lit, texts)), lambda t: F.contains(low, t)))
+    docs = settled(docs.select("doc_id", "lines"))
+    return docs.join(spellings(docs, lexicon), "doc_id", "left")
+
+
+def extract(
+    docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: Sequence[str] | None = None, is_ocr: bool = False,
+    service: str = "native", lexicon: DataFrame | None = None,
+) -> DataFrame:
     """All matches of a catalogue in ``docs`` (``doc_id``, ``lines``): a row for each node with
     ``group``, ``node_id``, ``parent_id``, ``label_id``, ``name``, ``line_no``, ``match_type``,
     ``texts``, how it was matched (``matched_text``, ``matched_end`` and ``matched_contains`` of a block,
-    ``matched_vocab``, ``rules_used``), ``is_ocr`` and ``service``. Linked licences are followed by
+    ``matched_vocab``, ``rules_used``), ``is_ocr`` and ``service``. With a ``lexicon`` (``word``), lines of
+    more than half unknown words are garbage, initials are told from words, vocabularies meet
+    corrected lines, and, for OCR, lines are corrected before the test of names; a word that a
+    label's text cuts counts as known. Linked licences are followed by
     :func:`marlstone.operators.links.closure`, so their labels give no rows here."""
     flat = flatten(groups)
     catalogue: dict[str, list[dict]] = {}
@@ -349,15 +380,16 @@ def extract(docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], firs
         if f.label.format != "linked_licence":
             catalogue.setdefault(str(f.parent_id), []).append(_label_row(f))
     labels = lambda key: F.element_at(_literal(catalogue, f"map<string,array<{LABEL}>>"), key)
-    segments = docs.select("doc_id", F.lit(None).cast("string").alias("parent_id"), "lines")
+    docs = docs if lexicon is None else spelled(docs, flat, lexicon)
+    segments = docs.select("doc_id", *_carried(docs), F.lit(None).cast("string").alias("parent_id"), "lines")
     depth = max((f.depth for f in flat), default=0)
-    level = nodes_of(segments, labels(F.lit("None")), first_names)
+    level = nodes_of(segments, labels(F.lit("None")), first_names, is_ocr)
     level = settled(level) if depth else level
     found = level
     for _ in range(depth):
         segments = level.filter(F.col("label_id").cast("string").isin(*catalogue)).select(
-            "doc_id", F.col("node_id").alias("parent_id"), F.col("inner").alias("lines"), F.col("label_id").cast("string").alias("_key")
+            "doc_id", *_carried(level), F.col("node_id").alias("parent_id"), F.col("inner").alias("lines"), F.col("label_id").cast("string").alias("_key")
         )
-        level = settled(nodes_of(segments, labels(F.col("_key")), first_names))
+        level = settled(nodes_of(segments, labels(F.col("_key")), first_names, is_ocr))
         found = found.unionByName(level)
-    return settle(found, flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})
+    return settle(found.drop("spelling"), flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions.wordlists import PREFERRED_SPELLINGS
+from marlstone.operators.stages import settled
 
 
 def words_of(lines: DataFrame) -> DataFrame:
@@ -35,13 +36,35 @@ def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     right = lexicon.select(F.col("word").alias("suggestion")).withColumn("_key", F.explode(deletions(F.col("suggestion"))))
     liked = F.col("suggestion").isin(*[w.lower() for w in PREFERRED_SPELLINGS])
     near = F.levenshtein("word", "suggestion")
-    swap = F.length("word") == F.length("suggestion")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swap = letters("word") == letters("suggestion")
     return (
         left.join(right, "_key").filter((near == 1) | (near == 2) & swap)
         .groupBy("word").agg(F.min(F.struct((~liked).alias("a"), near.alias("b"), "suggestion"))["suggestion"].alias("suggestion"))
     )
 
 
+def spellings(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``doc_id`` and its ``spelling`` (:data:`marlstone.functions.text.SPELLING`) for documents
+    (``doc_id``, ``lines``) that have a word which the lexicon (``word``) lacks, or two neighbours that
+    are a word together. Words without a letter are none. A word is looked up as it stands and
+    without the marks at either end. Distinct words of a document are shuffled, not its lines; the
+    lexicon is joined, never collected."""
+    known = lexicon.select(F.lower("word").alias("word")).distinct()
+    lines = docs.select("doc_id", F.explode("lines.text").alias("text")).filter("text <> ''").withColumn("words", F.split("text", " ", -1))
+    bare = lambda w: F.array(w, T.trim_formatting(w), F.regexp_replace(w, T.LEADING, ""), F.regexp_replace(w, T.TRAILING, ""))
+    words = lines.select("doc_id", F.explode(F.flatten(F.transform("words", bare))).alias("word"))
+    words = words.select("doc_id", F.lower("word").alias("word")).filter(F.col("word").rlike(r"\p{L}")).distinct()
+    odd = settled(words.join(known, "word", "left_anti"))
+    better = suggestions(odd, known)
+    pairs = F.transform("words", lambda w, i: F.concat(w, F.coalesce(F.get("words", i + 1), F.lit(""))))
+    joined = lines.select("doc_id", F.explode(pairs).alias("word")).select("doc_id", F.lower("word").alias("word")).distinct().join(known, "word", "left_semi")
+    fix = F.when(F.col("suggestion").isNotNull(), F.struct("word", "suggestion"))
+    left = odd.join(better, "word", "left").groupBy("doc_id").agg(F.collect_set("word").alias("odd"), F.map_from_entries(F.collect_set(fix)).alias("better"))
+    right = joined.groupBy("doc_id").agg(F.collect_set("word").alias("joined"))
+    return left.join(right, "doc_id", "left").select("doc_id", F.struct("odd", "joined", "better").cast(T.SPELLING).alias("spelling"))
+
+
 def corrected(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """OCR lines (``doc_id``, ``line_no``, ``text``) with corrected words.
 
