@@ -113,8 +113,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Rows are linked when their cosine in double precision is at least ``cosine`` (above 0).
     Vectors that are null, empty, zero or hold a null, NaN or infinite number are linked with
     nothing; vectors of different lengths are not linked. Equal vectors are linked and count one
-    by one in ``n_links``. The smallest id reachable by links names the component and stays. An
-    empty table gives no rows; other columns are ignored.
+    by one in ``n_links``. The smallest id reachable by links names the component and stays: all rows
+    with it, where an id repeats. Rows that share an id are linked by their own vectors alone. A
+    null id counts in ``n_links`` of others, names no component and is never kept; its component is
+    null where no other id is reachable. An empty table gives no rows; other columns are ignored.
 
     The number of cells grows with the square root of the number of vectors. Their centres are
     fitted on a bounded sample and do not change results. Numbers travel as they are stored, in
@@ -134,14 +136,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     base = vectors.select(F.col(id_col).cast("long").alias("_id"), vec_col).mapInArrow(clean, "_id long, _v binary")
     reps = settled(
-        base.filter("_v IS NOT NULL").groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_mult"))
-        .withColumn("_d", (F.length("_v") / width).cast("int"))
-    )
+        base.filter("_v IS NOT NULL").groupBy("_v").agg(F.min("_id").alias("_low"), F.count("*").alias("_mult"))
+        .withColumns({"_d": (F.length("_v") / width).cast("int"), "_rep": F.monotonically_increasing_id()})
+    )  # distinct vectors have numbers of their own from here on, whatever their ids
     models = {}
     for d, n in sorted(tuple(r) for r in reps.groupBy("_d").count().collect()):
         share = min(1.0, min(TRAIN_VECTORS, max(1000, TRAIN_NUMBERS // d)) / n)
-        at = F.shiftrightunsigned(F.xxhash64("_rep"), 11) / float(1 << 53)
-        sample = reps.filter((F.col("_d") == d) & (at <= share)).select("_rep", "_v").toArrow().sort_by("_rep")
+        at = F.shiftrightunsigned(F.xxhash64("_v"), 11) / float(1 << 53)
+        sample = reps.filter((F.col("_d") == d) & (at <= share)).select("_v").toArrow().sort_by("_v")
         x = unit(sample.column("_v").to_pylist(), width) if sample.num_rows else np.eye(1, d)
         models[d] = Cells(spherical_kmeans(x, int(np.ceil(np.sqrt(n) / 16))), cosine)
 
@@ -222,13 +224,15 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = settled(dealt.mapInArrow(compare, "a long, n long, b long"))
     degree = found.groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
     parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "_rep")
-    classes = reps.select("_v", "_rep", "_mult").join(degree, "_rep", "left").join(parts, "_rep", "left").select(
-        "_v", (F.coalesce("_n", F.lit(0)) + F.col("_mult") - 1).alias("n_links"), F.coalesce("component", "_rep").alias("component_id")
+    lowest = reps.select("_rep", "_low").join(parts, "_rep").groupBy("component").agg(F.min("_low").alias("_least"))
+    named = parts.join(lowest, "component").select("_rep", "_least")
+    classes = reps.select("_v", "_rep", "_low", "_mult").join(degree, "_rep", "left").join(named, "_rep", "left").select(
+        "_v", (F.coalesce("_n", F.lit(0)) + F.col("_mult") - 1).alias("n_links"), F.coalesce("_least", "_low").alias("component_id")
     )
     return base.join(classes, "_v", "left").select(
         F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "_id").alias("component_id"),
-        (F.col("_id") == F.coalesce("component_id", "_id")).alias("kept"),
+        F.coalesce(F.col("_id") == F.coalesce("component_id", "_id"), F.lit(False)).alias("kept"),
     )
 
 

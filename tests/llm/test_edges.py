@@ -129,6 +129,32 @@ def test_vector_edges(spark):
     assert embedding_dedup(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_repeated_and_null_ids_of_vectors(spark):
+    """By row against all products: ids that repeat with other vectors, and rows without an id."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    ids = [1, 1, 1, 2, 3, None, None, 7, 7, None, 4]
+    x = [[1, 0], [0.99, 0.01], [0, 1], [0.98, 0.02], [-1, 0], [0.01, 1], [-1, -1], [-1, 0], [1, 0], [1, -1], [3, 3]]
+    ids += [int(i) for i in rng.integers(100, 120, 40)]
+    x += (rng.normal(size=(40, 2)) @ [[1, 0.2], [0, 0.1]]).tolist()
+    unit = np.array(x, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    far = 1 << 40
+    low = np.array([far if i is None else i for i in ids])
+    while True:
+        nxt = np.minimum(low, np.where(linked, low[None, :], far).min(1))
+        if (nxt == low).all():
+            break
+        low = nxt
+    want = sorted((str(i), int(n), str(None if c == far else int(c)), i is not None and i == c) for i, n, c in zip(ids, linked.sum(1), low))
+    rows = [(i, [float(a) for a in v], None, "a", "b") for i, v in zip(ids, x)]
+    got = embedding_dedup(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
+
+
 def test_cells_lose_no_link(spark):
     """Many crowded cells and blocks against all products in double precision."""
     import numpy as np
