@@ -98,8 +98,9 @@ def whole_line(lines: Column) -> Column:
 def name_in(text: Column, first_names: Column | None = None, known_word=None) -> Column:
     """The company or person that a line names, cut after a company suffix; null if none.
 
-    ``first_names`` is an array of lower-case names, ``known_word`` maps a word to whether a
-    lexicon has it (without one, no word is known)."""
+    ``first_names`` is an array of lower-case names, of one word or more, that count at the start
+    of the line or after its first word; ``known_word`` maps a word to whether a lexicon has it
+    (without one, no word is known)."""
     known = known_word or (lambda w: F.lit(False))
 
     def initials(parts: Column) -> Column:
@@ -114,8 +115,9 @@ def name_in(text: Column, first_names: Column | None = None, known_word=None) ->
         for w in W.NAME_WORDS:
             words = words | F.contains(F.lower(t), F.lit(w))
         if first_names is not None:
-            words = words | (F.size(parts) > 1) & F.array_contains(first_names, F.lower(F.get(parts, F.lit(0))))
-            words = words | (F.size(parts) > 2) & F.array_contains(first_names, F.lower(F.get(parts, F.lit(1))))
+            low, rest = F.lower(t), F.trim(F.lower(F.substring(t, F.length(F.get(parts, F.lit(0))) + 1, F.length(t))))
+            begins = lambda n: F.startswith(low, F.concat(n, F.lit(" "))) | F.startswith(rest, F.concat(n, F.lit(" ")))
+            words = words | F.coalesce(F.exists(first_names, begins), F.lit(False))
         cut = F.when(suffix.isNotNull(), F.substring(t, F.lit(1), F.instr(F.lower(t), suffix) + F.length(suffix) - 1)).otherwise(t)
         bare = F.lower(cut).isin(*[s.strip() for s in W.NAME_SUFFIXES])
         is_name = (T.starts_with_title(t) | words | suffix.isNotNull()) & ~T.ends_like_address(t) & ~bare

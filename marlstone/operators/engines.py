@@ -46,7 +46,7 @@ def lacking(docs: DataFrame, found: DataFrame, groups: Sequence[str]) -> DataFra
 
 def extract_by_cost(
     docs: DataFrame, engines: Sequence[Engine], groups: Sequence[tuple[str, Sequence[Label]]], on_top: bool = True,
-    first_names: Sequence[str] | None = None, lexicon: DataFrame | None = None,
+    first_names: DataFrame | Sequence[str] | None = None, lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """Matches of a catalogue (rows of :func:`marlstone.operators.extract.extract`) in ``docs`` (``doc_id``).
 

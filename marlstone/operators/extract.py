@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import extractors as X
 from marlstone.functions import text as T
 from marlstone.operators.lines import BLOCK_END, BLOCK_START
+from marlstone.operators.persons import persons
 from marlstone.operators.spelling import spellings
 from marlstone.operators.stages import settled
 from marlstone.plans.catalogue import FlatLabel, Label, flatten
@@ -90,8 +91,8 @@ def _none() -> Column:
 
 
 def _carried(rows: DataFrame) -> list[str]:
-    """What a lexicon says about the document goes along where one is given."""
-    return ["spelling"] if "spelling" in rows.columns else []
+    """What a lexicon and a list of names say about the document goes along where they are given."""
+    return [c for c in ("spelling", "persons") if c in rows.columns]
 
 
 def hits(segments: DataFrame, labels: Column) -> DataFrame:
@@ -146,7 +147,7 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
 def places(found: DataFrame) -> DataFrame:
     """Where values of each hit may stand, in order; one row a place."""
     carried = _carried(found)
-    known = T.knows(F.col(carried[0])) if carried else None
+    known = T.knows(F.col("spelling")) if "spelling" in carried else None
     position, text, no = F.col("l.position"), F.col("line.text"), F.col("line.line_no")
     inside = F.get(F.filter("l.texts", lambda t: F.contains(F.lower(text), F.lower(t))), F.lit(0))
     sides = F.when(F.size("l.texts") == 0, F.array("line")).otherwise(
@@ -215,10 +216,10 @@ def places(found: DataFrame) -> DataFrame:
 def values(rows: DataFrame, first_names: Sequence[str] | None = None, is_ocr: bool = False) -> DataFrame:
     """The typed value of each place; places without one are dropped. Where rows carry a spelling,
     OCR lines are corrected before the test of names, and vocabularies meet corrected lines too."""
-    spelling = F.col("spelling") if _carried(rows) else None
+    spelling = F.col("spelling") if "spelling" in rows.columns else None
     known = None if spelling is None else T.knows(spelling)
     source, fmt, vocab = F.col("p.source"), F.col("l.format"), F.size("l.possibilities") > 0
-    words = F.array(*map(F.lit, first_names)) if first_names else None
+    words = F.col("persons") if "persons" in rows.columns else F.array(*map(F.lit, first_names)) if first_names else None
     numeric = F.filter(F.transform(source, lambda x: _as_line(X.first_number(x["text"]), x["line_no"])), lambda x: x["text"].isNotNull())
     listed = vocab & fmt.isin("units", "text") | vocab & (fmt == "number") & (F.size("l.texts") == 0)
     got = (
@@ -351,19 +352,22 @@ def settle(nodes: DataFrame, flat: list[FlatLabel]) -> DataFrame:
     return out.filter("_alive").withColumn("name", F.col("_f.name")).drop("_f", "_alive", "_up", "_ok", "_spot", "_try", "_related", "inner")
 
 
-def spelled(docs: DataFrame, flat: list[FlatLabel], lexicon: DataFrame) -> DataFrame:
-    """Documents that hold the text of an outermost label, with their ``spelling``."""
+def with_words(docs: DataFrame, flat: list[FlatLabel], lexicon: DataFrame | None, first_names: DataFrame | None) -> DataFrame:
+    """Documents that hold the text of an outermost label, with their ``spelling`` where there is a
+    lexicon and their ``persons`` where there is a table of names."""
     outer = [f.label for f in flat if f.depth == 0 and f.label.format != "linked_licence"]
     if all(set(x.texts) - {BLOCK_START} and x.position != "split" and BLOCK_START not in x.texts for x in outer):
         low = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
         texts = sorted({t.lower() for x in outer for t in x.texts})
         docs = docs.filter(F.exists(F.array(*map(F.lit, texts)), lambda t: F.contains(low, t)))
     docs = settled(docs.select("doc_id", "lines"))
-    return docs.join(spellings(docs, lexicon), "doc_id", "left")
+    spelling = None if lexicon is None else settled(spellings(docs, lexicon))
+    out = docs if spelling is None else docs.join(spelling, "doc_id", "left")
+    return out if first_names is None else out.join(persons(docs, first_names, spelling), "doc_id", "left")
 
 
 def extract(
-    docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: Sequence[str] | None = None, is_ocr: bool = False,
+    docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: DataFrame | Sequence[str] | None = None, is_ocr: bool = False,
     service: str = "native", lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """All matches of a catalogue in ``docs`` (``doc_id``, ``lines``): a row for each node with
@@ -372,7 +376,8 @@ def extract(
     ``matched_vocab``, ``rules_used``), ``is_ocr`` and ``service``. With a ``lexicon`` (``word``), lines of
     more than half unknown words are garbage, initials are told from words, vocabularies meet
     corrected lines, and, for OCR, lines are corrected before the test of names; a word that a
-    label's text cuts counts as known. Linked licences are followed by
+    label's text cuts counts as known. ``first_names`` is a table (``name``) of any length, which is
+    joined to the words of documents, or a few names, which become part of the plan. Linked licences are followed by
     :func:`marlstone.operators.links.closure`, so their labels give no rows here."""
     flat = flatten(groups)
     catalogue: dict[str, list[dict]] = {}
@@ -380,16 +385,19 @@ def extract(
         if f.label.format != "linked_licence":
             catalogue.setdefault(str(f.parent_id), []).append(_label_row(f))
     labels = lambda key: F.element_at(_literal(catalogue, f"map<string,array<{LABEL}>>"), key)
-    docs = docs if lexicon is None else spelled(docs, flat, lexicon)
+    listed = first_names if isinstance(first_names, DataFrame) else None
+    if lexicon is not None or listed is not None:
+        docs = with_words(docs, flat, lexicon, listed)
     segments = docs.select("doc_id", *_carried(docs), F.lit(None).cast("string").alias("parent_id"), "lines")
     depth = max((f.depth for f in flat), default=0)
-    level = nodes_of(segments, labels(F.lit("None")), first_names, is_ocr)
+    few = None if listed is not None else first_names
+    level = nodes_of(segments, labels(F.lit("None")), few, is_ocr)
     level = settled(level) if depth else level
     found = level
     for _ in range(depth):
         segments = level.filter(F.col("label_id").cast("string").isin(*catalogue)).select(
             "doc_id", *_carried(level), F.col("node_id").alias("parent_id"), F.col("inner").alias("lines"), F.col("label_id").cast("string").alias("_key")
         )
-        level = settled(nodes_of(segments, labels(F.col("_key")), first_names, is_ocr))
+        level = settled(nodes_of(segments, labels(F.col("_key")), few, is_ocr))
         found = found.unionByName(level)
-    return settle(found.drop("spelling"), flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})
+    return settle(found.drop("spelling", "persons"), flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})

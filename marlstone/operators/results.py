@@ -17,11 +17,19 @@ def first_text(texts: Column) -> Column:
     return F.get(texts, F.lit(0))["text"]
 
 
-def tree(nodes: DataFrame, depth: int) -> DataFrame:
+FIELDS = ("name", "line_no", "match_type", "matched_text", "texts")
+#: Kinds of match as the report names them; a kind that it has no name for is 0.
+REPORTED = {
+    "same_line": "sameLineIsCompany1Line", "same_line_2_lines": "sameLineIsCompany2Lines", "same_line_single_word": "sameLineSingleWord",
+    "near_previous_line": "nearPreviousLineIsCompany", "near_next_line": "nearNextLineIsCompany", "between": "between",
+    "not_found": "notFound", "not_applicable": "notApplicable",
+}
+
+
+def tree(nodes: DataFrame, depth: int, fields: Sequence[str] = FIELDS) -> DataFrame:
     """``doc_id`` and ``results``: the nodes nested from the innermost level up, siblings in the
     order of their path. Each level is one grouping by (document, parent); nodes of a document
     alone meet in a group."""
-    fields = ["name", "line_no", "match_type", "matched_text", "texts"]
     order = F.col("node_id").alias("_at")
     level = nodes.withColumn("_depth", F.size(F.split("node_id", "/")) - 2)
     below = None
@@ -45,6 +53,50 @@ def result_json(results: DataFrame, variable: str | None = None) -> DataFrame:
     return results.select("doc_id", (F.concat(F.lit(f"var {variable} = "), text, F.lit(";")) if variable else text).alias("json"))
 
 
+def report_json(nodes: DataFrame, depth: int, filename: Column | str = "doc_id", variable: str | None = None) -> DataFrame:
+    """``doc_id`` and ``json`` under the names that the report reads: ``filename`` and ``matches``, each with
+    ``text`` (lines of ``text`` and ``lineNumber``), ``matchType``, ``isOcr``, ``lineNumber``, ``serviceName``, ``labelGroupName``,
+    ``matchedLabel`` (``name`` and the ``text`` that matched) and, down to ``depth``, ``subResults``. Null fields are left out; with
+    ``variable`` the text is a script that sets it."""
+
+    def match(x: Column, level: int) -> Column:
+        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in REPORTED.items() for v in kv]), x["match_type"]), F.lit("0"))
+        below = [] if level == depth else [F.transform(x["sub_results"], lambda y: match(y, level + 1)).alias("subResults")]
+        group = [x["group"].alias("labelGroupName")] if level == 0 else []
+        lines = F.transform(x["texts"], lambda t: F.struct(t["text"].alias("text"), t["line_no"].alias("lineNumber")))
+        return F.struct(
+            lines.alias("text"), kind.alias("matchType"), x["is_ocr"].alias("isOcr"), x["line_no"].alias("lineNumber"), x["service"].alias("serviceName"),
+            *group, F.struct(F.when(x["matched_text"].isNotNull(), F.array(x["matched_text"])).alias("text"), x["name"].alias("name")).alias("matchedLabel"), *below,
+        )
+
+    trees = tree(nodes, depth, (*FIELDS, "is_ocr", "service"))
+    shaped = trees.select("doc_id", F.transform("results", lambda x: match(x, 0)).alias("matches"))
+    name = F.col(filename) if isinstance(filename, str) else filename
+    text = F.to_json(F.struct(name.cast("string").alias("filename"), "matches"), {"ignoreNullFields": "true"})
+    return shaped.select("doc_id", (F.concat(F.lit(f"var {variable} = "), text) if variable else text).alias("json"))
+
+
+def text_dump(lines: DataFrame) -> DataFrame:
+    """``doc_id`` and ``dump``: all lines (``doc_id``, ``line_no``, ``text``) of a document in order, each after
+    its number, between carriage returns with line feeds. Null texts are empty."""
+    row = F.struct("line_no", F.concat_ws(" ", F.col("line_no").cast("string"), F.coalesce("text", F.lit(""))).alias("t"))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["t"]), "\r\n").alias("dump"))
+
+
+def firsts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], last: bool = False) -> DataFrame:
+    """Of each group of ``keys`` the ``columns`` of its first row, or last, in the order of ``order``. One
+    aggregation that folds on the map side, so a hot group is never gathered. Ties go to the
+    smaller columns (to the larger with ``last``); null keys are a group of their own."""
+    pick = F.max if last else F.min
+    held = [c for c in columns if c not in order]
+    return rows.groupBy(*keys).agg(pick(F.struct(*order, *held)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in columns])
+
+
+def unmatched(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose ``keys`` nothing found bears; null keys are never found."""
+    return rows.join(found.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON row for each document; writing the same documents again leaves the same files."""
     results.write.mode(mode).json(path, ignoreNullFields=True)

@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 _folders: dict[str, tuple] = {}
 
 
+def shared(warehouse: str, master: str) -> str:
+    """The warehouse, unless it is a folder of one machine of a cluster."""
+    if warehouse.startswith(("file:", "/")) and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
+    return warehouse
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The folder of this application's stage tables: below ``spark.checkpoint.dir``, or below the
-    warehouse, which executors share too, where that is unset. It is deleted when the
-    application's JVM ends, or earlier by :func:`drop_stages`."""
+    warehouse, which executors share too, where that is unset. A warehouse on the local disk is
+    taken only where the master is local; elsewhere executors would not share it, so that raises.
+    The folder is deleted when the application's JVM ends, or earlier by :func:`drop_stages`."""
     app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = shared(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
     path = f"{base}/stages-{app}"
     if path not in _folders:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,3 +68,28 @@ def drop_stage(df: DataFrame) -> None:
     if path:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Buckets:
+    """A stage table that grows, in buckets of ``keys``: rows that are joined with it by the same
+    keys are shuffled, its own are not. Its files go the way of all stage tables."""
+
+    def __init__(self, rows: DataFrame, keys: list[str]):
+        self.spark, self.keys, self.schema = rows.sparkSession, keys, rows.schema
+        self.name = f"stage_{uuid.uuid4().hex}"
+        self.path = f"{stage_dir(self.spark)}/{self.name}"
+        self.count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.append(rows)
+
+    def append(self, rows: DataFrame) -> None:
+        # dealt as the buckets are, so that each task writes one file
+        dealt = rows.repartition(self.count, *self.keys)
+        dealt.write.mode("append").bucketBy(self.count, *self.keys).sortBy(*self.keys).option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The rows by their files; the name is given up."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)

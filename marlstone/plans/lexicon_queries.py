@@ -82,6 +82,23 @@ def q_succession_stop(spark, sf):
     return _values(E.extract(E.documents_as_lines(docs), [("Holder", [LATER, SUCCESSION])]))
 
 
+
+#: Letters for the digits of a brand.
+DIGITS = ("0123456789", "abcdefghij")
+
+
+def q_first_names(spark, sf):
+    """Parts as documents whose holder is known by a first name alone: brands that end in b, and
+    those in c together with a first word of l or s, which are names of two words."""
+    part, brand = read(spark, sf, "part"), F.translate(F.regexp_replace("p_brand", "#", ""), *DIGITS)
+    word = F.element_at(F.split("p_name", " "), 1)
+    name = F.when(brand.endswith("b"), brand).when(brand.endswith("c") & word.rlike("^[ls]"), F.concat_ws(" ", brand, word))
+    holder = F.concat_ws(" ", F.when(F.col("p_size") % 2 == 1, "Kaz"), brand, "p_name")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Licensed to\n"), holder, F.lit("\nof the lane")).alias("text"))
+    found = E.extract(E.documents_as_lines(docs), [("Holder", [HOLDER])], part.select(name.alias("name")))
+    return _values(found).select("doc_id", "line_no", "value")
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _DOC = "d AS (SELECT c_custkey::BIGINT AS k, c_mktsegment[1] || lower(c_mktsegment[2:]) AS w FROM customer)"
@@ -102,4 +119,8 @@ UNION ALL SELECT unnest(['a', 'day']), NULL FROM d)
 SELECT word, count(*) AS n, suggestion FROM w GROUP BY word, suggestion""",
     "succession_stop": """SELECT s_suppkey AS doc_id, 'Holder' AS "group", 1 AS line_no, 'near_next_line' AS match_type,
 CASE WHEN s_suppkey % 2 = 0 THEN 'Old K' ELSE 'New K' END || s_suppkey || ' Limited' AS value FROM supplier""",
+    "first_names": """WITH b AS (SELECT p_partkey AS doc_id, translate(replace(p_brand, '#', ''), '0123456789', 'abcdefghij') AS brand, p_name, p_size FROM part),
+n AS (SELECT DISTINCT lower(CASE WHEN brand LIKE '%b' THEN brand WHEN brand LIKE '%c' AND regexp_matches(p_name, '^[ls]') THEN brand || ' ' || split_part(p_name, ' ', 1) END) AS name FROM b),
+h AS (SELECT doc_id, CASE WHEN p_size % 2 = 1 THEN 'Kaz ' ELSE '' END || brand || ' ' || p_name AS value FROM b)
+SELECT doc_id, 1 AS line_no, value FROM h WHERE EXISTS (FROM n WHERE starts_with(lower(value), name || ' ') OR starts_with(trim(lower(substr(value, strpos(value, ' ')))), name || ' '))""",
 }

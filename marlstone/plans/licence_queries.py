@@ -63,10 +63,9 @@ def q_linked_licences(spark, sf):
         F.expr(NUMBER.format("c_custkey")).alias("licence_number"), F.concat(F.lit("scans/"), key.cast("string"), F.lit(".pdf")).alias("filename")
     )
     reached = K.closure(docs.select("doc_id"), K.map_edges(references, licence_map))
-    holder = F.get(F.filter("l.results", lambda x: x["group"] == "Company"), F.lit(0))
-    return K.with_linked(R.tree(found, 3), reached).select(F.col("doc_id").alias("root"), F.explode("linked").alias("l")).select(
-        "root", F.col("l.doc_id").alias("doc_id"), F.col("l.depth").alias("depth"), F.col("l.parent").alias("parent"),
-        R.first_text(holder["texts"]).alias("holder"), F.size("l.results").alias("groups"),
+    holder = F.get(F.filter("results", lambda x: x["group"] == "Company"), F.lit(0))
+    return K.linked_results(R.tree(found, 3), reached).select(
+        "root", "doc_id", "depth", "parent", R.first_text(holder["texts"]).alias("holder"), F.size("results").alias("groups")
     )
 
 

@@ -10,6 +10,7 @@ from marlstone.functions import paths as P
 from marlstone.functions import text as T
 from marlstone.functions import wordlists as L
 from marlstone.operators import lines as O
+from marlstone.operators import results as R
 from marlstone.sources import lines as S
 
 NOTICES = ("licensed under", "released under", "all rights reserved")
@@ -185,15 +186,17 @@ def q_period_pivot(spark, sf):
 
 
 def q_first_per_group(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"))
+    first = R.firsts(read(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
+    return first.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("first_us"))
 
 
 def q_last_per_group(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
+    last = R.firsts(read(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "ts"], last=True)
+    return last.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("last_us"))
 
 
 def q_unmatched_groups(spark, sf):
-    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    return R.unmatched(read(spark, sf, "documents"), read(spark, sf, "labels"), ["doc_id"]).select("doc_id", "source")
 
 
 def q_path_members(spark, sf):
@@ -211,8 +214,7 @@ def q_path_filter(spark, sf):
 
 
 def q_text_dump(spark, sf):
-    rows = doc_lines(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    return rows.select("doc_id", F.md5(F.array_join(F.transform("l", lambda x: F.concat(x["line_no"].cast("string"), F.lit(" "), x["text"])), "\r\n")).alias("dump_md5"))
+    return R.text_dump(doc_lines(spark, sf)).select("doc_id", F.md5("dump").alias("dump_md5"))
 
 
 def q_file_stem(spark, sf):

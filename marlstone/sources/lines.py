@@ -41,12 +41,18 @@ def read_page_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_licence_map(spark: SparkSession, path: str) -> DataFrame:
-    """``licence_number`` -> ``filename`` (last path segment); of several rows the last wins.
-    Rows without a number, such as a blank last line, are dropped."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("row", "line"))
+    """``licence_number`` -> ``filename`` (last path segment); of several rows the last wins, of
+    several files the last by name. The first line of a file is its header; rows without a
+    number, such as a blank last line, are dropped.
+
+    A file is read in parts by many tasks: rows are ordered by file, offset of their part and
+    place in it, and maxima of that order fold before the one shuffle, by number."""
+    # a separator that no line holds: whole lines, with the header left out by the reader
+    rows = spark.read.schema("line string").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
     parts = F.split("line", ",", -1)
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     return (
-        rows.filter((F.col("row") > 0) & (F.size(parts) > 1))
+        rows.select(order.alias("row"), "line").filter(F.size(parts) > 1)
         .select("row", F.element_at(F.split(parts[0], "/"), -1).alias("filename"), parts[1].alias("licence_number"))
         .groupBy("licence_number").agg(F.max_by("filename", "row").alias("filename"))
     )
