@@ -131,6 +131,18 @@ CALIBRATION: tuple[tuple[str, str], ...] = (
     ("A copy of the notice hung in the hall.", UNKNOWN), ("Apache is the name of a people.", UNKNOWN),
 )
 
+# Names of licences outside the families, close to one of them.
+FOREIGN = (
+    "CC BY-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NoDerivatives", "Attribution-NonCommercial-ShareAlike", "Attribution-NonCommercial-NoDerivatives",
+    "MIT-0", "MIT No Attribution", "0BSD", "Eclipse Public License", "Boost Software License", "Union Public License", "Microsoft Public License", "Common Public License",
+    "IBM Public License", "Nokia Public License", "Sun Public License", "Artistic License", "Zlib License", "Open Font License", "Server Side Public License", "Business Source License", "Python Software Foundation License", "Academic Free License",
+)
+#: A sentence that denies what it names.
+DENIAL = (
+    r"\b(?:not|never|neither|no longer|nicht|pas|jamais|no est[aá]|no es)\s+(?:[a-z]+\s+){0,3}?"
+    r"(?:under|in the public domain|unter|gemeinfrei|sous|dans le domaine public|bajo|de dominio p)"
+)
+
 #: Words too common to tell a notice.
 COMMON = frozenset("a all an and any are as at be by for from if in into is it may not of on or that the this to under was with you your".split())
 
@@ -144,6 +156,19 @@ def templates() -> dict[str, tuple[str, ...]]:
     return {f: (*ts, *(n.format(name) for name in NAMES.get(f, ()) for n in NOTICES), *NAMES.get(f, ())) for f, ts in TEMPLATES.items()}
 
 
+def own_pairs() -> dict[str, set[str]]:
+    """Of each family the word pairs that no other family's templates hold."""
+    held = {f: set().union(*(grams(t, (2,)) for t in ts)) for f, ts in templates().items()}
+    return {f: g - set().union(*(h for o, h in held.items() if o != f)) for f, g in held.items()}
+
+
+def foreign_pairs() -> list[str]:
+    """Word pairs of :data:`FOREIGN` that no template holds: a sentence with one speaks of another
+    licence."""
+    held = set().union(*(grams(t, (2,)) for ts in templates().values() for t in ts))
+    return sorted(set().union(*(grams(n, (2,)) for n in FOREIGN)) - held)
+
+
 def tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
@@ -259,24 +284,28 @@ def paragraphs(text: Column) -> Column:
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_shared: float = LEAST_SHARED) -> DataFrame:
     """One row per paragraph that could hold a template: id, ``para`` (0-based among the text's
-    paragraphs), ``family``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
+    paragraphs), ``family``, ``families``, ``probability``, ``shared``, ``confirmed``, ``paragraph``.
 
     A paragraph is a line with the lines that go on from it (:data:`WRAPPED`). Every paragraph is
     tested against :func:`needed_pairs`, which no confirmable one fails. ``family`` is ``unknown``
-    where that class is likeliest, the likeliest family is not likely enough or no template
-    confirms it. Of equal probabilities the first family by name is taken. Null and empty texts
+    where no template confirms a family, or those that are confirmed are together not likely
+    enough. A template confirms a family that is likelier than unknown where enough of its pairs
+    are there, one of which no other family has (:func:`own_pairs`); sentences that deny
+    (:data:`DENIAL`) or name a neighbouring licence (:data:`FOREIGN`) count for nothing.
+    ``families`` are all that are confirmed, by name, so a notice of two licences gives both;
+    ``family`` is the likeliest, of equals the first by name. Null and empty texts
     have no paragraphs. Repeated rows are scanned once for each id and text; rows without an id
     are scanned like others. An empty table gives no rows; other columns are ignored. Both joined
     tables are the fixed model and are broadcast. The texts are scanned once."""
-    spark, fitted = docs.sparkSession, model()
+    spark, fitted, own = docs.sparkSession, model(), own_pairs()
     weights = fixed_rows(
         spark, [{"gram": g, "w": [float(v) for v in row]} for g, row in zip(fitted.vocabulary, fitted.weights, strict=True)], "gram: string, w: array<double>"
     )
     pairs = fixed_rows(
         spark,
-        [{"family": f, "template": f"{f}{i}", "size": len(p), "gram": g}
+        [{"family": f, "template": f"{f}{i}", "size": len(p), "gram": g, "own": g in own[f]}
          for f, ts in templates().items() for i, t in enumerate(ts) for p in [sorted(grams(t, (2,)))] for g in p],
-        "family: string, template: string, size: int, gram: string",
+        "family: string, template: string, size: int, gram: string, own: boolean",
     )
     needed = F.array(*map(F.lit, needed_pairs()))
     found = settled(
@@ -291,38 +320,55 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.count("w").alias("m"), *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in classes])
     )
     odds = F.array(*[F.col(f"z{i}") / F.sqrt(F.greatest(F.col("m"), F.lit(1))) + F.lit(float(fitted.bias[i])) for i in classes])
-    likeliest = F.element_at(F.array(*map(F.lit, fitted.families)), F.array_position("odds", F.col("top")).cast("int"))
-    guessed = scored.select("row", odds.alias("odds")).select("row", "odds", F.array_max("odds").alias("top")).select(
-        "row", likeliest.alias("family"), (1 / F.aggregate("odds", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).alias("probability"),
+    likelihood = F.transform("odds", lambda z: F.exp(z - F.array_max("odds")))
+    guessed = scored.select("row", odds.alias("odds")).select(
+        "row", "odds", F.transform(likelihood, lambda e: e / F.aggregate(likelihood, F.lit(0.0), lambda a, x: a + x)).alias("p")
     )
+    foreign = F.array(*map(F.lit, foreign_pairs()))
     sentences = found.select("row", F.posexplode(F.split("paragraph", r"[.!?;](?:\s|$)")).alias("at", "sentence"))
     matched = (
-        sentences.select("row", "at", word_runs(F.col("sentence"), (2,)).alias("own")).select("row", "at", F.size("own").alias("n"), F.explode("own").alias("gram"))
+        sentences.filter(~F.lower("sentence").rlike(DENIAL)).select("row", "at", word_runs(F.col("sentence"), (2,)).alias("own_runs"))
+        .filter(~F.arrays_overlap("own_runs", foreign)).select("row", "at", F.size("own_runs").alias("n"), F.explode("own_runs").alias("gram"))
         .join(F.broadcast(pairs), "gram")
-        .groupBy("row", "family", "template", "size", "at", "n").agg(F.collect_set("gram").alias("g"))
-        .groupBy("row", "family", "template", "size")
-        .agg((F.size(F.array_distinct(F.flatten(F.collect_list("g")))) / F.col("size")).alias("share"), F.max(F.size("g") / F.col("n")).alias("cover"))
+        .groupBy("row", "family", "template", "size", "at", "n").agg(F.collect_set("gram").alias("g"), F.max("own").alias("own"))
+        .groupBy("row", "family", "template", "size").agg(
+            (F.size(F.array_distinct(F.flatten(F.collect_list("g")))) / F.col("size")).alias("share"), F.max(F.size("g") / F.col("n")).alias("cover"),
+            F.max("own").alias("own"),
+        )
+    )
+    likeness = (
+        matched.filter(F.col("own") & (F.col("share") >= least_shared) & ((F.col("size") >= SHORT) | (F.col("cover") >= LEAST_COVER)))
+        .groupBy("row", "family").agg(F.max("share").alias("shared"))
+    )
+    place = F.array_position(F.array(*map(F.lit, fitted.families)), F.col("family")).cast("int")
+    unknown_at = F.lit(fitted.families.index(UNKNOWN) + 1)
+    likely = F.element_at("odds", place) > F.element_at("odds", unknown_at)
+    best = F.sort_array(F.collect_list(F.struct((-F.element_at("p", place)).alias("p"), "family", "shared")))
+    said = (
+        likeness.join(guessed, "row").filter(likely).groupBy("row").agg(best.alias("best"))
+        .filter(-F.aggregate("best", F.lit(0.0), lambda a, x: a + x["p"]) >= fitted.least)
     )
-    likeness = matched.filter((F.col("size") >= SHORT) | (F.col("cover") >= LEAST_COVER)).groupBy("row", "family").agg(F.max("share").alias("shared"))
-    shared = F.coalesce("shared", F.lit(0.0))
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= fitted.least) & (shared >= least_shared)
-    return found.join(guessed, "row").join(likeness, ["row", "family"], "left").select(
-        F.col("id").alias(id_col), "para", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"),
-        "probability", shared.alias("shared"), confirmed.alias("confirmed"), "paragraph",
+    first, none = F.get("best", F.lit(0)), F.array().cast("array<string>")
+    return found.join(guessed, "row").join(said, "row", "left").select(
+        F.col("id").alias(id_col), "para", F.coalesce(first["family"], F.lit(UNKNOWN)).alias("family"),
+        F.coalesce(F.array_sort(F.transform("best", lambda x: x["family"])), none).alias("families"),
+        F.coalesce(-first["p"], F.array_max("p")).alias("probability"), F.coalesce(first["shared"], F.lit(0.0)).alias("shared"),
+        F.col("best").isNotNull().alias("confirmed"), "paragraph",
     )
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "para", "family", "confirmed")
+    return scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "para", "family", F.array_join("families", ",").alias("families"), "confirmed")
 
 
 def oracle() -> dict[str, str]:
     """The scan in SQL over the same fitted weights and the same templates."""
-    fitted = model()
+    fitted, own = model(), own_pairs()
+    foreign = ", ".join(f"'{g}'" for g in foreign_pairs())
     quoted = lambda rows: json.dumps(rows).replace("'", "''")
     weights = quoted([{"g": g, "w": [float(v) for v in row]} for g, row in zip(fitted.vocabulary, fitted.weights, strict=True)])
     pairs = quoted([
-        {"family": f, "template": f"{f}{i}", "size": len(p), "g": g}
+        {"family": f, "template": f"{f}{i}", "size": len(p), "g": g, "own": g in own[f]}
         for f, ts in templates().items() for i, t in enumerate(ts) for p in [sorted(grams(t, (2,)))] for g in p
     ])
     runs = lambda n: f"list_transform(range(1, len(k) - {n - 2}), lambda i: {chr(32).join(f'k[i + {a}]' + (' || chr(32) ||' if a < n - 1 else '') for a in range(n))})"
@@ -333,7 +379,7 @@ def oracle() -> dict[str, str]:
     needed = ", ".join("'" + g + "'" for g in needed_pairs())
     sql = f"""
 WITH w AS (SELECT unnest(from_json('{weights}', '[{{"g": "VARCHAR", "w": ["DOUBLE"]}}]'), recursive := true)),
-p AS (SELECT unnest(from_json('{pairs}', '[{{"family": "VARCHAR", "template": "VARCHAR", "size": "INTEGER", "g": "VARCHAR"}}]'), recursive := true)),
+p AS (SELECT unnest(from_json('{pairs}', '[{{"family": "VARCHAR", "template": "VARCHAR", "size": "INTEGER", "g": "VARCHAR", "own": "BOOLEAN"}}]'), recursive := true)),
 j AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{wrapped}', '\\1 \\2', 'g'), '{wrapped}', '\\1 \\2', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 l AS (SELECT DISTINCT * FROM (SELECT doc_id, unnest(l) AS paragraph, unnest(range(len(l)))::INT AS para FROM j)),
 k AS (SELECT *, {split('paragraph')} AS k FROM l),
@@ -342,18 +388,18 @@ s AS (SELECT r, unnest(list_distinct(list_concat(k, list_concat({runs(2)}, {runs
 c AS (SELECT r, unnest(w) AS v, unnest(range(len(w))) AS i FROM s JOIN w USING (g)),
 z AS (SELECT r, i, sum(v) / sqrt(count(*)) + ([{bias}])[i + 1] AS o FROM c GROUP BY r, i),
 b AS (SELECT r, arg_min(i, (-o, i)) AS i, max(o) AS top FROM z GROUP BY r),
-q AS (SELECT b.r, ([{families}])[any_value(b.i) + 1] AS family, 1 / sum(exp(z.o - b.top)) AS probability FROM b JOIN z USING (r) GROUP BY b.r),
+e AS (SELECT z.r, z.i, z.o, exp(z.o - b.top) / sum(exp(z.o - b.top)) OVER (PARTITION BY z.r) AS p FROM z JOIN b USING (r)),
+q AS (SELECT e.r, ([{families}])[e.i + 1] AS family, e.p FROM e JOIN e AS n ON n.r = e.r AND n.i = {fitted.families.index(UNKNOWN)} WHERE e.o > n.o),
 t AS (SELECT r, unnest(regexp_split_to_array(paragraph, '[.!?;](?:\\s|$)')) AS sentence, unnest(range(len(regexp_split_to_array(paragraph, '[.!?;](?:\\s|$)')))) AS sn FROM f),
-u AS (SELECT r, sn, {split('sentence')} AS k FROM t),
+u AS (SELECT r, sn, {split('sentence')} AS k FROM t WHERE NOT regexp_matches(lower(sentence), '{DENIAL}')),
 v AS (SELECT r, sn, list_distinct({runs(2)}) AS o FROM u),
-x AS (SELECT r, sn, len(o) AS n, unnest(o) AS g FROM v),
+x AS (SELECT r, sn, len(o) AS n, unnest(o) AS g FROM v WHERE NOT list_has_any(o, [{foreign}])),
 y AS (SELECT r, family, template, size, sn, n, count(DISTINCT x.g) AS m FROM x JOIN p ON x.g = p.g GROUP BY ALL),
-d AS (SELECT r, family, template, size, count(DISTINCT x.g) / size AS share FROM x JOIN p ON x.g = p.g GROUP BY r, family, template, size),
-h AS (SELECT d.r, d.family, max(share) AS shared FROM d JOIN (SELECT r, template, max(m / n) AS cover FROM y GROUP BY ALL) y USING (r, template)
-      WHERE size >= {SHORT} OR cover >= {LEAST_COVER} GROUP BY ALL),
-e AS (SELECT doc_id, para, q.family, q.family <> '{UNKNOWN}' AND probability >= {fitted.least} AND coalesce(shared, 0) >= {LEAST_SHARED} AS confirmed
-      FROM f JOIN q USING (r) LEFT JOIN h ON h.r = f.r AND h.family = q.family)
-SELECT doc_id, para, CASE WHEN confirmed THEN family ELSE '{UNKNOWN}' END AS family, confirmed FROM e"""
+d AS (SELECT r, family, template, size, count(DISTINCT x.g) / size AS share, bool_or(own) AS own FROM x JOIN p ON x.g = p.g GROUP BY r, family, template, size),
+h AS (SELECT DISTINCT d.r, d.family FROM d JOIN (SELECT r, template, max(m / n) AS cover FROM y GROUP BY ALL) y USING (r, template)
+      WHERE own AND share >= {LEAST_SHARED} AND (size >= {SHORT} OR cover >= {LEAST_COVER})),
+a AS (SELECT r, arg_min(family, (-p, family)) AS family, string_agg(family, ',' ORDER BY family) AS families FROM h JOIN q USING (r, family) GROUP BY r HAVING sum(p) >= {fitted.least})
+SELECT doc_id, para, coalesce(family, '{UNKNOWN}') AS family, coalesce(families, '') AS families, family IS NOT NULL AS confirmed FROM f LEFT JOIN a USING (r)"""
     return {"op10_licences": sql}
 
 
