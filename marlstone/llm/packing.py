@@ -10,7 +10,6 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -135,8 +134,8 @@ def pack_documents(
     task) are shuffled, in groups of ``MERGED_TASKS`` tasks.
 
     Null text counts as empty: such a document is one piece of one token. Rows that repeat an
-    id are packed as documents of their own. An empty table gives no rows; other columns are
-    ignored."""
+    id, and rows without one, are packed as documents of their own. An empty table gives no
+    rows; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {PIECE}, ids binary, task int"
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -174,18 +173,20 @@ def pack_documents(
         if rows:
             yield flush()
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["task", "order"])
-        pieces = list(zip(pdf[id_col], pdf["start"], pdf["ids"], pdf["doc_tokens"], strict=True))
-        rows = [r for i, w in enumerate(merged(pieces, window)) for r in w.rows((1 << 62) + (int(key[0]) << 32) + i, with_ids)]
-        return pd.DataFrame(rows, columns=names)
+    def merge(key: tuple, left: pa.Table) -> pa.Table:
+        left = left.sort_by([("task", "ascending"), ("order", "ascending")])
+        pieces = list(zip(*(left[c].to_pylist() for c in (id_col, "start", "ids", "doc_tokens")), strict=True))
+        rows = [r for i, w in enumerate(merged(pieces, window)) for r in w.rows((1 << 62) + (key[0].as_py() << 32) + i, with_ids)]
+        types = [left.schema.field(id_col).type, *[pa.int64()] * 6, pa.binary()]
+        cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     first = settled(docs.select(id_col, text_col).mapInArrow(run, schema))
     finished = first.filter("sequence_id IS NOT NULL").drop("task")
     rest = (
         first.filter("sequence_id IS NULL")
         .withColumns({"group": F.floor(F.col("task") / MERGED_TASKS), "order": F.xxhash64(id_col, "start", "doc_tokens", "ids_crc32")})
-        .groupBy("group").applyInPandas(merge, f"`{id_col}` {kind}, {PIECE}, ids binary")
+        .groupBy("group").applyInArrow(merge, f"`{id_col}` {kind}, {PIECE}, ids binary")
     )
     out = finished.unionByName(rest)
     return out if with_ids else out.drop("ids")

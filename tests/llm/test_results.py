@@ -107,6 +107,17 @@ def test_packing_into_small_windows(spark):
     assert packed_pieces_are_exact(rows, texts, 64) < 0.3
 
 
+def test_packing_keeps_ids_beside_null_ones(spark):
+    """Ids above 2**53 stay whole where a document of their group has none."""
+    big = [(1 << 60) + i for i in range(1, 40)]
+    docs = spark.createDataFrame([(d, f"word {d}") for d in big] + [(None, "nameless"), (None, None)], "doc_id long, text string").repartition(3)
+    rows = pack_documents(docs, default_vocabulary(), window=64, open_windows=3).collect()
+    assert {r.doc_id for r in rows} == {*big, None}
+    assert sum(r.length for r in rows if r.doc_id is None) == sum({r.doc_tokens for r in rows if r.doc_id is None})
+    named = spark.createDataFrame([("a", "one"), (None, "two"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id for r in pack_documents(named, default_vocabulary()).collect()} == {"a", "b", None}
+
+
 def test_bpe_equals_the_library(spark):
     odd = [
         "", None, " ", "  a  b\n\n c\t", "<|endoftext|>x<|endoftext|>", "naïve café — 東京 😀👩‍👩‍👧 \u0000￾", "a" * 5000, "1234567890" * 50,
