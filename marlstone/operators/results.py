@@ -138,12 +138,12 @@ def positional(numbers: Column, linked: Column) -> Column:
 
 
 def index_rows(rows: DataFrame) -> DataFrame:
-    """``doc_id`` and ``html``: a table row of each document, long names wrapped, values escaped."""
+    """``doc_id`` and ``html``: a table row of each document, long names wrapped, then values escaped."""
     def cell(c: str) -> Column:
-        value = F.coalesce(F.col(c).cast("string"), F.lit("--"))
+        value = T.wrapped(F.coalesce(F.col(c).cast("string"), F.lit("--")))
         for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
             value = F.replace(value, F.lit(a), F.lit(b))
-        return F.concat(F.lit("<td>"), T.wrapped(value), F.lit("</td>"))
+        return F.concat(F.lit("<td>"), value, F.lit("</td>"))
 
     cells = [cell(c) for c in rows.columns]
     return rows.select("doc_id", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))

@@ -12,12 +12,6 @@ POSITIONS = ("same_line", "before", "after", "prefer_before", "prefer_after", "b
 FORMATS = ("text", "company", "number", "units", "single_word", "acts_like_single_word", "licence_number", "date_or_purpose", "linked_licence")
 MULTIPLE = ("first", "every_label", "every_value", "joined")
 
-#: Certainty of a match by how it was found, in hundredths; the quotient by 100 is reported.
-MATCH_TYPES = {
-    "same_line_single_word": 9903, "near_next_line": 9901, "same_line": 9900, "between": 9503, "near_previous_line": 8005,
-    "same_line_2_lines": 7500, "not_found": -99, "not_applicable": -100, "unset": 0,
-}
-
 
 @dataclass(frozen=True)
 class Rule:

@@ -88,17 +88,21 @@ def q_block_to_frame_end(spark, sf):
     return blocks.groupBy("doc_id", "start_line").agg(F.count("*").alias("lines"), F.max("end_line").alias("end_line"), text_hash("line", "at"))
 
 
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as lines, each after its role."""
+    text = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), text.alias("text"))
+
+
 def q_split_block(spark, sf):
-    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), F.col("role").alias("text"))
-    parts = O.split_blocks(turns, ["assistant"])
-    return parts.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count_if(F.col("part") == 1).alias("part1"), F.count_if(F.col("part") == 2).alias("part2"))
+    parts = O.split_blocks(_turns(spark, sf), ["assistant"])
+    return parts.groupBy(F.col("doc_id").alias("conv_id"), "part").agg(F.count("*").alias("lines"), text_hash())
 
 
 def q_split_void_both(spark, sf):
-    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), F.col("role").alias("text"))
-    parts = O.split_blocks(turns, ["assistant"])
+    parts = O.split_blocks(_turns(spark, sf), ["assistant"])
     counts = parts.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
-    return O.void_small_parts(parts, counts, 2).groupBy(F.col("doc_id").alias("conv_id"), "part").agg(F.count("*").alias("lines"))
+    return O.void_small_parts(parts, counts, 2).groupBy(F.col("doc_id").alias("conv_id"), "part").agg(F.count("*").alias("lines"), text_hash())
 
 
 def _number_tokens(lines: DataFrame) -> DataFrame:
@@ -248,6 +252,10 @@ SHORT = ", ".join(f"'{w}'" for w in L.SHORT_WORDS)
 TITLED = " OR ".join(f"starts_with(lower({{0}}), '{p}')" for p in L.NAME_PREFIXES)
 SUFFIXED = " OR ".join(f"ends_with(lower({{0}}), '{p}')" for p in L.NAME_SUFFIXES)
 
+PARTS = """t AS (SELECT conv_id, turn, role || ': ' || text AS text FROM conversations),
+h AS (SELECT *, min(CASE WHEN starts_with(lower(text), 'assistant') OR contains(lower(text), ' assistant') THEN turn END) OVER (PARTITION BY conv_id) AS hit FROM t),
+p AS (SELECT conv_id, turn, text, CASE WHEN hit IS NULL OR turn < hit - 1 THEN 1 ELSE 2 END AS part FROM h)"""
+
 ORACLE = {
     "doc_lines": f"WITH {LINES} SELECT doc_id, line_no, text FROM l",
     "trim_formatting": f"WITH {LINES} SELECT doc_id, line_no, {TRIM.format('text')} AS text FROM l",
@@ -286,12 +294,10 @@ i AS (SELECT doc_id, start_line, end_line, pos, line FROM r WHERE end_line IS NU
  UNION ALL SELECT h.doc_id, h.line_no, e.end_line, h.line_no, trim({TRIM.format("substr(h.text, instr(lower(h.text), 'the') + 3)")}) FROM h LEFT JOIN e ON e.doc_id = h.doc_id AND e.start_line = h.line_no
  WHERE trim({TRIM.format("substr(h.text, instr(lower(h.text), 'the') + 3)")}) <> '')
 SELECT doc_id, start_line, count(*) AS lines, max(end_line) AS end_line, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM i GROUP BY ALL""",
-    "split_block": """WITH h AS (SELECT conv_id, turn, min(CASE WHEN starts_with(role, 'assistant') OR contains(role, ' assistant') THEN turn END) OVER (PARTITION BY conv_id) AS hit FROM conversations)
-SELECT conv_id, count(*) FILTER (hit IS NULL OR turn < hit - 1) AS part1, count(*) FILTER (hit IS NOT NULL AND turn >= hit - 1) AS part2 FROM h GROUP BY conv_id""",
-    "split_void_both": """WITH h AS (SELECT conv_id, turn, min(CASE WHEN starts_with(role, 'assistant') OR contains(role, ' assistant') THEN turn END) OVER (PARTITION BY conv_id) AS hit FROM conversations),
-p AS (SELECT conv_id, CASE WHEN hit IS NULL OR turn < hit - 1 THEN 1 ELSE 2 END AS part, count(*) AS lines FROM h GROUP BY ALL),
-m AS (SELECT conv_id FROM p GROUP BY conv_id HAVING min(lines) >= 2)
-SELECT conv_id, part, lines FROM p WHERE conv_id IN (SELECT conv_id FROM m)""",
+    "split_block": f"""WITH {PARTS} SELECT conv_id, part, count(*) AS lines, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM p GROUP BY ALL""",
+    "split_void_both": f"""WITH {PARTS}, g AS (SELECT conv_id, part, count(*) AS lines, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM p GROUP BY ALL),
+m AS (SELECT conv_id FROM g GROUP BY conv_id HAVING min(lines) >= 2)
+SELECT conv_id, part, lines, text_md5 FROM g WHERE conv_id IN (SELECT conv_id FROM m)""",
     "number_tokens": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' '))))::INT AS word_no FROM l)
 SELECT doc_id, line_no, word_no, replace(word, ',', '')::DOUBLE AS value FROM w WHERE regexp_matches(word, {NUM})""",
     "nearest_value": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS word_no FROM l),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("marlstone.plans.line_queries", "marlstone.plans.graph_queries", "marlstone.plans.licence_queries", "marlstone.plans.export_queries", "marlstone.plans.lexicon_queries", "marlstone.plans.source_queries")
+MODULES = (
+    "marlstone.plans.line_queries", "marlstone.plans.graph_queries", "marlstone.plans.licence_queries", "marlstone.plans.export_queries",
+    "marlstone.plans.lexicon_queries", "marlstone.plans.source_queries", "marlstone.plans.variant_queries",
+)
 
 
 def queries() -> dict:
