@@ -25,11 +25,11 @@ from marlstone.operators.lines import BLOCK_END, BLOCK_START
 from marlstone.operators.persons import persons
 from marlstone.operators.spelling import spellings
 from marlstone.operators.stages import settled
-from marlstone.plans.catalogue import FlatLabel, Label, flatten
+from marlstone.plans.catalogue import FORMATS, POSITIONS, FlatLabel, Label, flatten
 
 LABEL = (
-    "struct<label_id:int,group:string,texts:array<string>,low:array<string>,starts:boolean,match_all:boolean,position:string,format:string,"
-    "ends:array<string>,ends_block:boolean,must_contain:array<string>,possibilities:array<string>,many:boolean,include:boolean,"
+    "struct<label_id:int,group:string,texts:array<string>,low:array<string>,spaced:array<string>,starts:boolean,match_all:boolean,position:string,format:string,"
+    "ends:array<string>,ends_spaced:array<string>,ends_block:boolean,must_contain:array<string>,possibilities:array<string>,many:boolean,include:boolean,"
     "previous:int,following:int,rules:array<struct<pattern:string,literal:string,anchored:boolean,whole:boolean>>>"
 )
 PLACE = f"struct<ord:int,kind:string,mode:string,source:{X.LINES},backwards:boolean>"
@@ -60,14 +60,22 @@ def _label_row(f: FlatLabel) -> dict:
     x: Label = f.label
     texts = [t for t in x.texts if t != BLOCK_START]
     return {
-        "label_id": f.label_id, "group": f.group, "texts": texts, "low": [t.lower() for t in texts], "starts": BLOCK_START in x.texts,
+        "label_id": f.label_id, "group": f.group, "texts": texts, "low": [t.lower() for t in texts],
+        "spaced": [" " + t.lower() for t in texts], "starts": BLOCK_START in x.texts,
         "match_all": x.match_all, "position": x.position, "format": x.format, "ends": [t for t in x.ends if t != BLOCK_END],
+        "ends_spaced": [" " + t.lower() for t in x.ends if t != BLOCK_END],
         "ends_block": BLOCK_END in x.ends, "must_contain": [t.lower() for t in x.must_contain], "possibilities": list(x.possibilities),
         "many": x.multiple != "first", "include": x.include_label_text, "previous": x.previous, "following": x.following,
         "rules": [_rule(r.pattern, r.anchored, r.whole_line) for r in x.removes],
     }
 
 
+def _spaced(text: Column) -> Column:
+    """The text in lower case after a blank: it holds a label in that form exactly where the line
+    matches the label, so that each line is lowered once and each match is one search."""
+    return F.concat(F.lit(" "), F.lower(text))
+
+
 def _literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
 
@@ -100,15 +108,15 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
     that matches it, the text that did, the line and its frames."""
     flat = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
     labelled = (
-        segments.withColumns({"_flat": flat, "_labels": labels})
+        segments.withColumns({"_flat": flat, "_labels": labels, "_spaced": F.transform("lines", lambda x: _spaced(x["text"]))})
         .withColumn("l", F.explode(F.filter("_labels", lambda x: x["starts"] | (x["position"] == "split") | (F.size(x["low"]) == 0) | F.exists(x["low"], lambda t: F.contains(F.col("_flat"), t)))))
         .drop("_flat", "_labels")
     )
     n, split = F.size("lines"), F.col("l.position") == "split"
-    first = lambda text: F.get(F.filter(F.col("l.texts"), lambda t: T.label_matches(text, t)), F.lit(0))
+    first = lambda line: F.get(F.filter(F.col("l.texts"), lambda t, k: F.contains(line, F.get("l.spaced", k))), F.lit(0))
     found = F.transform(
         "lines",
-        lambda x, i: F.when((F.trim(x["text"]) != "") & (F.size("l.texts") > 0), first(x["text"])),
+        lambda x, i: F.when((F.trim(x["text"]) != "") & (F.size("l.texts") > 0), T.let(F.get("_spaced", i), first)),
     )
     shown = F.transform(
         F.arrays_zip(F.col("_found").alias("m"), F.col("lines").alias("x")),
@@ -144,8 +152,9 @@ def hits(segments: DataFrame, labels: Column) -> DataFrame:
     return out.withColumn("_near", near).filter(~F.col("l.match_all") | every).drop("_near")
 
 
-def places(found: DataFrame) -> DataFrame:
-    """Where values of each hit may stand, in order; one row a place."""
+def places(found: DataFrame, positions: Sequence[str] = POSITIONS) -> DataFrame:
+    """Where values of each hit may stand, in order; one row a place. ``positions`` are those that
+    occur."""
     carried = _carried(found)
     known = T.knows(F.col("spelling")) if "spelling" in carried else None
     position, text, no = F.col("l.position"), F.col("line.text"), F.col("line.line_no")
@@ -156,7 +165,8 @@ def places(found: DataFrame) -> DataFrame:
             F.when(position.isin(*BEFORE_SIDE), _as_line(T.text_before(text, F.col("_inside")), no)),
         )
     )
-    block_end = F.array_position(F.transform("next", lambda x: F.exists("l.ends", lambda e: T.label_matches(x["text"], e))), True).cast("int")
+    ends = lambda line: F.exists("l.ends_spaced", lambda e: F.contains(line, e))
+    block_end = F.when(position == "between", F.array_position(F.transform("next", lambda x: T.let(_spaced(x["text"]), ends)), True).cast("int"))
     starts = F.col("matched") == BLOCK_START
     after = F.when(starts, text).otherwise(T.text_after(text, F.col("matched")))
     head = F.when(F.col("_after") != "", F.array(_as_line(F.col("_after"), no))).otherwise(X.none())
@@ -170,7 +180,7 @@ def places(found: DataFrame) -> DataFrame:
     contained = F.get(F.filter("l.must_contain", lambda t: F.contains(F.col("_low"), t)), F.lit(0))
     rows = (
         found.withColumns({"_inside": inside, "_end": block_end, "_after": after})
-        .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"], known))})
+        .withColumns({"_sides": F.filter(sides, lambda x: x["text"].isNotNull() & (x["text"] != "")), "_block": F.when(position == "between", F.filter(F.concat(head, body), lambda x: ~T.looks_corrupted(x["text"], known))).otherwise(X.none())})
         .withColumn("_named", named).withColumn("_low", low).withColumn("_held", held)
         .withColumns({"_ended": ended, "_contains": contained})
     )
@@ -193,7 +203,7 @@ def places(found: DataFrame) -> DataFrame:
         "far_around": F.when(F.col("l.format") == "date_or_purpose", F.col("previous")).otherwise(F.concat(F.reverse("previous"), "next")),
     }
     framed = _none()
-    for name, steps in FRAMES.items():
+    for name, steps in ((p, s) for p, s in FRAMES.items() if p in positions):
         made = F.array(*[_place(4 + k, kind, "typed", F.filter(frames[f], lambda x: F.trim(x["text"]) != ""), f == "previous") for k, (f, kind) in enumerate(steps)])
         framed = F.when(position == name, made).otherwise(framed)
     around = F.concat("previous", F.array("line"), "next")
@@ -213,9 +223,10 @@ def places(found: DataFrame) -> DataFrame:
     )
 
 
-def values(rows: DataFrame, first_names: Sequence[str] | None = None, is_ocr: bool = False) -> DataFrame:
+def values(rows: DataFrame, first_names: Sequence[str] | None = None, is_ocr: bool = False, formats: Sequence[str] = FORMATS) -> DataFrame:
     """The typed value of each place; places without one are dropped. Where rows carry a spelling,
-    OCR lines are corrected before the test of names, and vocabularies meet corrected lines too."""
+    OCR lines are corrected before the test of names, and vocabularies meet corrected lines too.
+    ``formats`` are those that occur, so that no other one becomes part of the plan."""
     spelling = F.col("spelling") if "spelling" in rows.columns else None
     known = None if spelling is None else T.knows(spelling)
     source, fmt, vocab = F.col("p.source"), F.col("l.format"), F.size("l.possibilities") > 0
@@ -225,13 +236,16 @@ def values(rows: DataFrame, first_names: Sequence[str] | None = None, is_ocr: bo
     got = (
         F.when(F.col("p.mode") == "take", source).when(F.col("p.mode") == "related", numeric)
         .when(listed, X.vocabulary(source, F.col("l.possibilities"), spelling))
-        .when(fmt == "number", X.numbers(source, known))
-        .when(fmt == "licence_number", X.licence_numbers(source, F.col("l.many"), known))
-        .when(fmt == "company", X.names(source, F.col("p.backwards"), words, spelling, is_ocr))
-        .when(fmt == "date_or_purpose", X.dates_or_purposes(source))
-        .when(fmt == "single_word", X.single_word(source))
-        .otherwise(X.whole_line(source))
     )
+    typed = {
+        "number": lambda: X.numbers(source, known), "licence_number": lambda: X.licence_numbers(source, F.col("l.many"), known),
+        "company": lambda: X.names(source, F.col("p.backwards"), words, spelling, is_ocr), "date_or_purpose": lambda: X.dates_or_purposes(source),
+        "single_word": lambda: X.single_word(source),
+    }
+    for name, read in typed.items():
+        if name in formats:
+            got = got.when(fmt == name, read())
+    got = got.otherwise(X.whole_line(source))
     entry = F.when(listed & ~F.col("p.mode").isin("take", "related"), F.get("inner", F.lit(0))["text"])
     return rows.withColumn("inner", got).filter("size(inner) > 0").withColumn("matched_vocab", entry)
 
@@ -251,9 +265,12 @@ def _removed(text: Column) -> Column:
     return T.trim_formatting(F.aggregate("l.rules", text, step))
 
 
-def nodes_of(segments: DataFrame, labels: Column, first_names: Sequence[str] | None, is_ocr: bool = False) -> DataFrame:
-    """All candidate nodes of one level."""
-    found = values(places(hits(segments, labels)), first_names, is_ocr)
+def nodes_of(
+    segments: DataFrame, labels: Column, first_names: Sequence[str] | None, is_ocr: bool = False, here: Sequence[Label] | None = None
+) -> DataFrame:
+    """All candidate nodes of one level, whose labels are ``here`` (any where it is not given)."""
+    formats = FORMATS if here is None else {x.format for x in here}
+    found = values(places(hits(segments, labels), POSITIONS if here is None else {x.position for x in here}), first_names, is_ocr, formats)
     cleaned = F.filter(F.transform("inner", lambda x: _as_line(_removed(x["text"]), x["line_no"])), lambda x: x["text"] != "")
     ruled = (F.size("l.rules") > 0) & F.col("l.format").isin("text", "company") & (F.col("l.position") != "split")
     texts = F.when(ruled, cleaned).otherwise(F.col("inner"))
@@ -391,13 +408,14 @@ def extract(
     segments = docs.select("doc_id", *_carried(docs), F.lit(None).cast("string").alias("parent_id"), "lines")
     depth = max((f.depth for f in flat), default=0)
     few = None if listed is not None else first_names
-    level = nodes_of(segments, labels(F.lit("None")), few, is_ocr)
+    at = lambda d: [f.label for f in flat if f.depth == d]
+    level = nodes_of(segments, labels(F.lit("None")), few, is_ocr, at(0))
     level = settled(level) if depth else level
     found = level
-    for _ in range(depth):
+    for d in range(1, depth + 1):
         segments = level.filter(F.col("label_id").cast("string").isin(*catalogue)).select(
             "doc_id", *_carried(level), F.col("node_id").alias("parent_id"), F.col("inner").alias("lines"), F.col("label_id").cast("string").alias("_key")
         )
-        level = settled(nodes_of(segments, labels(F.col("_key")), few, is_ocr))
+        level = settled(nodes_of(segments, labels(F.col("_key")), few, is_ocr, at(d)))
         found = found.unionByName(level)
     return settle(found.drop("spelling", "persons"), flat).withColumns({"is_ocr": F.lit(is_ocr), "service": F.lit(service)})
