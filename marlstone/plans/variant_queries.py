@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import extract as E
 from marlstone.operators import results as R
+from marlstone.operators.stages import dealt
 from marlstone.plans.licence_catalogue import GROUPS
 from marlstone.plans.licence_queries import NUMBER
 from marlstone.plans.line_queries import read
@@ -50,7 +51,8 @@ def shaped_licences(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id`` and ``text``: a document for each customer, in the shape of its number."""
     texts = [F.concat_ws("\n", *[F.concat(*[F.expr(p).cast("string") for p in line]) for line in shape]) for shape in SHAPES]
     chosen = F.element_at(F.array(*texts), (F.col("c_custkey") % len(SHAPES) + 1).cast("int"))
-    return read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), chosen.alias("text"))
+    keys = dealt(read(spark, sf, "customer").select("c_custkey"), most=10_000)
+    return keys.select(F.col("c_custkey").cast("long").alias("doc_id"), chosen.alias("text"))
 
 
 def q_licence_shapes(spark, sf):

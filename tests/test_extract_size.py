@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import extract as E
 from marlstone.operators.stages import dealt
 from marlstone.plans import licence_queries as L
+from marlstone.plans import variant_queries as V
 from marlstone.plans.catalogue import Label, flatten
 
 
@@ -46,3 +47,7 @@ def test_items_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "dealt", lambda rows, *keys, most: seen.append((keys, most)) or dealt(rows, *keys, most=most))
     L.label_lines(spark, "/root/testdata/sf0.001")
     assert seen == [(("l_orderkey",), 200_000)]
+
+
+def test_shaped_licences_are_many_tasks(spark):
+    assert V.shaped_licences(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
