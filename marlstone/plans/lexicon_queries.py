@@ -10,6 +10,7 @@ from marlstone.functions.wordlists import UNITS
 from marlstone.operators import extract as E
 from marlstone.operators import results as R
 from marlstone.operators import spelling as S
+from marlstone.operators.stages import dealt
 from marlstone.plans.catalogue import Label
 from marlstone.plans.line_queries import read
 
@@ -46,7 +47,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
     lines = [F.lit("Licensed to"), chosen(6, [line(a) for a, _ in SHAPES]), chosen(6, [line(b) for _, b in SHAPES])]
     lines.append(F.concat(F.lit("Rate "), key.cast("string"), F.lit(" "), chosen(4, map(F.lit, UNIT)), F.lit(" a day")))
-    return read(spark, sf, "customer").select(key.cast("long").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    rows = dealt(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), most=10_000)
+    return rows.select(key.cast("long").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 def _values(found: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import extract as E
 from marlstone.operators.stages import dealt
+from marlstone.plans import lexicon_queries as X
 from marlstone.plans import licence_queries as L
 from marlstone.plans import variant_queries as V
 from marlstone.plans.catalogue import Label, flatten
@@ -51,3 +52,7 @@ def test_items_are_dealt_by_their_rows(spark, monkeypatch):
 
 def test_shaped_licences_are_many_tasks(spark):
     assert V.shaped_licences(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lexicon_pages_are_many_tasks(spark):
+    assert X.pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
