@@ -56,3 +56,8 @@ def test_shaped_licences_are_many_tasks(spark):
 
 def test_lexicon_pages_are_many_tasks(spark):
     assert X.pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nodes_settle_with_one_sort(spark):
+    plan = L.q_label_positions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Window ") >= 3 and plan.count(" Sort ") == 1
