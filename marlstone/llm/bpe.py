@@ -135,16 +135,18 @@ class ByteBpe(PieceCodec):
         self.automaton.make_automaton()
         for t, i in self.added.items():
             self.bytes_of.setdefault(i, t.encode())
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        #: Two tokens as one number -> whether the second may follow the first.
+        self.pairs: dict[int, bool] = {}
         self.pretokens = Pieces(self._ids)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= 2 * CACHE_ENTRIES:
                 self.pairs.clear()
-            self.pairs[a, b] = known = (a, b) not in self.rank and self._holds(a, b)
+            self.pairs[a << 32 | b] = known = (a, b) not in self.rank and self._holds(a, b)
         return known
 
     def _holds(self, a: int, b: int) -> bool:
@@ -186,28 +188,34 @@ class ByteBpe(PieceCodec):
         return known
 
     def _ids(self, pretoken: str) -> bytes:
-        data = pretoken.encode("utf-8").decode("latin-1")
+        data = pretoken if pretoken.isascii() else pretoken.encode("utf-8").decode("latin-1")
         if (token := self.id_of.get(data)) is not None:
             return pack([token])
-        last, size, pairs = [-1] * (len(data) + 1), [0] * (len(data) + 1), self.pairs
+        # the token that ends the encoding of each prefix, by the place of its last byte
+        last, known_pair, fits = [-1] * len(data), self.pairs.get, self.fits
         for end, (n, token) in self.automaton.iter(data):
-            end += 1
             if last[end] < 0:
-                if end == n:
-                    last[end], size[end] = token, n
+                if n > end:
+                    last[end] = token
                 elif (before := last[end - n]) >= 0:
-                    known = pairs.get((before, token))
-                    if known or known is None and self.fits(before, token):
-                        last[end], size[end] = token, n
-        out, at = [], len(data)
-        while at:
-            if not size[at]:
+                    known = known_pair(before << 32 | token)
+                    if known or known is None and fits(before, token):
+                        last[end] = token
+        out, at, length = [], len(data) - 1, self.length
+        while at >= 0:
+            if (token := last[at]) < 0:
                 raise ValueError("the vocabulary lacks a token for a byte")
-            out.append(last[at])
-            at -= size[at]
+            out.append(token)
+            at -= length[token]
         out.reverse()
         return pack(out)
 
+    def _even(self, piece: str, before: str) -> bytes:
+        # such a piece is one pretoken, which the cache of pieces remembers
+        if piece.isascii() and piece.isalpha():
+            return self._ids(before + piece)
+        return super()._even(piece, before)
+
     def split(self, text: str) -> bytes:
         return b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(text)))
 

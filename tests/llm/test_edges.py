@@ -212,3 +212,16 @@ def test_stage_edges(spark, tmp_path, k):
         assert not {30, 31, 32, 35} & {r.doc_id for r in got}
     nulls = spark.createDataFrame([(1, *[None] * 9)], DOCS)
     assert {r.doc_id for r in stage(spark, nulls, str(tmp_path)).collect()} <= {1}
+
+
+def test_a_word_of_letters_is_remembered_once():
+    """It is one pretoken: its ids are worked out without the pattern and kept in one cache, not in two."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from marlstone.llm import bpe
+
+    path = bpe.default_vocabulary()
+    codec, text = bpe.ByteBpe(path), "Unverbriefte words xqzvplk stay whole don't x9 été"
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not {" words", " xqzvplk", "Unverbriefte"} & set(codec.pretokens)
