@@ -8,6 +8,7 @@ from marlstone.plans import lexicon_queries as X
 from marlstone.plans import licence_queries as L
 from marlstone.plans import variant_queries as V
 from marlstone.plans.catalogue import Label, flatten
+from marlstone.plans.licence_catalogue import GROUPS
 
 
 def _nodes(spark, text, label):
@@ -61,3 +62,24 @@ def test_lexicon_pages_are_many_tasks(spark):
 def test_nodes_settle_with_one_sort(spark):
     plan = L.q_label_positions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count(" Window ") >= 3 and plan.count(" Sort ") == 1
+
+
+def test_licences_settle_with_few_windows(spark):
+    docs = E.documents_as_lines(L.licences(spark, "/root/testdata/sf0.001"))
+    plan = E.extract(docs, GROUPS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Window ") <= 14 and plan.count(" Sort ") == 1
+
+
+def test_expressions_of_a_level_are_built_once(spark):
+    makers = (E._hit_columns, E._node_columns)
+    before = [make() for make in makers]
+    found = _nodes(spark, "Total 5", Label(name="Total", texts=("Total",), format="number"))
+    assert [r.texts[0].text for r in found.collect()] == ["5"]
+    assert all(make() is old for make, old in zip(makers, before, strict=True))
+
+
+def test_joined_values_of_named_hits_leave_block_starts_out(spark):
+    label = Label(name="Part", texts=(E.BLOCK_START, "Part"), ends=(E.BLOCK_END,), position="between", multiple="joined")
+    docs = E.documents_as_lines(spark.createDataFrame([(1, "top\nPart a\nPart b"), (2, "top\nend")], "doc_id long, text string"))
+    got = {r.doc_id: [t.text for t in r.texts] for r in E.extract(docs, [("G", [label])]).collect()}
+    assert got == {1: ["a", "Part b", "b"], 2: ["top", "end"]}
