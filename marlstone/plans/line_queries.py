@@ -11,6 +11,7 @@ from marlstone.functions import text as T
 from marlstone.functions import wordlists as L
 from marlstone.operators import lines as O
 from marlstone.operators import results as R
+from marlstone.operators.stages import dealt
 from marlstone.sources import lines as S
 
 NOTICES = ("licensed under", "released under", "all rights reserved")
@@ -51,8 +52,9 @@ def q_blank_predicate(spark, sf):
 
 
 def q_collapse_blank(spark, sf):
-    docs = read(spark, sf, "conversations").withColumn("text", F.regexp_replace("text", " ", "\n\n"))
-    turns = docs.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    # turns are dealt by what their lines are grouped by, so that lines are not shuffled and a task holds a bounded number
+    rows = dealt(read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text"), "key", most=5_000)
+    turns = rows.withColumn("text", F.regexp_replace("text", " ", "\n\n"))
     out = O.trimmed_blocks(S.from_documents(turns, "key"), collapse=True)
     return out.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("lines"), F.count_if(F.col("text") == "").alias("empty_lines"), text_hash())
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import extract as E
 from marlstone.operators.stages import dealt
 from marlstone.plans import lexicon_queries as X
+from marlstone.plans import line_queries as Q
 from marlstone.plans import licence_queries as L
 from marlstone.plans import variant_queries as V
 from marlstone.plans.catalogue import Label, flatten
@@ -83,3 +84,8 @@ def test_joined_values_of_named_hits_leave_block_starts_out(spark):
     docs = E.documents_as_lines(spark.createDataFrame([(1, "top\nPart a\nPart b"), (2, "top\nend")], "doc_id long, text string"))
     got = {r.doc_id: [t.text for t in r.texts] for r in E.extract(docs, [("G", [label])]).collect()}
     assert got == {1: ["a", "Part b", "b"], 2: ["top", "end"]}
+
+
+def test_turns_are_dealt_before_they_become_lines(spark):
+    plan = Q.q_collapse_blank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
