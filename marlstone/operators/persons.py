@@ -25,11 +25,14 @@ def persons(docs: DataFrame, first_names: DataFrame, spelling: DataFrame | None
     names = settled(
         first_names.select(name.alias("name")).filter("name <> ''").distinct().withColumn("word", F.element_at(F.split("name", " "), 1))
     )
-    whole = docs.select("doc_id", F.explode("lines.text").alias("text")).filter("text <> ''").withColumn("text", F.lower("text"))
-    marked = F.transform(F.split("text", " ", -1), lambda w: F.array(w, T.trim_formatting(w)))
-    letters = F.regexp_extract_all("text", F.lit(NAME_LETTERS), F.lit(0))
-    words = whole.select("doc_id", F.explode(F.array_distinct(F.concat(F.flatten(marked), letters))).alias("word"))
+    def read(text):
+        marked = F.transform(F.split(text, " ", -1), lambda w: F.array(w, T.trim_formatting(w)))
+        return F.concat(F.flatten(marked), F.regexp_extract_all(text, F.lit(NAME_LETTERS), F.lit(0)))
+
+    # words of a document meet in its row, so that they need no shuffle to be distinct
+    low = F.filter(F.transform("lines", lambda x: F.lower(x["text"])), lambda t: t != "")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(low, read)))).alias("word"))
     if spelling is not None:
         fixed = F.concat(F.coalesce("spelling.joined", F.array()), F.coalesce(F.map_values("spelling.better"), F.array()))
         words = words.union(spelling.select("doc_id", F.explode(fixed).alias("word")))
-    return words.distinct().join(names, "word").groupBy("doc_id").agg(F.collect_set("name").alias("persons"))
+    return words.join(names, "word").groupBy("doc_id").agg(F.collect_set("name").alias("persons"))

@@ -96,7 +96,8 @@ def q_first_names(spark, sf):
     word = F.element_at(F.split("p_name", " "), 1)
     name = F.when(brand.endswith("b"), brand).when(brand.endswith("c") & word.rlike("^[ls]"), F.concat_ws(" ", brand, word))
     holder = F.concat_ws(" ", F.when(F.col("p_size") % 2 == 1, "Kaz"), brand, "p_name")
-    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Licensed to\n"), holder, F.lit("\nof the lane")).alias("text"))
+    rows = dealt(part.select("p_partkey", "p_brand", "p_name", "p_size"), most=10_000)
+    docs = rows.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Licensed to\n"), holder, F.lit("\nof the lane")).alias("text"))
     found = E.extract(E.documents_as_lines(docs), [("Holder", [HOLDER])], part.select(name.alias("name")))
     return _values(found).select("doc_id", "line_no", "value")
 

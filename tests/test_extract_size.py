@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marlstone.operators import extract as E
+from marlstone.operators.persons import persons
 from marlstone.operators.stages import dealt
 from marlstone.plans import lexicon_queries as X
 from marlstone.plans import line_queries as Q
@@ -89,3 +90,18 @@ def test_joined_values_of_named_hits_leave_block_starts_out(spark):
 def test_turns_are_dealt_before_they_become_lines(spark):
     plan = Q.q_collapse_blank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_words_of_a_document_are_distinct_without_a_shuffle(spark):
+    docs = E.documents_as_lines(spark.createDataFrame([(1, "Ann Bell\nann (ann) Lee"), (2, ""), (3, "nobody")], "doc_id long, text string"))
+    found = persons(docs, spark.createDataFrame([("Ann Bell",), ("lee",), (" ",), (None,)], "name string"))
+    assert {r.doc_id: sorted(r.persons) for r in found.collect()} == {1: ["ann bell", "lee"]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert " HashAggregate" not in plan
+
+
+def test_parts_are_dealt_before_they_become_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "dealt", lambda rows, most: seen.append(most) or dealt(rows, most=most))
+    X.q_first_names(spark, "/root/testdata/sf0.001")
+    assert seen == [10_000]
