@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,10 @@ PRETOKEN = regex.compile(
 #: bytes (some 60 MB). Longer pieces are worked out each time.
 CACHE_ENTRIES = 100_000
 CACHED_LENGTH = 48
+#: Texts are encoded together up to this many bytes; a longer one is encoded alone.
+SLICE_BYTES = 8 << 20
+#: Below this code point a text of letters is one run of the pattern, whatever the Unicode version.
+LATIN = "\u0250"
 FAR = 1 << 60
 
 
@@ -113,6 +118,12 @@ class PieceCodec:
         return b"".join([*out, self._plain_text(text[at:])])
 
 
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first`` and are ``n`` long, one run after another."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class ByteBpe(PieceCodec):
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -129,24 +140,32 @@ class ByteBpe(PieceCodec):
         self.sound: dict[int, bool] = {}
         #: Only tokens that their own bytes encode to can end an encoding.
         self.id_of = {b.decode("latin-1"): i for i, b in self.bytes_of.items() if self.whole(i)}
+        #: Token -> token before it -> whether it may follow that one; and how many such pairs are known.
+        self.after: dict[int, dict[int, bool]] = {i: {} for i in self.id_of.values()}
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id_of.items():
-            self.automaton.add_word(t, (len(t), i))
+            self.automaton.add_word(t, (len(t), i, self.after[i]))
         self.automaton.make_automaton()
         for t, i in self.added.items():
             self.bytes_of.setdefault(i, t.encode())
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
-        #: Two tokens as one number -> whether the second may follow the first.
-        self.pairs: dict[int, bool] = {}
+        #: All tokens' bytes in a row, and where each token's begin and how many they are.
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)), np.uint8)
+        self.size = np.array([self.length.get(i, 0) for i in range(max(self.bytes_of) + 1)], np.int32)
+        self.at = np.cumsum(self.size, dtype=np.int32) - self.size
         self.pretokens = Pieces(self._ids)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``."""
-        known = self.pairs.get(a << 32 | b)
+        known = self.after[b].get(a)
         if known is None:
-            if len(self.pairs) >= 2 * CACHE_ENTRIES:
-                self.pairs.clear()
-            self.pairs[a << 32 | b] = known = (a, b) not in self.rank and self._holds(a, b)
+            if self.pairs >= 2 * CACHE_ENTRIES:
+                for seen in self.after.values():
+                    seen.clear()
+                self.pairs = 0
+            self.after[b][a] = known = (a, b) not in self.rank and self._holds(a, b)
+            self.pairs += 1
         return known
 
     def _holds(self, a: int, b: int) -> bool:
@@ -192,13 +211,13 @@ class ByteBpe(PieceCodec):
         if (token := self.id_of.get(data)) is not None:
             return pack([token])
         # the token that ends the encoding of each prefix, by the place of its last byte
-        last, known_pair, fits = [-1] * len(data), self.pairs.get, self.fits
-        for end, (n, token) in self.automaton.iter(data):
+        last, fits = [-1] * len(data), self.fits
+        for end, (n, token, after) in self.automaton.iter(data):
             if last[end] < 0:
                 if n > end:
                     last[end] = token
                 elif (before := last[end - n]) >= 0:
-                    known = known_pair(before << 32 | token)
+                    known = after.get(before)
                     if known or known is None and fits(before, token):
                         last[end] = token
         out, at, length = [], len(data) - 1, self.length
@@ -219,9 +238,51 @@ class ByteBpe(PieceCodec):
     def split(self, text: str) -> bytes:
         return b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(text)))
 
+    def _unit(self, piece: str, before: str) -> bytes | None:
+        """The ids of a piece between single blanks; none where white space touches its ends."""
+        if piece.isalpha():
+            return self.pretokens[before + piece] if max(piece) < LATIN else self.split(before + piece)
+        return None if not piece or piece[0].isspace() or piece[-1].isspace() else self.split(before + piece)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """:meth:`encode` of each text. Pieces between blanks that texts share are encoded once for
+        all texts of a slice, and each text's ids are gathered from them."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = int(np.searchsorted(ends, SLICE_BYTES + (ends[at - 1] if at else 0), "right"))
+            stop = max(stop, at + 1)
+            yield from self._slice(texts[at:stop])
+            at = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        row_of = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+        pieces = pc.list_flatten(parts).dictionary_encode()
+        units = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pieces.dictionary.to_pylist()
+        # a text begins without a blank, so its first piece is a unit of its own
+        begins = np.searchsorted(row_of, np.arange(len(texts) + 1))
+        firsts, place = np.unique(units[begins[:-1]], return_inverse=True)
+        packed = [self._unit(w, " ") for w in words] + [self._unit(words[k], "") for k in firsts]
+        units[begins[:-1]] = len(words) + place
+        uneven = np.zeros(len(texts), bool)
+        uneven[row_of[np.array([p is None for p in packed])[units]]] = True
+        for t in self.added:
+            uneven |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        n = np.array([len(p or b"") // 4 for p in packed])
+        first, ids = np.cumsum(n) - n, np.frombuffer(b"".join(p or b"" for p in packed), "<u4")
+        for k in range(len(texts)):
+            if uneven[k]:
+                yield self.encode(texts[k].as_py())
+            else:
+                here = units[begins[k] : begins[k + 1]]
+                yield ids[_ragged(first[here], n[here])].tobytes()
+
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").tolist()
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.frombuffer(packed, "<u4")
+        return self.flat[_ragged(self.at[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -244,7 +305,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and
     ``ids`` (little-endian unsigned 32-bit) unless ``with_ids`` is off.
 
-    A map over Arrow batches without a shuffle: memory is one batch and caches of bounded bytes.
+    A map over Arrow batches without a shuffle: memory is one batch, one slice's pieces and caches of bounded bytes.
     Null text counts as empty (no tokens). Whole texts are encoded, however long; repeated rows
     and ids give a row each; an empty table gives no rows; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -254,8 +315,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         bpe = codec(path)
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
-            for text in batch.column(1):
-                packed = bpe.encode(text.as_py())
+            for packed in bpe.encode_all(batch.column(1)):
                 n.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(packed).encode("utf-8")).hexdigest())

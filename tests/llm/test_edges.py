@@ -225,3 +225,29 @@ def test_a_word_of_letters_is_remembered_once():
     codec, text = bpe.ByteBpe(path), "Unverbriefte words xqzvplk stay whole don't x9 été"
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert not {" words", " xqzvplk", "Unverbriefte"} & set(codec.pretokens)
+
+
+def test_texts_of_a_slice_share_their_pieces():
+    """A piece is worked out once for all texts of a slice, however long it is; odd texts are encoded alone."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marlstone.llm import bpe
+
+    path, long = bpe.default_vocabulary(), "xqz" * 40
+    codec, library, seen = bpe.ByteBpe(path), Tokenizer.from_file(path), []
+    texts = [f"{long} été, naïve. {long} \u00aa", None, "", " ", f"one  two {long}", "line\nend of it's", " x", "y ", "a <|endoftext|> b", "東京 x９ \u0250z"] + [f"{long} and {long}"] * 5
+    work = codec.pretokens.work
+    codec.pretokens.work = lambda piece: seen.append(piece) or work(piece)
+    for size in (1, 300, 8 << 20):
+        bpe.SLICE_BYTES, was = size, bpe.SLICE_BYTES
+        try:
+            got = list(codec.encode_all(pa.array(texts)))
+        finally:
+            bpe.SLICE_BYTES = was
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [codec.decode(g) for g in got] == [t or "" for t in texts]
+    seen.clear()
+    list(codec.encode_all(pa.array(texts[-5:])))
+    assert sorted(seen) == [" " + long, long]
