@@ -470,7 +470,7 @@ def with_words(docs: DataFrame, flat: list[FlatLabel], lexicon: DataFrame | None
 
 def extract(
     docs: DataFrame, groups: Sequence[tuple[str, Sequence[Label]]], first_names: DataFrame | Sequence[str] | None = None, is_ocr: bool = False,
-    service: str = "native", lexicon: DataFrame | None = None,
+    service: str = "native", lexicon: DataFrame | None = None, wanted: Sequence[str] | None = None,
 ) -> DataFrame:
     """All matches of a catalogue in ``docs`` (``doc_id``, ``lines``): a row for each node with
     ``group``, ``node_id``, ``parent_id``, ``label_id``, ``name``, ``line_no``, ``match_type``,
@@ -480,8 +480,9 @@ def extract(
     corrected lines, and, for OCR, lines are corrected before the test of names; a word that a
     label's text cuts counts as known. ``first_names`` is a table (``name``) of any length, which is
     joined to the words of documents, or a few names, which become part of the plan. Linked licences are followed by
-    :func:`marlstone.operators.links.closure`, so their labels give no rows here."""
-    flat = flatten(groups)
+    :func:`marlstone.operators.links.closure`, so their labels give no rows here. With ``wanted``, the rows are those
+    of these groups and the same as without: no group depends on another, so the others are not searched."""
+    flat = [f for f in flatten(groups) if wanted is None or f.group in wanted]
     catalogue: dict[str, list[dict]] = {}
     for f in flat:
         if f.label.format != "linked_licence":
