@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.extractors import LINES
 from marlstone.operators.extract import extract, gather_lines
-from marlstone.operators.stages import settled
+from marlstone.operators.stages import dealt, settled
 from marlstone.plans.catalogue import Label
 
 
@@ -70,6 +70,8 @@ def extract_by_cost(
             lines = lines.join(below, "doc_id", "left").select(
                 "doc_id", F.concat(F.coalesce("_below", F.array().cast(LINES)), F.col("lines").cast(LINES)).alias("lines")
             )
+        # lines are few bytes, so that adaptive execution would leave them to one task
+        lines = dealt(settled(lines), most=10_000)
         here = extract(lines, groups, first_names, engine.is_ocr, engine.name, lexicon)
         here = settled(here.join(missing, ["doc_id", "group"], "left_semi"))
         found = here if found is None else found.unionByName(here)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.operators import engines as N
 from marlstone.operators.engines import Engine, by_cost, cached, extract_by_cost
 from marlstone.operators.extract import gather_lines
 from marlstone.plans.catalogue import Label
@@ -76,3 +77,16 @@ def test_a_document_that_comes_again_has_one_result(spark, tmp_path):
     spark.createDataFrame([("a", "half")], "doc_id string, word string").write.parquet(f"{out}/results/batch=3")
     assert sorted((r.doc_id, r.word) for r in latest(spark, out).collect()) == [("a", "four"), ("c", "five")]
     assert arrive(a="six") == [("a", "six"), ("c", "five")]
+
+
+def test_every_round_is_dealt_to_all_cores(spark, monkeypatch):
+    """However few bytes the lines of an engine are."""
+    tasks, was = [], N.extract
+    monkeypatch.setattr(N, "extract", lambda lines, *a: tasks.append(lines.rdd.getNumPartitions()) or was(lines, *a))
+    docs = spark.range(400).withColumnRenamed("id", "doc_id")
+    rows = docs.selectExpr("doc_id", "0 AS line_no", "concat('Total ', doc_id) AS text")
+    found = N.extract_by_cost(
+        docs, [N.cached("cheap", 1, rows.filter("doc_id % 2 = 0")), N.cached("dear", 2, rows)], [("Total", [Label(name="Total", texts=("Total",), format="number")])]
+    )
+    assert {(r.doc_id, r.texts[0].text, r.service) for r in found.collect()} == {(k, str(k), "dear" if k % 2 else "cheap") for k in range(400)}
+    assert len(tasks) == 2 and min(tasks) >= spark.sparkContext.defaultParallelism
