@@ -166,3 +166,14 @@ def test_limits_pivot(spark):
     rows = [(1, 1, "day", "value", "475"), (1, 1, "day", "units", "litres"), (1, 2, "year", "value", "9")]
     got = R.limits_pivot(spark.createDataFrame(rows, "doc_id int, block int, period string, kind string, value string"), ["day", "year"]).orderBy("block").collect()
     assert [tuple(r) for r in got] == [(1, 1, "475", "litres", None, None), (1, 2, None, None, "9", None)]
+
+
+def test_year_inside_a_licence_number_is_no_date(spark):
+    from marlstone.functions import extractors as X
+
+    texts = ["under licence number 28/39/00/1985", "28/39/00/1985 since 1990", "on 01/05/1985", "the aggregate of 28/39/00/1985", None]
+    lines = spark.createDataFrame([([(t, i) for i, t in enumerate(texts)],)], f"lines {X.LINES}")
+    assert [x.line_no for x in lines.select(X.dates_or_purposes(F.col("lines")).alias("x")).first().x] == [1, 2, 3]
+    # the linked number of customer 5,956 ends with 1985
+    docs = E.documents_as_lines(spark.createDataFrame([(1, LICENCE.replace("28/39/28/0456", "28/39/00/1985"))], "doc_id long, text string"))
+    assert not [r for r in E.extract(docs, GROUPS, wanted=["AbstractionLimits"]).collect() if r["name"] == "PointPurpose"]
