@@ -46,3 +46,31 @@ def test_licence_queries_read_their_table_each_time(spark, tmp_path, name):
     drop_stages(spark)
     customer.filter("c_custkey < 7").write.mode("overwrite").parquet(f"{sf}/customer.parquet")
     assert query(spark, sf).first()["documents"] == 7
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {line for line in files.splitlines() if "/shuffle_" in line}
+
+
+def test_shuffle_files_go_with_their_stage(spark):
+    """Those of all rounds of a closure too, whose links are in buckets of their own and shuffled once."""
+    from marlstone.operators.links import closure
+    from marlstone.operators.stages import settled
+
+    before, settled_rows = _shuffle_files(spark), settled(spark.range(1000).repartition(8))
+    links = spark.createDataFrame([(str(k), str(k // 3), 1) for k in range(1, 30)], "source string, target string, ord int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = closure(links.selectExpr("source AS doc_id").distinct(), links)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert settled_rows.count() == 1000
+    got = {(r.root, r.doc_id, r.depth, r.parent) for r in found.filter("root = '29'").collect()}
+    assert got == {("29", "9", 1, "29"), ("29", "3", 2, "9"), ("29", "1", 3, "3"), ("29", "0", 4, "1")}
